@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import jaccard_join
+from tidewater.llm import jaccard_join, line_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,12 +13,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdicts; the host of a document is its source."""
+    return line_rules.line_rules(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (
+  SELECT r, unnest(range(1, len(w) - 3)) AS p,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM w WHERE len(w) >= 5),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 5)) AS q FROM again) GROUP BY r),
+lines AS (
+  SELECT r, source, t, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
+  FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+of_host AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+bad AS (
+  SELECT x.source, x.k FROM (SELECT source, k, count(DISTINCT t) AS c FROM lines GROUP BY source, k) x
+  JOIN of_host h ON x.source IS NOT DISTINCT FROM h.source WHERE c >= 10 AND c * 100 > h.n * 10),
+lost AS (
+  SELECT r, count(*) AS n, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS words
+  FROM lines JOIN bad ON lines.source IS NOT DISTINCT FROM bad.source AND lines.k = bad.k GROUP BY r),
+f AS (
+  SELECT d.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(lost.n, 0)::BIGINT AS n_removed_lines, coalesce(lost.words, 0)::BIGINT AS n_removed_words
+  FROM d JOIN w USING (r) LEFT JOIN covered USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed_words * 100 <= n_words * 70 AS kept,
+       n_removed_lines, n_removed_words
+FROM f
+"""
+
+
+def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of nearly equal bytes, as ranges of doc_id."""
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40).drop("range_id")
+
+
+OP2_SQL = """
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size,
+         xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, bits),
+p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, least(39, (2 * start + size) * 40 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM s
+"""
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a similarity of 0.8 or more."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id
+FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 QUERIES = {
+    "op1_line_frequency": op1_line_frequency,
+    "op2_sampled_splitters": op2_sampled_splitters,
     "op9_jaccard_join": op9_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_frequency": OP1_SQL,
+    "op2_sampled_splitters": OP2_SQL,
+    "op9_jaccard_join": OP9_SQL,
+}
