@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import jaccard_join, line_rules, sharding
+from tidewater.llm import decontaminate, jaccard_join, line_rules, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,20 @@ FROM s
 """
 
 
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents within a tenth of edits."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Target weights of the first two levels; the others are even.
+WEIGHTS = {("domain0",): 3, ("domain1",): 1, ("domain2",): 2, ("domain3",): 1, ("domain0", "en"): 2, ("domain1", "de"): 3}
+
+
+def op8_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn for a budget of 80 per cent of all tokens, in up to two epochs."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.by_source(), WEIGHTS, 0.8, epochs=2)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a similarity of 0.8 or more."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
@@ -100,6 +114,8 @@ FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_sampled_splitters": op2_sampled_splitters,
+    "op4_qgram_decontamination": op4_qgram_decontamination,
+    "op8_hierarchical_budget": op8_hierarchical_budget,
     "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES: dict[str, str] = {
