@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, jaccard_join, line_rules, mixing, sharding
+from tidewater.llm import decontaminate, jaccard_join, line_rules, mixing, sharding, token_orc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,13 @@ def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to ORC and read back."""
+    import public_tokenizers
+
+    return token_orc.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("part")
+
+
 #: Target weights of the first two levels; the others are even.
 WEIGHTS = {("domain0",): 3, ("domain1",): 1, ("domain2",): 2, ("domain3",): 1, ("domain0", "en"): 2, ("domain1", "de"): 3}
 
@@ -115,6 +122,7 @@ QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_sampled_splitters": op2_sampled_splitters,
     "op4_qgram_decontamination": op4_qgram_decontamination,
+    "op7_token_orc": op7_token_orc,
     "op8_hierarchical_budget": op8_hierarchical_budget,
     "op9_jaccard_join": op9_jaccard_join,
 }
