@@ -85,12 +85,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, np.flatnonzero(stop) + 1, np.searchsorted(first, offsets, "left")
 
 
+def running(data: np.ndarray, letters: np.ndarray = PLAIN) -> np.ndarray:
+    """Sums over the bytes before each place; `hashed` makes hashes of spans from them."""
+    run = np.zeros(len(data) + 1, U)
+    np.cumsum(letters[data] * powers(len(data))[0][:-1], out=run[1:])
+    return run
+
+
+def hashed(run: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    return mix((run[last] - run[first]) * powers(len(run))[1][first] + (last - first).astype(U))
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, letters: np.ndarray = PLAIN) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
-    up, down = powers(len(data))
-    run = np.zeros(len(data) + 1, U)
-    np.cumsum(letters[data] * up[:-1], out=run[1:])
-    return mix((run[last] - run[first]) * down[first] + (last - first).astype(U))
+    return hashed(running(data, letters), first, last)
 
 
 def windows(values: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, jaccard_join, line_rules, mixing, sharding, token_orc
+from tidewater.llm import decontaminate, jaccard_join, line_rules, mixing, sharding, token_orc, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ FROM s
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that aren't held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents within a tenth of edits."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -121,6 +126,7 @@ FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_sampled_splitters": op2_sampled_splitters,
+    "op3_toxicity": op3_toxicity,
     "op4_qgram_decontamination": op4_qgram_decontamination,
     "op7_token_orc": op7_token_orc,
     "op8_hierarchical_budget": op8_hierarchical_budget,
