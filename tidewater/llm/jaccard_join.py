@@ -9,8 +9,9 @@ enter, its one-deletion neighbourhoods: a segment that may differ by one shingle
 slack of each band is what makes the expected number of signatures least.
 
 Candidates from small groups of equal signatures are all pairs; large groups give the pairs of a
-pivot only, then, as long as a group still spans several components, further pivots and in the end
-what pairs of different components remain. Each candidate is verified on the whole sets.
+pivot only. Each candidate is checked against a sketch and then verified on the whole sets. Where
+the members of a pivot still stand in several components, the links among them are settled by how
+they differ from their consensus (see `_around_pivots`), without forming their pairs.
 
 Defined cases: null text or a text without words has no shingles, links with nothing and is its own
 component; rows with a null id take part, and components are named by the smallest id that isn't
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.llm import kernels as K
 from tidewater.llm.common import components, cut, ship
@@ -36,30 +38,33 @@ from tidewater.llm.common import components, cut, ship
 U = np.uint64
 #: Groups up to this size give all their pairs: at most 3.5 a row.
 SMALL = 8
-#: Rounds of pivots before the remaining pairs of large groups are taken one by one.
-PIVOT_ROUNDS = 3
 #: Bits of the filter that keeps rows without a candidate out of verification.
 FILTER_BITS = 22
+#: Bits of a signature beyond those that count the rows.
+SPARE = 12
 
 
 @functools.lru_cache(maxsize=8)
 def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower bounds of the size bands, and for each its number of segments and its slack."""
+    """Lower bounds of the size bands, and for each its number of segments and its slack.
+
+    Bands are as wide as two steps of the similarity: wider ones need more segments, narrower ones
+    let more sets stand in two bands; this width gives about the fewest signatures.
+    """
     low = [next(n for n in range(1, 10**6) if n * den >= num * (n + 1))]  # smaller sets link only when equal
     while low[-1] < 1 << 32:
-        low.append(max(low[-1] + 1, low[-1] * den // num))
+        low.append(max(low[-1] + 1, low[-1] * den * den // (num * num)))
     m, slack = [], []
     for lo, hi in zip(low, low[1:], strict=False):
-        small = hi - 1  # the smaller set of a pair; the larger has at most small * den / num
-        h = (den - num) * (small + small * den // num) // (den + num)
+        h = most_apart(hi - 1, (hi - 1) * den // num, num, den)
         best = None
         some = 0.015 * h + 1
-        for c in sorted({*range(min(16, h // 4 + 2)), *(round(some + k * math.sqrt(some)) for k in range(7) if h > 16)}):
-            k = h + 1 + c
-            empty = math.exp(-lo / k)
-            mean, sd = k * empty, math.sqrt(k * empty)
-            sparse = 0.5 * math.erfc((c + 0.5 - mean) / max(sd, 1e-9) / math.sqrt(2))
-            cost = k + sparse * (k + lo)
+        for c in sorted({*range(min(60, h // 4 + 2)), *(round(some + k * math.sqrt(some)) for k in range(20) if h > 16)}):
+            k, cost = h + 1 + c, 0.0
+            for n in (lo, (lo + hi) / 2, hi - 1):  # expected signatures of a set: its segments, or if sparse those and its deletions
+                gone = math.exp(-n / k)
+                sd = math.sqrt(max(k * gone * (1 - gone * (1 + n / k)), 1e-9))
+                cost += k * (1 - gone) + 0.5 * math.erfc((c + 0.5 - k * gone) / sd / math.sqrt(2)) * (k + n)
             if best is None or cost < best[0]:
                 best = cost, k, c
         m.append(best[1])
@@ -67,6 +72,11 @@ def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(low[:-1]), np.array(m), np.array(slack)
 
 
+def most_apart(a, b, num: int, den: int):
+    """How many shingles two sets of these sizes may not share and still reach num / den."""
+    return (den - num) * (a + b) // (den + num)
+
+
 def _class_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each whole set, even and not negative: its lowest bit is free for a role."""
     n = np.diff(bounds).astype(U)
@@ -81,7 +91,7 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int,
     picked, parts = K.mix(sets + U(3)) >> U(32), K.mix(sets + U(5))
     for role in (0, 1):
         band = own - role
-        some = np.flatnonzero((band >= 0) & (own >= 0))
+        some = np.flatnonzero((own >= 0) & ((role == 0) | (band >= 0) & (n * num <= (low[own] - 1) * den)))
         if not len(some):
             continue
         size = n[some]
@@ -128,7 +138,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, "doc_id long, n_shingles long, cls long")
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, bits: int = 64) -> DataFrame:
     """(sig, member): a task publishes the signatures of a class once, however many copies it reads."""
 
     def rows(batches):
@@ -143,24 +153,30 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: i
             sets, bounds, cls = sets[keep], np.concatenate([[0], np.cumsum(np.diff(bounds)[new])]), cls[new]
             for sig, member in _signatures(sets, bounds, cls, num, den):
                 for k in range(0, len(sig), 100_000):
-                    yield pa.record_batch([pa.array(sig[k: k + 100_000].astype(np.int64)), pa.array(member[k: k + 100_000])], ["sig", "member"])
+                    yield pa.record_batch([pa.array((sig[k: k + 100_000] >> U(64 - bits)).astype(np.int64)), pa.array(member[k: k + 100_000])], ["sig", "member"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, "sig long, member long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature: candidate pairs (sig null) and the members of large groups (b null).
+    """(a, b, star) from rows sorted by signature: all pairs of small groups, or pivot and member of large ones.
 
-    A run may be longer than any memory: of one that goes beyond SMALL rows only the pivot is kept.
+    A group may be longer than any memory: of one that goes beyond SMALL rows only the pivot is kept.
+    Two sets that both stand in the next smaller band make no pair: they meet in their own.
     """
-    def table(sig, a, b):
-        none = pa.nulls(len(a), pa.int64())
-        return pa.record_batch([none if sig is None else pa.array(sig), pa.array(a), none if b is None else pa.array(b)], ["sig", "a", "b"])
+
+    def table(a, b, star):
+        keep = (a >> 1) != (b >> 1) if star else ((a & b & 1) == 0) & ((a >> 1) != (b >> 1))
+        a, b = a[keep] & ~1, b[keep] & ~1
+        if not star:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        if len(a):
+            a, b = np.unique(np.stack([a, b]), axis=1)
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), star))], ["a", "b", "star"])
 
     held_s, held_m = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pivot = None  # (signature, member) of a large run that goes on
-    done = False
-    batches = iter(batches)
+    pivot = None  # (signature, member) of a large group that goes on
+    batches, done = iter(batches), False
     while not done:
         batch = next(batches, None)
         done = batch is None
@@ -170,83 +186,99 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(len(s), bool)
             keep[1:] = (s[1:] != s[:-1]) | (m[1:] != m[:-1])
             s, m = s[keep], m[keep]
-        if not len(s):
-            continue
-        if pivot is not None:
+        held_s, held_m = s[:0], m[:0]
+        if pivot is not None and len(s):
             more = int(np.searchsorted(s, pivot[0], "right"))  # sorted, and its signature is the least
-            if more:
-                yield table(s[:more], m[:more], None)
-                a = np.full(more, pivot[1])
-                yield from _pairs(table, a, m[:more])
+            yield from table(np.full(more, pivot[1]), m[:more], True)
             if more < len(s):
                 pivot = None
             s, m = s[more:], m[more:]
-            held_s, held_m = s[:0], m[:0]
-            if not len(s):
-                continue
+        if not len(s):
+            continue
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         size = np.diff(np.concatenate([edge, [len(s)]]))
-        if not done:  # the last run may go on
-            if size[-1] <= SMALL:
-                held_s, held_m = s[edge[-1]:], m[edge[-1]:]
-                s, m, edge, size = s[: edge[-1]], m[: edge[-1]], edge[:-1], size[:-1]
-            else:
-                held_s, held_m = s[:0], m[:0]
-        of = np.repeat(size, size)
-        few = of <= SMALL
+        goes_on = not done and size[-1] > SMALL
+        if not done and size[-1] <= SMALL:  # the last group may go on
+            held_s, held_m = s[edge[-1]:], m[edge[-1]:]
+            s, m, edge, size = s[: edge[-1]], m[: edge[-1]], edge[:-1], size[:-1]
+        few = np.repeat(size, size) <= SMALL
         for step in range(1, SMALL):
-            if len(s) <= step:
-                break
-            i = np.flatnonzero(few[:-step] & (s[step:] == s[:-step]))
+            i = np.flatnonzero(few[:-step] & (s[step:] == s[:-step])) if len(s) > step else few[:0]
             if not len(i):
                 break
-            yield from _pairs(table, m[i], m[i + step])
-        if not few.all():
-            big = np.flatnonzero(~few)
-            # the pivot is the first that stands in its own band; without one the group has no pairs
-            head = np.minimum.reduceat(np.where(m & 1 == 0, np.arange(len(m)), len(m)), edge)
-            head = np.repeat(np.where(head < len(m), head, edge), size)
-            yield table(s[big], m[big], None)
-            yield from _pairs(table, m[head[big]], m[big])
-            if not done and len(size) and size[-1] > SMALL and not len(held_s):
-                pivot = (s[-1], m[head[-1]])
-
-
-def _pairs(table, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keep = ((a & b & 1) == 0) & ((a >> 1) != (b >> 1))
-    a, b = a[keep] & ~1, b[keep] & ~1
-    if len(a):
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        yield table(None, both[0], both[1])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs of classes (a, b) whose sets reach num / den."""
+            yield from table(m[i], m[i + step], False)
+        if few.all():
+            continue
+        # the pivot is the first that stands in its own band; a group without one makes no pairs
+        own = np.minimum.reduceat(np.where(m & 1 == 0, np.arange(len(m)), len(m)), edge)
+        head = np.repeat(own, size)
+        big = np.flatnonzero(~few & (head < len(m)))
+        yield from table(m[head[big]], m[big], True)
+        if goes_on:
+            pivot = (s[-1], m[own[-1]] if own[-1] < len(m) else m[edge[-1]])
+
+
+def _sketch(sets: np.ndarray) -> bytes:
+    """Sums modulo 256 of the shingles' hashes by slot; the slots are a power of two, about the size.
+
+    Halving the slots adds neighbours, so sketches of different sizes compare. Slots that differ
+    are at most as many as the shingles that two sets don't share.
+    """
+    slots = 1 << max(0, round(math.log2(len(sets))))
+    at = (K.mix(sets + U(11)) >> U(32)) * U(slots) >> U(32)
+    return np.bincount(at.astype(np.int64), (K.mix(sets + U(13)) & U(255)).astype(np.float64), slots).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def _read_classes(docs: DataFrame, wanted: DataFrame, name: str, of, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(cls, n, name) of the wanted classes (cls, rep): `of` is applied to the set of row `rep`."""
     spark = docs.sparkSession
-    size = found.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"))
-    pairs = pairs.join(size, "a").join(size.toDF("b", "nb"), "b").where(
-        F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    pairs = cut(pairs.select("a", "b"), "jaccard-candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    ids = cut(ids.join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
     bits = 1 << FILTER_BITS
     slot = (F.shiftright("cls", 1).bitwiseXOR(F.col("rep"))).bitwiseAND(F.lit(bits - 1)).cast("int").alias("slot")
-    slots = [r[0] for r in ids.select(slot).distinct().collect()]  # at most `bits` small numbers
+    slots = [r[0] for r in wanted.select(slot).distinct().collect()]  # at most `bits` small numbers
     mask = np.zeros(bits, bool)
     mask[slots] = True
     packed = spark.sparkContext.broadcast(np.packbits(mask))  # half a MB at any size
 
-    def sets(batches):
+    def rows(batches):
         hit = np.unpackbits(packed.value).astype(bool)
         for key, sets, bounds, cls in _sets(batches, shingle):
             key = pc.fill_null(key, 0).to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero((np.diff(bounds) > 0) & hit[((cls >> 1) ^ key) & (bits - 1)])
-            if len(rows):
-                yield pa.record_batch([pa.array(cls[rows]), pa.array(key[rows]), pa.array([sets[bounds[k]: bounds[k + 1]].tobytes() for k in rows], pa.binary())], ["cls", "rep", "items"])
+            n = np.diff(bounds)
+            some = np.flatnonzero((n > 0) & hit[((cls >> 1) ^ key) & (bits - 1)])
+            if len(some):
+                yield pa.record_batch([pa.array(cls[some]), pa.array(key[some]), pa.array(n[some]), pa.array([of(sets[bounds[k]: bounds[k + 1]]) for k in some], pa.binary())], ["cls", "rep", "n", name])
+
+    made = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, f"cls long, rep long, n long, {name} binary")
+    return made.join(wanted, ["cls", "rep"], "left_semi").select("cls", "n", name).dropDuplicates(["cls"])
+
+
+def sketches(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(cls, n, sketch) of the wanted classes."""
+    return _read_classes(docs, wanted, "sketch", _sketch, id_col, text_col, shingle)
 
-    items = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(sets, "cls long, rep long, items binary")
-    items = items.join(ids, ["cls", "rep"], "left_semi").select("cls", "items")
-    both = pairs.select("a", "b").join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+
+def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
+    """The pairs of classes (a, b) whose sets reach num / den: first what sketches don't rule out, then whole sets."""
+    both = pairs.join(sketched.toDF("a", "na", "x"), "a").join(sketched.toDF("b", "nb", "y"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+
+    def near(batches):
+        for batch in batches:
+            a, b, x, y, na, nb = (batch.column(k) for k in range(6))
+            most = most_apart(na.to_numpy(), nb.to_numpy(), num, den)
+            good = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                p, q = np.frombuffer(x[k].as_buffer(), np.uint8), np.frombuffer(y[k].as_buffer(), np.uint8)
+                while len(p) > len(q):
+                    p = p[::2] + p[1::2]
+                while len(q) > len(p):
+                    q = q[::2] + q[1::2]
+                good[k] = np.count_nonzero(p != q) <= most[k]
+            yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(good))
+
+    pairs = cut(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(near, "a long, b long"), "jaccard-candidates")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
+    items = _read_classes(docs, ids, "items", lambda v: v.tobytes(), id_col, text_col, shingle).drop("n")
+    both = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
 
     def check(batches):
         for batch in batches:
@@ -260,10 +292,72 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, t
                 good[k] = same * den >= num * (len(z) - same)
             yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "ia", "ib").mapInArrow(check, "a long, b long").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+
 
+def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: DataFrame, tested: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs left to verify, among the members of large groups that span components.
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    Around a pivot p the members are told by how they differ from their consensus: p, with every
+    shingle flipped in which most members differ from it. With d the size of that difference and
+    s = (den + num) * d - (den - num) * n, two members x and y that share o elements of their
+    differences are linked exactly if s(x) + s(y) <= 2 * (den + num) * o. So with the member m of the
+    least s, all x with s(x) + s(m) <= 0 are linked to it, and no pair beyond them is linked unless
+    it shares elements; such pairs are found by the rarest elements, as many as the bound asks for.
+    """
+    at = stars.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+    mixed = at.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a").distinct()
+    near = stars.join(mixed, "a", "left_semi").union(mixed.select("a", F.col("a").alias("b")))
+    near = cut(near.toDF("p", "x"), "jaccard-near")
+    if near.isEmpty():
+        none = tested.limit(0)
+        return none, none
+    wanted = cut(near.select(F.col("x").alias("cls")).distinct().join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
+    items = cut(_read_classes(docs, wanted, "items", lambda v: v.tobytes(), id_col, text_col, shingle), "jaccard-items")
+
+    def differ(batches):
+        for batch in batches:
+            p, x, n, of_p, of_x = (batch.column(k) for k in range(5))
+            made = []
+            for k in range(batch.num_rows):
+                z = np.concatenate([np.frombuffer(of_p[k].as_buffer(), U), np.frombuffer(of_x[k].as_buffer(), U)])
+                z.sort()
+                twice = np.flatnonzero(z[1:] == z[:-1])
+                alone = np.ones(len(z), bool)
+                alone[twice] = alone[twice + 1] = False
+                made.append(z[alone].astype(np.int64))
+            bounds = np.concatenate([[0], np.cumsum([len(v) for v in made])]).astype(np.int32)
+            yield pa.record_batch([p, x, n, pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)))], ["p", "x", "n", "delta"])
+
+    both = near.join(items.select(F.col("cls").alias("x"), "n", F.col("items").alias("of_x")), "x").join(items.select(F.col("cls").alias("p"), F.col("items").alias("of_p")), "p")
+    delta = cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(differ, "p long, x long, n long, delta array<long>"), "jaccard-delta")
+    size = delta.groupBy("p").agg(F.count("*").alias("k"))
+    flips = delta.select("p", F.explode("delta").alias("e")).groupBy("p", "e").agg(F.count("*").alias("c")).join(size, "p").where("2 * c > k").groupBy("p").agg(F.collect_list("e").alias("flip"))  # at most twice a mean difference
+    none = F.array().cast("array<bigint>")
+    delta = delta.join(flips, "p", "left").withColumn("flip", F.coalesce("flip", none))
+    delta = delta.select("p", "x", "n", F.concat(F.array_except("delta", "flip"), F.array_except("flip", "delta")).alias("delta"))
+    weight = den + num
+    delta = cut(delta.withColumn("s", weight * F.size("delta") - (den - num) * F.col("n")), "jaccard-consensus")
+    mid = cut(delta.groupBy("p").agg(F.min(F.struct("s", "x")).alias("m")).select("p", F.col("m.s").alias("sm"), F.col("m.x").alias("m")), "jaccard-middle")
+    delta = delta.join(mid, "p")
+    sure = delta.where("s + sm <= 0 and x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
+    delta = delta.join(label.toDF("x", "lx"), "x", "left").join(label.toDF("m", "lm"), "m", "left")
+    delta = delta.withColumn("asks", (F.col("s") + F.col("sm") > 0) & (F.coalesce("lx", "x") != F.coalesce("lm", "m")))
+    asked = delta.where("asks").select("p").distinct()
+    delta = delta.join(asked, "p", "left_semi")
+    need = lambda other: F.greatest(F.lit(1), F.ceil((F.col("s") + other) / (2 * weight)))
+    delta = delta.select("p", "x", "asks", (F.size("delta") - need(1 - F.col("sm")) + 1).alias("index"), (F.size("delta") - need(F.col("sm")) + 1).alias("probe"), F.explode("delta").alias("e"))
+    delta = cut(delta, "jaccard-elements")
+    often = delta.groupBy("p", "e").agg(F.count("*").alias("c"))
+    ranked = delta.join(often, ["p", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("p", "x").orderBy("c", "e"))).where("c > 1")
+    ranked = cut(ranked.where("rank <= index or asks and rank <= probe").select("p", "e", "x", (F.col("asks") & (F.col("rank") <= F.col("probe"))).alias("asks"), (F.col("rank") <= F.col("index")).alias("told")), "jaccard-ranked")
+    left = ranked.where("asks").select("p", "e", F.col("x").alias("x1"))
+    right = ranked.where("told or asks").select("p", "e", F.col("x").alias("x2"))
+    rest = left.join(right, ["p", "e"]).where("x1 <> x2").select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+    return cut(sure, "jaccard-links"), cut(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, with_class: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of `docs`.
 
     component_id is the smallest id reachable over links of similarity num / den or more; n_links is
@@ -274,36 +368,56 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(spark)
     rows = cut(classes(docs, id_col, text_col, shingle), "jaccard-classes")
     found = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    signed = signatures(docs, id_col, text_col, shingle, num, den)
+    # signatures get as many bits as the rows call for: one in 2 ** SPARE rows meets a stranger
+    most = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    signed = signatures(docs, id_col, text_col, shingle, num, den, min(64, max(32, int(most).bit_length() + SPARE)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = cut(signed.repartition(parts, "sig").sortWithinPartitions("sig", "member")
-                  .mapInArrow(_runs, "sig long, a long, b long"), "jaccard-groups")
-    tested = cut(grouped.where("b is not null").select("a", "b").distinct(), "jaccard-pairs")
-    links = cut(verified(tested, docs, found, id_col, text_col, shingle, num, den), "jaccard-links")
-    large = grouped.where("b is null").select("sig", F.col("a").alias("member"))
+    grouped = signed.repartition(parts, "sig").sortWithinPartitions("sig", "member").mapInArrow(_runs, "a long, b long, star boolean")
+    grouped = cut(grouped.distinct(), "jaccard-groups")
+    tested = cut(grouped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = cut(wanted.join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
+    sketched = cut(sketches(docs, wanted, id_col, text_col, shingle), "jaccard-sketches")
+    prove = lambda pairs: cut(verified(pairs, docs, found, sketched, id_col, text_col, shingle, num, den), "jaccard-links")
+    links = prove(tested)
     label = components(links, "jaccard-components")
-    for turn in range(pivot_rounds + 1):
-        at = large.withColumn("node", F.col("member").bitwiseAND(F.lit(-2))).join(label, "node", "left")
-        at = at.select("sig", "member", "node", F.coalesce("label", "node").alias("label"))
-        mixed = at.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("member"), F.col("label"))).alias("p")).where("x <> y")
-        if turn < pivot_rounds:
-            fresh = at.join(mixed.select("sig", "p"), "sig").select(F.col("p.member").alias("m1"), F.col("p.label").alias("l1"), F.col("member").alias("m2"), F.col("label").alias("l2"))
-        else:
-            rest = at.join(mixed.select("sig"), "sig", "left_semi")
-            fresh = rest.select("sig", F.col("member").alias("m1"), F.col("label").alias("l1")).join(rest.select("sig", F.col("member").alias("m2"), F.col("label").alias("l2")), "sig").where("m1 < m2")
-        fresh = fresh.where("l1 <> l2 and (m1 & m2 & 1) = 0").select(F.expr("least(m1, m2) & -2").alias("a"), F.expr("greatest(m1, m2) & -2").alias("b")).where("a <> b")
-        fresh = cut(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if fresh.isEmpty():
-            if turn == pivot_rounds or mixed.isEmpty():
-                break
-            continue
-        more = cut(verified(fresh, docs, found, id_col, text_col, shingle, num, den), "jaccard-links")
-        tested, links = tested.union(fresh), links.union(more)
-        if not more.isEmpty():
-            label = components(links, "jaccard-components")
+    sure, rest = _around_pivots(grouped.where("star").select("a", "b"), docs, found, label, tested, id_col, text_col, shingle, num, den)
+    if not sure.isEmpty() or not rest.isEmpty():
+        links = cut(links.union(sure).union(prove(rest)).distinct(), "jaccard-links")
+        label = components(links, "jaccard-components")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = found.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = named.join(low, "label").join(degree, "cls", "left").select("cls", "component_id", "n_links")
+    of = named.join(low, "label").join(degree, "cls", "left").select("cls", "component_id", "n_links", "label")
     return rows.join(of, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *(["cls", "label"] if with_class else []))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of `docs` for each component, that of its smallest id; all columns are carried.
+
+    Rows without shingles are alone and all stay. Where ids are unique and not null, only the ids of
+    the rows that go are matched. Else rows are told apart by id and set, and of rows alike in both
+    one stays.
+    """
+    joined = cut(jaccard_components(docs, id_col, text_col, shingle, num, den, with_class=True), "jaccard-joined")
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").alias("body"))
+    back = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    if joined.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("key"))
+        return plain.drop("body").join(gone, "key", "left_anti").select(*back)
+    best = joined.where("cls is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("x")).select(F.col("x.doc_id").alias("key"), F.col("x.cls").alias("cls"))
+
+    def rows(batches):
+        for batch in batches:
+            for a, b, data, offsets in K.blocks(batch.column(2)):
+                sets, bounds = K.shingle_sets(data, offsets, shingle)
+                cls = pa.array(_class_of(sets, bounds), mask=np.diff(bounds) == 0)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), cls], ["doc", "key", "cls"])
+
+    kinds = plain.drop("body").schema.add("cls", "long")
+    told = plain.mapInArrow(rows, kinds)
+    best = best.withColumnsRenamed({"key": "k", "cls": "c"})
+    one = told.join(best, told["key"].eqNullSafe(best["k"]) & (told["cls"] == best["c"])).dropDuplicates(["key", "cls"])
+    return told.where("cls is null").select(*back).union(one.select(*back))
