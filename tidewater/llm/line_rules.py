@@ -107,8 +107,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     x = every.join(lost, "row", "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda v: ~F.coalesce(F.array_contains("gone", _line_key(F.col("host"), v)), F.lit(False))), "\n")
     x = x.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
-    x = base_rules(x, limits).withColumn("remain", F.size(words(F.col("left"))))
-    x = x.where(~F.col("base_failed") & ((F.col("n_words") - F.col("remain")) * 100 <= F.col("n_words") * limits.max_removed))
+    # the filter stays above this projection: below it, each figure would be worked out many times over
+    x = base_rules(x, limits).withColumns({"remain": F.size(words(F.col("left"))), "place": F.monotonically_increasing_id()})
+    x = x.where((F.col("place") >= 0) & ~F.col("base_failed") & ((F.col("n_words") - F.col("remain")) * 100 <= F.col("n_words") * limits.max_removed))
     new = {text_col: F.when(F.col("gone").isNull(), F.col(f"doc.`{text_col}`")).otherwise(F.col("left"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("gone").isNull(), F.col("doc.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
