@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, jaccard_join, line_rules, mixing, sharding, token_orc, toxicity
+from tidewater.llm import cross_entropy, decontaminate, jaccard_join, licences, line_rules, mixing, sharding, token_orc, toxicity, url_list
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,74 @@ def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Pages with a time of fetching, which the table hasn't: a day and an hour of 2024 by the id."""
+    day, hour = F.col("page_id") * 13 % 365, F.col("page_id") % 24
+    return pages.select("page_id", "url", F.timestamp_seconds(1704067200 + day * 86400 + hour * 3600).alias("fetched_at"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated changes for a part of the hosts, domains and URLs of the pages themselves."""
+    at = lambda day: F.timestamp_seconds(1704067200 + day * 86400)
+    host = pages.select(url_list.host_of(F.col("url")).alias("key"), "page_id").where("key <> ''").groupBy("key").agg(F.min("page_id").alias("m"))
+    domain = host.select(F.regexp_extract("key", "[^.]+[.][^.]+$", 0).alias("key"), "m").where("key <> ''").groupBy("key").agg(F.min("m").alias("m"))
+    url = pages.where("page_id % 50 = 7").select(url_list.key_of(F.col("url")).alias("key"), F.col("page_id").alias("m"))
+    changes = lambda *of: F.explode(F.array(*(F.struct(F.lit(a).alias("action"), at(d).alias("at")) for a, d in of)))
+    m = F.col("m")
+    made = [
+        (host.where("m % 3 = 0"), "host", changes(("add", m % 200), ("remove", m % 200 + 60), ("add", m % 200 + 120))),
+        (domain.where("m % 4 = 1"), "domain", changes(("add", m * 7 % 300), ("remove", m * 7 % 300 + 45))),
+        (url, "url", changes(("add", m % 365), ("remove", m % 365 + 200)))]
+    out = None
+    for rows, kind, change in made:
+        part = rows.select(F.lit(kind).alias("kind"), "key", change.alias("c")).select("kind", "key", "c.action", "c.at")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def op5_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries in force when it was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_list.judge(captures(pages), list_entries(pages)).withColumns({c: F.unix_timestamp(c) for c in ("fetched_at", "listed_at")})
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, trim(coalesce(url, '')) AS u, 1704067200 + page_id * 13 % 365 * 86400 + page_id % 24 * 3600 AS fetched_at FROM pages),
+c AS (
+  SELECT page_id, fetched_at, regexp_replace(regexp_replace(regexp_extract(lower(u), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.+$', ''), '^www\.', '') AS host,
+         regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^#]*)', 1) AS rest FROM p),
+k AS (SELECT *, regexp_replace(host || rest, '/+$', '') AS key FROM c),
+hosts AS (SELECT host AS key, min(page_id) AS m FROM k WHERE host <> '' GROUP BY host),
+domains AS (SELECT regexp_extract(key, '[^.]+[.][^.]+$') AS key, min(m) AS m FROM hosts GROUP BY 1 HAVING regexp_extract(key, '[^.]+[.][^.]+$') <> ''),
+changes AS (
+  SELECT 1 AS kind, key, unnest(['add', 'remove', 'add']) AS action, unnest([m % 200, m % 200 + 60, m % 200 + 120]) AS day FROM hosts WHERE m % 3 = 0
+  UNION ALL SELECT 2, key, unnest(['add', 'remove']), unnest([m * 7 % 300, m * 7 % 300 + 45]) FROM domains WHERE m % 4 = 1
+  UNION ALL SELECT 0, key, unnest(['add', 'remove']), unnest([page_id % 365, page_id % 365 + 200]) FROM k WHERE page_id % 50 = 7 AND key <> ''),
+moments AS (SELECT kind, key, 1704067200 + day * 86400 AS since, max(action) AS action FROM changes GROUP BY ALL),
+spans AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY kind, key ORDER BY since) AS until FROM moments) WHERE action = 'add'),
+asked AS (
+  SELECT page_id, fetched_at, 0 AS kind, key FROM k WHERE host <> ''
+  UNION ALL SELECT page_id, fetched_at, 1, host FROM k WHERE host <> ''
+  UNION ALL SELECT page_id, fetched_at, 2, array_to_string(string_split(host, '.')[i:], '.')
+    FROM (SELECT *, unnest(range(1, greatest(2, len(string_split(host, '.'))))) AS i FROM k WHERE host <> '')),
+hits AS (
+  SELECT page_id, asked.kind, since FROM asked JOIN spans ON asked.kind = spans.kind AND asked.key = spans.key
+  WHERE since <= fetched_at AND (until IS NULL OR fetched_at < until)),
+best AS (SELECT page_id, min(kind) AS kind, min_by(since, kind * 100000000000 + since) AS since, count(DISTINCT kind) AS n FROM hits GROUP BY page_id)
+SELECT k.page_id, host, fetched_at::BIGINT AS fetched_at, best.kind IS NOT NULL AS blocked,
+       CASE best.kind WHEN 0 THEN 'url' WHEN 1 THEN 'host' WHEN 2 THEN 'domain' END AS listed_as,
+       since::BIGINT AS listed_at, coalesce(n, 0)::INT AS n_kinds
+FROM k LEFT JOIN best USING (page_id)
+"""
+
+
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of all documents under models of the documents labelled as good and of all others."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to ORC and read back."""
     import public_tokenizers
@@ -123,17 +191,61 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.b)
 FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the sentences of each document name."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def _licence_sql() -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    stems = licences.STEMS.replace(" ", "[^a-z0-9]+")
+    keys = ", ".join(quoted(k) for k in licences.known())
+    names = ", ".join(quoted(v) for v in licences.known().values())
+    steps, last = "", "s"
+    for k, (name, run) in enumerate(licences.RULES):
+        pattern = quoted("".join(f"<{i}>" for i in run))
+        steps += f""",
+r{k} AS (SELECT doc_id, ids, replace(seq, {pattern}, '|') AS seq,
+  CASE WHEN contains(seq, {pattern}) AND NOT list_contains(found, {quoted(name)}) THEN list_append(found, {quoted(name)}) ELSE found END AS found FROM {last})"""
+        last = f"r{k}"
+    norm = lambda v: f"trim(regexp_replace(lower({v}), '[^a-z0-9]+', ' ', 'g'))"
+    look = lambda v: f"CASE WHEN regexp_matches({norm(v)}, '{licences.STEMS}') THEN coalesce(known[{norm(v)}], CASE WHEN regexp_matches({norm(v)}, '{licences.TELLING}') THEN 'unknown' END) END"
+    return rf"""
+WITH k AS (SELECT map([{keys}], [{names}]) AS known),
+t AS (
+  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{stems}') THEN string_split(regexp_replace(regexp_replace(text, '([.!?:;])[ 	
+]+', '' || chr(1), 'g'),
+    '
+[ 	]*
+[ 	
+]*', chr(1), 'g'), chr(1)) ELSE [] END AS parts FROM documents),
+i AS (
+  SELECT doc_id, flatten(list_transform(list_filter(parts, lambda p: regexp_matches(lower(p), '{stems}')), lambda p:
+    CASE WHEN coalesce({look("p")}, 'unknown') <> 'unknown' THEN [{look("p")}]
+    ELSE list_filter(list_transform(string_split(p, chr(10)), lambda l: {look("l")}), lambda v: v IS NOT NULL) END)) AS ids FROM t, k),
+s AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda v: '<' || v || '>'), '') AS seq, []::VARCHAR[] AS found FROM i){steps}
+SELECT doc_id, array_to_string(found, ',') AS licences, array_to_string(ids, ',') AS sentences,
+       len(list_filter(ids, lambda v: v <> 'unknown'))::INT AS n_known, len(list_filter(ids, lambda v: v = 'unknown'))::INT AS n_unknown
+FROM {last}
+"""
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_sampled_splitters": op2_sampled_splitters,
     "op3_toxicity": op3_toxicity,
     "op4_qgram_decontamination": op4_qgram_decontamination,
+    "op5_temporal_list_join": op5_temporal_list_join,
+    "op6_cross_entropy_difference": op6_cross_entropy_difference,
     "op7_token_orc": op7_token_orc,
     "op8_hierarchical_budget": op8_hierarchical_budget,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_licence_rules": op10_licence_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_line_frequency": OP1_SQL,
     "op2_sampled_splitters": OP2_SQL,
+    "op5_temporal_list_join": OP5_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op10_licence_rules": _licence_sql(),
 }
