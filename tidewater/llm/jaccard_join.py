@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.llm import kernels as K
-from tidewater.llm.common import components, cut, ship
+from tidewater.llm.common import components, cut, release, ship
 
 U = np.uint64
 #: Groups up to this size give all their pairs: at most 3.5 a row.
 SMALL = 8
 #: Bits of the filter that keeps rows without a candidate out of verification.
 FILTER_BITS = 22
+#: Members of a large group that say what its consensus is, about.
+POLLED = 32
 #: Bits of a signature beyond those that count the rows.
 SPARE = 12
 
@@ -295,15 +297,57 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, sketched: Data
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def _far_pairs(far: DataFrame, items: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the classes `far` (x) that may be linked and stand in different components.
+
+    Linked sets share an element among the first n - ceil(n * num / den) + 1 of each in any one
+    order. The order is by how many sets hold an element, rare ones first; that is counted in a table
+    of fixed size, and elements in one slot go by their hash.
+    """
+    spark = far.sparkSession
+    bits = FILTER_BITS - 2
+    sets = cut(items.join(far.withColumnRenamed("x", "cls"), "cls", "left_semi").join(label.toDF("cls", "l"), "cls", "left").select("cls", F.coalesce("l", "cls").alias("l"), "items"), "jaccard-far")
+
+    def slots(batches):
+        made = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                made += np.bincount((K.mix(np.frombuffer(v.as_buffer(), U)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+        some = np.flatnonzero(made)
+        yield pa.record_batch([pa.array(some), pa.array(made[some])], ["slot", "n"])
+
+    got = sets.select("items").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** bits rows
+    often = np.zeros(1 << bits, np.int64)
+    often[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    held = spark.sparkContext.broadcast(often)
+
+    def firsts(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = np.frombuffer(batch.column(2)[k].as_buffer(), U)
+                n = len(v) + (-len(v) * num) // den + 1
+                e = v[np.lexsort((v, held.value[(K.mix(v) >> U(64 - bits)).astype(np.int64)]))[:n]].astype(np.int64)
+                yield pa.record_batch([pa.array(e), pa.array(np.full(len(e), batch.column(0)[k].as_py())), pa.array(np.full(len(e), batch.column(1)[k].as_py())), pa.array(np.full(len(e), len(v)))], ["e", "x", "l", "n"])
+
+    ranked = cut(sets.mapInArrow(firsts, "e long, x long, l long, n long"), "jaccard-firsts")
+    other = ranked.toDF("e", "y", "m", "k")
+    return ranked.join(other, "e").where((F.col("x") < F.col("y")) & (F.col("l") != F.col("m")) & (F.least("n", "k") * den >= F.greatest("n", "k") * num)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
 def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: DataFrame, tested: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links, and pairs left to verify, among the members of large groups that span components.
 
+    A member x is near its pivot if they differ in at most half as many elements as x has; members
+    that differ in more than (1.5 * den - num) / num times as many can't be linked to near ones, so
+    they only ask for each other: see `_far_pairs`. Those between are asked for both ways.
+
     Around a pivot p the members are told by how they differ from their consensus: p, with every
-    shingle flipped in which most members differ from it. With d the size of that difference and
-    s = (den + num) * d - (den - num) * n, two members x and y that share o elements of their
-    differences are linked exactly if s(x) + s(y) <= 2 * (den + num) * o. So with the member m of the
-    least s, all x with s(x) + s(m) <= 0 are linked to it, and no pair beyond them is linked unless
-    it shares elements; such pairs are found by the rarest elements, as many as the bound asks for.
+    shingle flipped in which most of some members differ from it. With d the size of that difference
+    and s = (den + num) * d - (den - num) * n, two members x and y that share o elements of their
+    differences are linked exactly if s(x) + s(y) <= 2 * (den + num) * o, whatever the consensus. So
+    with the member m of the least s, all x with s(x) + s(m) <= 0 are linked to it, and no pair
+    beyond them is linked unless it shares elements; such pairs are found by the rarest elements, as
+    many as the bound asks for.
     """
     at = stars.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
     mixed = at.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a").distinct()
@@ -318,21 +362,27 @@ def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: D
     def differ(batches):
         for batch in batches:
             p, x, n, of_p, of_x = (batch.column(k) for k in range(5))
-            made = []
+            made, far = [], np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
                 z = np.concatenate([np.frombuffer(of_p[k].as_buffer(), U), np.frombuffer(of_x[k].as_buffer(), U)])
                 z.sort()
                 twice = np.flatnonzero(z[1:] == z[:-1])
                 alone = np.ones(len(z), bool)
                 alone[twice] = alone[twice + 1] = False
-                made.append(z[alone].astype(np.int64))
-            bounds = np.concatenate([[0], np.cumsum([len(v) for v in made])]).astype(np.int32)
-            yield pa.record_batch([p, x, n, pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)))], ["p", "x", "n", "delta"])
+                d = z[alone].astype(np.int64)
+                far[k] = 2 * len(d) > n[k].as_py()
+                made.append(None if 2 * num * len(d) > (3 * den - 2 * num) * n[k].as_py() else d)
+            yield pa.record_batch([p, x, n, pa.array(far), pa.array(made, pa.list_(pa.int64()))], ["p", "x", "n", "far", "delta"])
 
     both = near.join(items.select(F.col("cls").alias("x"), "n", F.col("items").alias("of_x")), "x").join(items.select(F.col("cls").alias("p"), F.col("items").alias("of_p")), "p")
-    delta = cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(differ, "p long, x long, n long, delta array<long>"), "jaccard-delta")
+    delta = cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(differ, "p long, x long, n long, far boolean, delta array<long>"), "jaccard-delta")
+    apart = cut(_far_pairs(delta.where("far").select("x").distinct(), items, label, num, den), "jaccard-far-pairs")
+    delta = delta.where("delta is not null").drop("far")
     size = delta.groupBy("p").agg(F.count("*").alias("k"))
-    flips = delta.select("p", F.explode("delta").alias("e")).groupBy("p", "e").agg(F.count("*").alias("c")).join(size, "p").where("2 * c > k").groupBy("p").agg(F.collect_list("e").alias("flip"))  # at most twice a mean difference
+    # the consensus is that of some POLLED members: it decides how short the differences are, not what is found
+    polled = delta.join(size, "p").where(F.pmod(F.xxhash64("p", "x"), F.greatest(F.lit(1), (F.col("k") / POLLED).cast("long"))) == 0)
+    size = polled.groupBy("p").agg(F.count("*").alias("k"))
+    flips = polled.select("p", F.explode("delta").alias("e")).groupBy("p", "e").agg(F.count("*").alias("c")).join(size, "p").where("2 * c > k").groupBy("p").agg(F.collect_list("e").alias("flip"))  # at most twice a mean difference
     none = F.array().cast("array<bigint>")
     delta = delta.join(flips, "p", "left").withColumn("flip", F.coalesce("flip", none))
     delta = delta.select("p", "x", "n", F.concat(F.array_except("delta", "flip"), F.array_except("flip", "delta")).alias("delta"))
@@ -353,7 +403,7 @@ def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: D
     ranked = cut(ranked.where("rank <= index or asks and rank <= probe").select("p", "e", "x", (F.col("asks") & (F.col("rank") <= F.col("probe"))).alias("asks"), (F.col("rank") <= F.col("index")).alias("told")), "jaccard-ranked")
     left = ranked.where("asks").select("p", "e", F.col("x").alias("x1"))
     right = ranked.where("told or asks").select("p", "e", F.col("x").alias("x2"))
-    rest = left.join(right, ["p", "e"]).where("x1 <> x2").select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+    rest = left.join(right, ["p", "e"]).where("x1 <> x2").select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).union(apart).distinct()
     return cut(sure, "jaccard-links"), cut(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
 
 
@@ -374,12 +424,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = signed.repartition(parts, "sig").sortWithinPartitions("sig", "member").mapInArrow(_runs, "a long, b long, star boolean")
     grouped = cut(grouped.distinct(), "jaccard-groups")
+    release(spark)
     tested = cut(grouped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     wanted = tested.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = cut(wanted.join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
     sketched = cut(sketches(docs, wanted, id_col, text_col, shingle), "jaccard-sketches")
     prove = lambda pairs: cut(verified(pairs, docs, found, sketched, id_col, text_col, shingle, num, den), "jaccard-links")
     links = prove(tested)
+    release(spark)
     label = components(links, "jaccard-components")
     sure, rest = _around_pivots(grouped.where("star").select("a", "b"), docs, found, label, tested, id_col, text_col, shingle, num, den)
     if not sure.isEmpty() or not rest.isEmpty():
