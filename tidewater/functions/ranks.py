@@ -23,8 +23,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, n, spearman): null where a side is constant or has fewer than two values."""
     kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = kept.withColumns({"rank_x": average_rank(x, by), "rank_y": average_rank(y, by)})
-    apart = (F.min("rank_x") < F.max("rank_x")) & (F.min("rank_y") < F.max("rank_y"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(apart, F.corr("rank_x", "rank_y")).alias("spearman"))
+    rho = F.try_divide(F.covar_pop("rank_x", "rank_y"), F.stddev_pop("rank_x") * F.stddev_pop("rank_y"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("spearman"))
 
 
 def first_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
