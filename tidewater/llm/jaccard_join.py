@@ -221,34 +221,51 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(sets: np.ndarray) -> bytes:
-    """Sums modulo 256 of the shingles' hashes by slot; the slots are a power of two, about the size.
+    """Sums modulo 256 of the shingles' hashes by slot; the slots are a power of two, about twice the size.
 
     Halving the slots adds neighbours, so sketches of different sizes compare. Slots that differ
     are at most as many as the shingles that two sets don't share.
     """
-    slots = 1 << max(0, round(math.log2(len(sets))))
+    slots = 2 << max(0, round(math.log2(len(sets))))
     at = (K.mix(sets + U(11)) >> U(32)) * U(slots) >> U(32)
     return np.bincount(at.astype(np.int64), (K.mix(sets + U(13)) & U(255)).astype(np.float64), slots).astype(np.int64).astype(np.uint8).tobytes()
 
 
-def _read_classes(docs: DataFrame, wanted: DataFrame, name: str, of, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(cls, n, name) of the wanted classes (cls, rep): `of` is applied to the set of row `rep`."""
-    spark = docs.sparkSession
+def _least_apart(p: np.ndarray, q: np.ndarray) -> int:
+    """A lower bound of the shingles that two sets don't share, from their sketches."""
+    while len(p) > len(q):
+        p = p[::2] + p[1::2]
+    while len(q) > len(p):
+        q = q[::2] + q[1::2]
+    return int(np.count_nonzero(p != q))
+
+
+def _mask(wanted: DataFrame):
+    """A broadcast filter of the wanted classes (cls, rep), of half a MB at any size."""
     bits = 1 << FILTER_BITS
     slot = (F.shiftright("cls", 1).bitwiseXOR(F.col("rep"))).bitwiseAND(F.lit(bits - 1)).cast("int").alias("slot")
     slots = [r[0] for r in wanted.select(slot).distinct().collect()]  # at most `bits` small numbers
     mask = np.zeros(bits, bool)
     mask[slots] = True
-    packed = spark.sparkContext.broadcast(np.packbits(mask))  # half a MB at any size
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+
+def _wanted_sets(batches: Iterator[pa.RecordBatch], packed, shingle: int) -> Iterator[tuple]:
+    """(row ids, sets, bounds, classes, rows that pass the filter) of blocks of texts."""
+    hit = np.unpackbits(packed.value).astype(bool)
+    for key, sets, bounds, cls in _sets(batches, shingle):
+        key = pc.fill_null(key, 0).to_numpy(zero_copy_only=False)
+        yield key, sets, bounds, cls, np.flatnonzero((np.diff(bounds) > 0) & hit[((cls >> 1) ^ key) & ((1 << FILTER_BITS) - 1)])
+
+
+def _read_classes(docs: DataFrame, wanted: DataFrame, name: str, of, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(cls, n, name) of the wanted classes (cls, rep): `of` is applied to the set of row `rep`."""
+    packed = _mask(wanted)
 
     def rows(batches):
-        hit = np.unpackbits(packed.value).astype(bool)
-        for key, sets, bounds, cls in _sets(batches, shingle):
-            key = pc.fill_null(key, 0).to_numpy(zero_copy_only=False)
-            n = np.diff(bounds)
-            some = np.flatnonzero((n > 0) & hit[((cls >> 1) ^ key) & (bits - 1)])
+        for key, sets, bounds, cls, some in _wanted_sets(batches, packed, shingle):
             if len(some):
-                yield pa.record_batch([pa.array(cls[some]), pa.array(key[some]), pa.array(n[some]), pa.array([of(sets[bounds[k]: bounds[k + 1]]) for k in some], pa.binary())], ["cls", "rep", "n", name])
+                yield pa.record_batch([pa.array(cls[some]), pa.array(key[some]), pa.array(np.diff(bounds)[some]), pa.array([of(sets[bounds[k]: bounds[k + 1]]) for k in some], pa.binary())], ["cls", "rep", "n", name])
 
     made = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, f"cls long, rep long, n long, {name} binary")
     return made.join(wanted, ["cls", "rep"], "left_semi").select("cls", "n", name).dropDuplicates(["cls"])
@@ -269,12 +286,7 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, sketched: Data
             most = most_apart(na.to_numpy(), nb.to_numpy(), num, den)
             good = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                p, q = np.frombuffer(x[k].as_buffer(), np.uint8), np.frombuffer(y[k].as_buffer(), np.uint8)
-                while len(p) > len(q):
-                    p = p[::2] + p[1::2]
-                while len(q) > len(p):
-                    q = q[::2] + q[1::2]
-                good[k] = np.count_nonzero(p != q) <= most[k]
+                good[k] = _least_apart(np.frombuffer(x[k].as_buffer(), np.uint8), np.frombuffer(y[k].as_buffer(), np.uint8)) <= most[k]
             yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(good))
 
     pairs = cut(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(near, "a long, b long"), "jaccard-candidates")
@@ -297,44 +309,51 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, sketched: Data
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def _far_pairs(far: DataFrame, items: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the classes `far` (x) that may be linked and stand in different components.
+def _far_pairs(wanted: DataFrame, docs: DataFrame, label: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the wanted classes (cls, rep) that may be linked and stand in different components.
 
     Linked sets share an element among the first n - ceil(n * num / den) + 1 of each in any one
     order. The order is by how many sets hold an element, rare ones first; that is counted in a table
-    of fixed size, and elements in one slot go by their hash.
+    of bounded size, and elements in one slot go by their hash. Sets are read from the texts again
+    and only those first elements leave the task.
     """
-    spark = far.sparkSession
-    bits = FILTER_BITS - 2
-    sets = cut(items.join(far.withColumnRenamed("x", "cls"), "cls", "left_semi").join(label.toDF("cls", "l"), "cls", "left").select("cls", F.coalesce("l", "cls").alias("l"), "items"), "jaccard-far")
+    spark = docs.sparkSession
+    bits = min(22, max(14, int(wanted.count()).bit_length() + 3))
+    packed = _mask(wanted)
 
     def slots(batches):
         made = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for v in batch.column(0):
-                made += np.bincount((K.mix(np.frombuffer(v.as_buffer(), U)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+        for _, sets, bounds, _, some in _wanted_sets(batches, packed, shingle):
+            mine = np.zeros(len(bounds) - 1, bool)
+            mine[some] = True
+            made += np.bincount((K.mix(sets[np.repeat(mine, np.diff(bounds))]) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
         some = np.flatnonzero(made)
         yield pa.record_batch([pa.array(some), pa.array(made[some])], ["slot", "n"])
 
-    got = sets.select("items").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** bits rows
+    got = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** bits rows
     often = np.zeros(1 << bits, np.int64)
     often[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     held = spark.sparkContext.broadcast(often)
 
-    def firsts(batches):
+    def first(v):
+        n = len(v) + (-len(v) * num) // den + 1
+        return v[np.lexsort((v, held.value[(K.mix(v) >> U(64 - bits)).astype(np.int64)]))[:n]].tobytes()
+
+    sets = _read_classes(docs, wanted, "firsts", first, id_col, text_col, shingle).join(label.toDF("cls", "l"), "cls", "left").select("cls", F.coalesce("l", "cls").alias("l"), "n", "firsts")
+
+    def spread(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                v = np.frombuffer(batch.column(2)[k].as_buffer(), U)
-                n = len(v) + (-len(v) * num) // den + 1
-                e = v[np.lexsort((v, held.value[(K.mix(v) >> U(64 - bits)).astype(np.int64)]))[:n]].astype(np.int64)
-                yield pa.record_batch([pa.array(e), pa.array(np.full(len(e), batch.column(0)[k].as_py())), pa.array(np.full(len(e), batch.column(1)[k].as_py())), pa.array(np.full(len(e), len(v)))], ["e", "x", "l", "n"])
+            made = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(3)]
+            size = [len(v) for v in made]
+            if made:
+                yield pa.record_batch([pa.array(np.concatenate(made)), *(pa.array(np.repeat(batch.column(k).to_numpy(), size)) for k in range(3))], ["e", "x", "l", "n"])
 
-    ranked = cut(sets.mapInArrow(firsts, "e long, x long, l long, n long"), "jaccard-firsts")
+    ranked = cut(sets.mapInArrow(spread, "e long, x long, l long, n long"), "jaccard-firsts")
     other = ranked.toDF("e", "y", "m", "k")
     return ranked.join(other, "e").where((F.col("x") < F.col("y")) & (F.col("l") != F.col("m")) & (F.least("n", "k") * den >= F.greatest("n", "k") * num)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: DataFrame, tested: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: DataFrame, tested: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links, and pairs left to verify, among the members of large groups that span components.
 
     A member x is near its pivot if they differ in at most half as many elements as x has; members
@@ -356,7 +375,17 @@ def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: D
     if near.isEmpty():
         none = tested.limit(0)
         return none, none
-    wanted = cut(near.select(F.col("x").alias("cls")).distinct().join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
+    def bounded(batches):  # sketches tell most members that are too far without reading their sets
+        for batch in batches:
+            p, x, n, of_p, of_x = (batch.column(k) for k in range(5))
+            least = np.array([_least_apart(np.frombuffer(of_p[k].as_buffer(), np.uint8), np.frombuffer(of_x[k].as_buffer(), np.uint8)) for k in range(batch.num_rows)], np.int64)
+            yield pa.record_batch([p, x, pa.array(2 * num * least > (3 * den - 2 * num) * n.to_numpy())], ["p", "x", "far"])
+
+    both = near.join(sketched.toDF("x", "n", "of_x"), "x").join(sketched.toDF("p", "n_p", "of_p"), "p")
+    told = cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(bounded, "p long, x long, far boolean"), "jaccard-told")
+    near = told.where("not far").drop("far")
+    reps = lambda cls: cut(cls.distinct().join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
+    wanted = reps(near.select(F.col("x").alias("cls")))  # each pivot is its own nearest member
     items = cut(_read_classes(docs, wanted, "items", lambda v: v.tobytes(), id_col, text_col, shingle), "jaccard-items")
 
     def differ(batches):
@@ -376,7 +405,8 @@ def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: D
 
     both = near.join(items.select(F.col("cls").alias("x"), "n", F.col("items").alias("of_x")), "x").join(items.select(F.col("cls").alias("p"), F.col("items").alias("of_p")), "p")
     delta = cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(differ, "p long, x long, n long, far boolean, delta array<long>"), "jaccard-delta")
-    apart = cut(_far_pairs(delta.where("far").select("x").distinct(), items, label, num, den), "jaccard-far-pairs")
+    far = reps(delta.where("far").select(F.col("x").alias("cls")).union(told.where("far").select("x")))
+    apart = cut(_far_pairs(far, docs, label, id_col, text_col, shingle, num, den), "jaccard-far-pairs")
     delta = delta.where("delta is not null").drop("far")
     size = delta.groupBy("p").agg(F.count("*").alias("k"))
     # the consensus is that of some POLLED members: it decides how short the differences are, not what is found
@@ -433,7 +463,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = prove(tested)
     release(spark)
     label = components(links, "jaccard-components")
-    sure, rest = _around_pivots(grouped.where("star").select("a", "b"), docs, found, label, tested, id_col, text_col, shingle, num, den)
+    sure, rest = _around_pivots(grouped.where("star").select("a", "b"), docs, found, label, tested, sketched, id_col, text_col, shingle, num, den)
     if not sure.isEmpty() or not rest.isEmpty():
         links = cut(links.union(sure).union(prove(rest)).distinct(), "jaccard-links")
         label = components(links, "jaccard-components")
