@@ -133,6 +133,34 @@ def test_losses_are_those_of_plain_counting(spark, corpus):
     assert Counter((r.doc_id, r.n_tokens, round(r.target_loss, 5), round(r.difference, 5)) for r in got) == want
 
 
+def test_losses_count_every_word_and_bigram_however_many(spark):
+    rng = random.Random(3)
+    n = 60_000  # more words than any fixed vocabulary of 50,000, each in a text of the target and in one of the rest
+    names = [f"v{k}" for k in range(n)]
+    rows = []
+    for half in (0, 1):
+        rng.shuffle(names)
+        rows += [(2 * k + half, " ".join(names[k * 30: k * 30 + 30]), "s") for k in range(n // 30)]
+    target = spark.createDataFrame([(2 * k,) for k in range(n // 30)], "doc_id long")
+    got = cross_entropy.cross_entropy_difference(table(spark, rows), target).collect()
+    uni, bi = (Counter(), Counter()), (Counter(), Counter())
+    for i, t, _ in rows:
+        w = ["|", *words(t), "|"]
+        uni[i % 2].update(w[1:])
+        bi[i % 2].update(zip(w, w[1:], strict=False))
+    want, every = {}, [u.total() for u in uni]
+    for i, t, _ in rows:
+        w, loss = ["|", *words(t), "|"], []
+        for u, b, total in zip(uni, bi, every, strict=True):
+            p = [(b[x, y] + 50 * (u[y] + 1) / (total + n + 2)) / (u[x] + 50) for x, y in zip(w, w[1:], strict=False)]
+            loss.append(-sum(map(math.log, p)) / len(p))
+        want[i] = loss
+    assert len(got) == len(want)
+    assert all(r.target_loss == pytest.approx(want[r.doc_id][0]) and r.background_loss == pytest.approx(want[r.doc_id][1]) for r in got)
+    small = cross_entropy.cross_entropy_difference(table(spark, rows), target, size=20_000).collect()  # many chunks
+    assert {r.doc_id: r.difference for r in small} == pytest.approx({r.doc_id: r.difference for r in got})
+
+
 def test_ids_come_back_as_the_tokenizer_gives_them(spark, corpus):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -3,15 +3,20 @@
 Two bigram models with one vocabulary, one order and one smoothing are counted over all documents:
 the target's over those marked as such, the background's over all others. A document's score is the
 mean over its tokens of the target's loss less the background's, in nats; the lower, the closer to
-the target. The vocabulary is the most frequent words of the whole corpus, all others are one
-unknown word; a boundary stands before and after each text and is predicted like a word.
+the target. The vocabulary is every word of the whole corpus; a boundary stands before and after
+each text and is predicted like a word.
 
-Bigrams are counted in a table of 2 ** SLOTS hashed slots, so a model has the same size for any
-corpus and may be broadcast; bigrams that share a slot share their count. Tasks count into arrays
-and shuffle one row for each slot they touched.
+The counts are exact and grow with the corpus; no task and no broadcast holds them. Texts are dealt
+into chunks of about CHUNK bytes. A chunk counts its words and bigrams under keys of 63 hashed bits
+(among a billion distinct keys, two that are equal come up in about one corpus of 20). The keys are
+dealt by their first bits into buckets, whose number grows with the corpus; a bucket sums its keys
+over the chunks and gives each chunk the sums that differ from its own. So a hot bigram stands once
+a chunk, and one that a single chunk holds isn't sent back at all.
 
     p(w | h) = (c(h, w) + STRENGTH * p(w)) / (c(h) + STRENGTH),  p(w) = (c(w) + 1) / (n + ids)
 
+Here `ids` is the number of distinct words, the boundary and a word that nobody has seen.
+
 Defined cases: null and empty texts have no words, only the boundary is predicted; null ids are never
 target; rows that repeat are counted and scored each; without target documents that model is even; an
 empty table gives an empty result; columns besides id, text and mark aren't read.
@@ -19,137 +24,180 @@ empty table gives an empty result; columns besides id, text and mark aren't read
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm.common import ship
+from tidewater.llm.common import cut, release, ship
 
 U = np.uint64
-#: Words of the vocabulary, bits of the bigram table, and the weight of the unigrams.
-VOCABULARY, SLOTS, STRENGTH = 50_000, 21, 50.0
-#: Distinct words that a task keeps before it hands its counts on.
-HELD = 1_000_000
-BOUNDARY, UNKNOWN, FIRST = 0, 1, 2
+#: Bytes of text that are counted and scored together, and the weight of the unigrams.
+CHUNK, STRENGTH = 8 << 20, 50.0
+#: Keys of words are odd, those of bigrams even.
+BOUNDARY = U(1)
 
 
-def _hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, word hashes, first word of each text) of runs of rows."""
-    for a, b, data, offsets in K.blocks(column):
+def _keys(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, word, first of each text) of the tokens of runs of rows, with the boundaries."""
+    for _, _, data, offsets in K.blocks(column):
         start, stop, bounds = K.word_spans(data, offsets)
-        yield a, b, K.span_hashes(data, start, stop, K.LOWER), bounds
+        hashes, n = K.span_hashes(data, start, stop, K.LOWER) | U(1), np.diff(bounds)
+        first = np.concatenate([[0], np.cumsum(n + 1)])
+        whole = np.full(first[-1] + 1, BOUNDARY)  # a boundary, the text, and so on to a last boundary
+        whole[np.arange(len(hashes)) + np.repeat(np.arange(1, len(n) + 1), n)] = hashes
+        yield whole[:-1], whole[1:], first
+
+
+def _counts(columns: list[pa.Array], targets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the words and bigrams of some texts, their counts (keys, 2), the places of each
+    token's context, word and bigram among the keys, and the tokens of each text."""
+    runs = [r for c in columns for r in _keys(c)]
+    context, word = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
+    lengths = np.concatenate([np.diff(r[2]) for r in runs])
+    pair = K.mix(context ^ K.mix(word + U(16))) & ~U(1)
+    keys, at = np.unique(np.concatenate([word, pair]), return_inverse=True)
+    of = np.tile(np.repeat(np.concatenate(targets), lengths), 2)
+    counts = np.stack([np.bincount(at[of], minlength=len(keys)), np.bincount(at[~of], minlength=len(keys))], axis=1)
+    # a context is the word before, or the boundary, which ends each text and so is a word too
+    return keys, counts, np.searchsorted(keys, context), at[: len(word)], at[len(word):], lengths
+
+
+def marked(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, text, target) of every row: whether its id is one of `targets` (its first column)."""
+    ids = targets.select(F.col(targets.columns[0]).alias("key")).where("key is not null").distinct().withColumn("hit", F.lit(True))
+    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(ids, "key", "left").select("key", "text", F.col("hit").isNotNull().alias("target"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words, sorted; ties go to the smaller hash."""
+def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(key, text, target, chunk): runs of rows of about `size` bytes; a written table, so that they stay."""
 
     def rows(batches):
-        keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
+        chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for _, _, hashes, _ in _hashes(batch.column(0)):
-                new, n = np.unique(hashes, return_counts=True)
-                keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                if len(keys) > HELD:
-                    yield pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(counts)], ["word", "n"])
-                    keys, counts = keys[:0], counts[:0]
-        yield pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(counts)], ["word", "n"])
-
-    made = docs.select(text_col).mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = made.orderBy(F.desc("n"), "word").limit(size).toArrow()  # `size` rows
-    return np.sort(top.column("word").to_numpy().astype(U))
-
-
-def _pairs(words: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, slot) of each token with the boundaries, and the first of each text."""
-    n = np.diff(bounds)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        ids = np.where(words[at] == hashes, at + FIRST, UNKNOWN)
-    else:
-        ids = np.full(len(hashes), UNKNOWN)
-    first = np.concatenate([[0], np.cumsum(n + 1)])
-    whole = np.zeros(first[-1] + 1, np.int64)  # a boundary, the text, and so on to a last boundary
-    whole[np.arange(len(ids)) + np.repeat(np.arange(1, len(n) + 1), n)] = ids
-    context, word = whole[:-1], whole[1:]
-    slot = K.mix(context.astype(U) << U(32) | word.astype(U)) >> U(64 - slots)
-    return context, word, slot.astype(np.int64), first
-
-
-@dataclass
-class Models:
-    """Counts of both models: column 0 is the target's, column 1 the background's."""
-
-    words: np.ndarray
-    unigrams: np.ndarray  # (ids, 2)
-    bigrams: np.ndarray  # (slots, 2)
-    slots: int = SLOTS
-    strength: float = STRENGTH
-
-    def losses(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(texts, 2): the mean loss of each text under each model."""
-        context, word, slot, first = _pairs(self.words, hashes, bounds, self.slots)
-        total = self.unigrams.sum(axis=0)
-        alone = (self.unigrams[word] + 1.0) / (total + len(self.unigrams))
-        p = (self.bigrams[slot] + self.strength * alone) / (self.unigrams[context] + self.strength)
-        return np.add.reduceat(-np.log(p), first[:-1], axis=0) / np.diff(first)[:, None]
+            n = np.array([len(v) if v else 0 for v in batch.column(1).to_pylist()], np.int64)
+            before = np.cumsum(n) - n + held
+            held += int(n.sum())
+            yield batch.append_column("chunk", pa.array(chunk + before // size))
 
+    kind = docs.schema["key"].dataType.simpleString()
+    return cut(docs.mapInArrow(rows, f"key {kind}, text string, target boolean, chunk long"), "cross-entropy-texts")
 
-def marked(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, target) of every row: whether its id is one of `targets` (its first column)."""
-    ids = targets.select(F.col(targets.columns[0]).alias("key")).where("key is not null").distinct().withColumn("hit", F.lit(True))
-    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(ids, "key", "left").select("text", F.col("hit").isNotNull().alias("target"))
 
+def _packed(values: np.ndarray) -> bytes:
+    """Rising numbers by their steps, or small ones as they are: bytes of the same weight side by side, deflated."""
+    return zlib.compress(np.ascontiguousarray(values.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-def count(docs: DataFrame, size: int = VOCABULARY, slots: int = SLOTS, strength: float = STRENGTH) -> Models:
-    """Both models over all rows of (text, target)."""
-    ship(docs.sparkSession)
-    words = vocabulary(docs, "text", size)
-    held, ids = docs.sparkSession.sparkContext.broadcast(words), len(words) + FIRST
 
-    def rows(batches):
-        made = [np.zeros((1 << slots) + ids, np.int64) for _ in (0, 1)]
-        for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, hashes, bounds in _hashes(batch.column(0)):
-                _, word, slot, first = _pairs(held.value, hashes, bounds, slots)
-                of = np.repeat(target[a:b], np.diff(first))
-                for k, mine in enumerate((of, ~of)):
-                    made[k] += np.bincount(np.concatenate([slot[mine], word[mine] + (1 << slots)]), minlength=len(made[k]))
-        some = np.flatnonzero(made[0] + made[1])
-        for k in range(0, len(some), 100_000):
-            s = some[k: k + 100_000]
-            yield pa.record_batch([pa.array(s.astype(np.int32)), pa.array(made[0][s]), pa.array(made[1][s])], ["slot", "target", "background"])
-
-    made = docs.select("text", "target").mapInArrow(rows, "slot int, target long, background long")
-    got = made.groupBy("slot").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).toArrow()  # at most a row a slot
-    table = np.zeros(((1 << slots) + ids, 2), np.float64)
-    table[got.column("slot").to_numpy()] = np.stack([got.column("t").to_numpy(), got.column("b").to_numpy()], axis=1)
-    return Models(words, table[1 << slots:], table[: 1 << slots].astype(np.float32), slots, strength)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference) of every row."""
-    ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(models)  # its size is set by the vocabulary and the slots
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view(U)[:, 0]
+
+
+def _steps(values: np.ndarray) -> bytes:
+    return _packed(np.diff(values.astype(U), prepend=U(0)))
+
+
+def _columns(table: pa.Table, *names: str) -> list[list]:
+    return [table.column(n).to_pylist() for n in names]
+
+
+def counted(texts: DataFrame, bits: int) -> DataFrame:
+    """(chunk, bucket, place, t, b, words, all_t, all_b): sums of keys where they aren't the chunk's own counts.
+
+    A bucket holds the keys that begin with the same `bits`; `place` is among the chunk's keys of the
+    bucket. The last three are figures of all words of a bucket and stand in one of its rows.
+    """
+    shift = U(64 - bits)
 
     def rows(batches):
-        for batch in batches:
-            for a, b, hashes, bounds in _hashes(batch.column(1)):
-                loss = held.value.losses(hashes, bounds)
+        now, columns, targets = None, [], []
+
+        def made():
+            keys, counts, *_ = _counts(columns, targets)
+            of = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+            for k in range(0, len(edge) - 1, 100):
+                spans = [slice(*e) for e in zip(edge[k: k + 100], edge[k + 1: k + 101], strict=False)]
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(loss[:, 0]), pa.array(loss[:, 1]), pa.array(loss[:, 0] - loss[:, 1])],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(rows, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
+                    [pa.array([of[s.start] for s in spans], pa.int64()), pa.array([now] * len(spans), pa.int64()), pa.array([_steps(keys[s]) for s in spans], pa.binary()),
+                     pa.array([_packed(counts[s, 0]) for s in spans], pa.binary()), pa.array([_packed(counts[s, 1]) for s in spans], pa.binary())], ["bucket", "chunk", "n", "t", "b"])
 
+        for batch in batches:
+            chunk = batch.column(2).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])).tolist() + [len(chunk)]
+            for a, b in zip(edge, edge[1:], strict=False):
+                if b > a:
+                    if columns and chunk[a] != now:
+                        yield from made()
+                        columns, targets = [], []
+                    now = chunk[a]
+                    columns.append(batch.column(0).slice(a, b - a))
+                    targets.append(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False))
+        if columns:
+            yield from made()
+
+    def sums(table):
+        parts = [(c, np.cumsum(_unpacked(n)), _unpacked(t).astype(np.int64), _unpacked(b).astype(np.int64)) for c, n, t, b in zip(*_columns(table, "chunk", "n", "t", "b"), strict=True)]
+        keys, at = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
+        whole = np.zeros((len(keys), 2), np.int64)
+        for k in (0, 1):
+            np.add.at(whole[:, k], at, np.concatenate([x[2 + k] for x in parts]))
+        word = (keys & U(1)) == 1
+        figures = [int(word.sum()), *whole[word].sum(axis=0).tolist()]
+        own, first = {}, 0
+        for c, n, t, b in parts:  # a chunk that two tasks have read comes in two parts
+            own.setdefault(c, []).append((at[first: first + len(n)], np.stack([t, b], axis=1)))
+            first += len(n)
+        made = []
+        for c, of in own.items():
+            places, inverse = np.unique(np.concatenate([x[0] for x in of]), return_inverse=True)
+            mine = np.zeros((len(places), 2), np.int64)
+            np.add.at(mine, inverse, np.concatenate([x[1] for x in of]))
+            other = np.flatnonzero((mine != whole[places]).any(axis=1))
+            t, b = whole[places[other]].T
+            made.append((c, _steps(other), _packed(t), _packed(b)))
+        c, place, t, b = zip(*made, strict=True)
+        fill = lambda v: pa.array([v] + [0] * (len(c) - 1), pa.int64())
+        return pa.table(
+            [pa.array(c, pa.int64()), pa.array([table.column("bucket")[0].as_py()] * len(c), pa.int64()), *(pa.array(v, pa.binary()) for v in (place, t, b)), *map(fill, figures)],
+            ["chunk", "bucket", "place", "t", "b", "words", "all_t", "all_b"])
+
+    made = texts.select("text", "target", "chunk").mapInArrow(rows, "bucket long, chunk long, n binary, t binary, b binary")
+    made = made.groupBy("bucket").applyInArrow(sums, "chunk long, bucket long, place binary, t binary, b binary, words long, all_t long, all_b long")
+    return cut(made, "cross-entropy-counts")
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, strength: float = STRENGTH) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference) of every row."""
+    spark = docs.sparkSession
+    ship(spark)
+    texts = chunks(marked(docs, targets, id_col, text_col), size)
+    release(spark)
+    bits = (max(0, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size).bit_length()  # buckets grow in number, not in size
+    sums = counted(texts, bits)
+    release(spark)
+    words, t, b = sums.agg(F.sum("words"), F.sum("all_t"), F.sum("all_b")).first()
+    total, ids = np.array([t or 0, b or 0], np.float64), (words or 0) + 1
+
+    def rate(left, right):
+        column, target = (left.column(n).combine_chunks() for n in ("text", "target"))
+        keys, counts, context, word, pair, lengths = _counts([column], [target.to_numpy(zero_copy_only=False)])
+        for bucket, place, st, sb in zip(*_columns(right, "bucket", "place", "t", "b"), strict=True):
+            at = np.cumsum(_unpacked(place)).astype(np.int64) + np.searchsorted(keys, U(bucket) << U(64 - bits) if bits else U(0))
+            counts[at, 0], counts[at, 1] = _unpacked(st), _unpacked(sb)
+        alone = (counts[word] + 1.0) / (total + ids)
+        p = (counts[pair] + strength * alone) / (counts[context] + strength)
+        first = np.cumsum(lengths) - lengths
+        loss = np.add.reduceat(-np.log(p), first, axis=0) / lengths[:, None]
+        return pa.table(
+            [left.column("key"), pa.array(lengths - 1), pa.array(loss[:, 0]), pa.array(loss[:, 1]), pa.array(loss[:, 0] - loss[:, 1])],
+            ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count both models and score every row."""
-    return score(docs, count(marked(docs, targets, id_col, text_col)), id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return texts.groupBy("chunk").cogroup(sums.select("chunk", "bucket", "place", "t", "b").groupBy("chunk")).applyInArrow(
+        rate, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
