@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from datetime import datetime
@@ -199,6 +200,18 @@ def test_licences_by_their_sentences(spark):
     assert got[5] == got[6] == got[7] == ("", 0, 0) and got[None] == ("Apache-2.0", 1, 0)
 
 
+def test_every_licence_sentence_and_rule_is_found(spark):
+    wrap = lambda t: "# a tool\n#\n" + "\n".join("# " + x for x in textwrap.wrap(t, 60))
+    cases = [(t, name, None) for name, texts in licences.SENTENCES.items() for t in texts]
+    cases += [("\n".join(licences.SENTENCES[i][0] for i in run), ",".join(run), name) for name, run in licences.RULES]
+    cases += [(" ".join(licences.SENTENCES[i][0] for i in run), ",".join(run), name) for name, run in licences.RULES if "gpl" in run[0]]
+    cases += [("Copyright A B\n\n" + wrap(licences.SENTENCES[i][0])[12:], i, name) for i, name in (("gpl3-later", "GPL-3.0-or-later"), ("gpl2-later", "GPL-2.0-or-later"), ("lgpl-later", "LGPL-2.1-or-later"), ("mpl-ref", "MPL-2.0"))]
+    cases += [("Not so: " + licences.SENTENCES["mpl-ref"][0][5:], "unknown", "")]  # not from its beginning
+    got = {r.doc_id: r for r in licences.scan(table(spark, [(k, c[0], "s") for k, c in enumerate(cases)])).collect()}
+    assert [(k, got[k].sentences) for k in got] == [(k, cases[k][1]) for k in got]
+    assert [(k, got[k].licences) for k in got if cases[k][2] is not None] == [(k, cases[k][2]) for k in got if cases[k][2] is not None]
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -2,11 +2,12 @@
 
 A text is cut into sentences; each is normalised (lower case, letters and digits only, single
 spaces) and looked up in a table of known licence sentences. What isn't known as a whole is looked
-up line by line. The identifiers found, in their order, are matched against ordered rules: a rule
-names a licence by a run of identifiers, rules of more sentences come before those they contain,
-and identifiers that a rule has used are gone. Sentences about licences that nobody knows are kept
-in the sequence as unknown, so a rule doesn't reach over them. Everything is worked out inside the
-row: nothing is shuffled, and only texts that hold one of the telling stems are cut at all.
+up line by line; known sentences that the cutting breaks are put together again before that. The
+identifiers found, in their order, are matched against ordered rules: a rule names a licence by a
+run of identifiers, rules of more sentences come before those they contain, and identifiers that a
+rule has used are gone. Sentences about licences that nobody knows are kept in the sequence as
+unknown, so a rule doesn't reach over them. Everything is worked out inside the row: nothing is
+shuffled, and only texts that hold one of the telling stems are cut at all.
 
 Defined cases: null and empty texts have no sentences; null and repeated ids are rows like others; an
 empty table gives an empty result; columns besides id and text aren't read.
@@ -96,7 +97,7 @@ def normal(text: str) -> str:
 
 
 def known() -> dict[str, str]:
-    """Identifier of each normalised sentence and of its parts, as the cutting leaves them."""
+    """Identifier of each normalised sentence."""
     made = {}
     for name, texts in SENTENCES.items():
         for t in texts:
@@ -106,6 +107,21 @@ def known() -> dict[str, str]:
     return made
 
 
+def _broken() -> list[tuple[str, str]]:
+    """(pattern, replacement) of each known sentence that the cutting breaks: it becomes one part of its own.
+
+    Like a sentence that isn't broken, it has to begin and end with a part or a line.
+    """
+    made = []
+    for text in (t for texts in SENTENCES.values() for t in texts):
+        parts = [normal(p).split(" ") for p in re.split("(?<=[.!?:;])[ \t\r\n]+", text)]
+        if len(parts) > 1:
+            inner = "[^A-Za-z0-9]+".join("(" + "[^A-Za-z0-9\u0001]+".join(p) + ")" for p in parts)
+            # the end of a part keeps its mark for what follows
+            made.append((f"(?i)(?:^|[\u0001\n])[^A-Za-z0-9\u0001\n]*+{inner}[^A-Za-z0-9\u0001\n]*+(?:(?=\u0001)|\n|\\z)", "\u0001" + " ".join(f"${k + 1}" for k in range(len(parts))) + "\u0001"))
+    return made
+
+
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
@@ -127,6 +143,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     text = F.col(text_col)
     ends = F.regexp_replace(F.regexp_replace(text, "([.!?:;])[ \t\r\n]+", "$1\u0001"), "\n[ \t\r]*\n[ \t\r\n]*", "\u0001")
+    for pattern, whole in _broken():
+        ends = F.regexp_replace(ends, pattern, whole)
     found = F.flatten(F.transform(F.split(ends, "\u0001"), each))
     found = F.when(F.rlike(F.lower(text), F.lit(STEMS.replace(" ", "[^a-z0-9]+"))), found).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("ids"))
