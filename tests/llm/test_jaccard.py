@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import jaccard_join
@@ -99,3 +100,12 @@ def test_bands_cover_every_pair():
         k = int((low <= n).sum()) - 1
         for other in (n, n * 5 // 4):
             assert jaccard_join.most_apart(n, other, 4, 5) + 1 + slack[k] <= segments[k]
+
+
+def test_long_group_keeps_all_members_over_a_batch_edge():
+    n = jaccard_join.SMALL + 5
+    smaller = [2 * k + 1 for k in range(n)]  # those that stand in the next smaller band come first
+    own = [2 * k for k in range(n, n + 3)]
+    batches = [pa.record_batch([pa.array([7] * len(m)), pa.array(m)], ["sig", "member"]) for m in (smaller, own)]
+    reached = {x for b in jaccard_join._runs(iter(batches)) for c in (0, 1) for x in b.column(c).to_pylist()}
+    assert reached == {m & ~1 for m in smaller + own}

@@ -218,6 +218,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table(m[head[big]], m[big], True)
         if goes_on:
             pivot = (s[-1], m[own[-1]] if own[-1] < len(m) else m[edge[-1]])
+            if own[-1] == len(m):  # those of its own band may follow: they meet the held ones around the pivot
+                yield from table(np.full(size[-1], pivot[1]), m[edge[-1]:], True)
 
 
 def _sketch(sets: np.ndarray) -> bytes:
