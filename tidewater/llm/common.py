@@ -33,10 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; only a session without a cluster gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/tidewater-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -53,6 +55,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Written tables of one piece of work, which are deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Like `cut`, for a table that no result reads."""
+        self.paths.append(scratch(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Delete the tables."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what it holds of finished steps, so that Spark deletes their shuffle files now.
 
@@ -74,12 +100,13 @@ def n_words(text: Column) -> Column:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label) for every node of edges (a, b): label is the smallest node it reaches.
+    """(node, label) for every node of edges (a, b), as a written table: label is the smallest node it reaches.
 
     Alternates large-star and small-star steps; each round is a written table, and hot nodes only
     meet in aggregations with map-side combine and in joins that can be split.
     """
-    now = cut(
+    steps = Steps(edges.sparkSession)
+    now = steps.cut(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = None
@@ -91,10 +118,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small, name)
+        now = steps.cut(small, name)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     label = now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
-    return label.union(label.select(F.col("label").alias("node"), "label").distinct())
+    made = cut(label.union(label.select(F.col("label").alias("node"), "label").distinct()), name)
+    steps.clear()
+    return made

@@ -11,7 +11,9 @@ slack of each band is what makes the expected number of signatures least.
 Candidates from small groups of equal signatures are all pairs; large groups give the pairs of a
 pivot only. Each candidate is checked against a sketch and then verified on the whole sets. Where
 the members of a pivot still stand in several components, the links among them are settled by how
-they differ from their consensus (see `_around_pivots`), without forming their pairs.
+they differ from their consensus (see `_settled`), without forming their pairs. Members far from
+their pivot go on to a pivot among themselves, one of the component that most of them belong to; what
+is still left after ROUNDS such turns meets by its rarest elements.
 
 Defined cases: null text or a text without words has no shingles, links with nothing and is its own
 component; rows with a null id take part, and components are named by the smallest id that isn't
@@ -33,13 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.llm import kernels as K
-from tidewater.llm.common import components, cut, release, ship
+from tidewater.llm.common import Steps, components, cut, release, ship
 
 U = np.uint64
 #: Groups up to this size give all their pairs: at most 3.5 a row.
 SMALL = 8
-#: Bits of the filter that keeps rows without a candidate out of verification.
-FILTER_BITS = 22
+#: Bits of the filter that keeps rows without a candidate out of verification: some for each wanted
+#: row, up to 16 MB. Beyond 2 ** 24 wanted rows it lets more of the others pass, which costs the
+#: shuffle of their sets and changes no result.
+FILTER_SPARE, FILTER_MOST = 3, 27
+#: Turns in which members far from their pivot get a new one.
+ROUNDS = 4
 #: Members of a large group that say what its consensus is, about.
 POLLED = 32
 #: Bits of a signature beyond those that count the rows.
@@ -243,43 +249,51 @@ def _least_apart(p: np.ndarray, q: np.ndarray) -> int:
 
 
 def _mask(wanted: DataFrame):
-    """A broadcast filter of the wanted classes (cls, rep), of half a MB at any size."""
-    bits = 1 << FILTER_BITS
-    slot = (F.shiftright("cls", 1).bitwiseXOR(F.col("rep"))).bitwiseAND(F.lit(bits - 1)).cast("int").alias("slot")
-    slots = [r[0] for r in wanted.select(slot).distinct().collect()]  # at most `bits` small numbers
-    mask = np.zeros(bits, bool)
-    mask[slots] = True
-    return wanted.sparkSession.sparkContext.broadcast(np.packbits(mask))
+    """A broadcast filter of the wanted classes (cls, rep)."""
+    n = min(FILTER_MOST, max(16, wanted.count().bit_length() + FILTER_SPARE))
+    slot = F.shiftright("cls", 1).bitwiseXOR(F.col("rep")).bitwiseAND(F.lit((1 << n) - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    got = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** (n - 6) rows
+    mask = np.zeros(1 << (n - 6), np.int64)
+    mask[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return wanted.sparkSession.sparkContext.broadcast(mask)
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch], packed, shingle: int) -> Iterator[tuple]:
+def _wanted_sets(batches: Iterator[pa.RecordBatch], mask, shingle: int) -> Iterator[tuple]:
     """(row ids, sets, bounds, classes, rows that pass the filter) of blocks of texts."""
-    hit = np.unpackbits(packed.value).astype(bool)
+    hit = mask.value
     for key, sets, bounds, cls in _sets(batches, shingle):
         key = pc.fill_null(key, 0).to_numpy(zero_copy_only=False)
-        yield key, sets, bounds, cls, np.flatnonzero((np.diff(bounds) > 0) & hit[((cls >> 1) ^ key) & ((1 << FILTER_BITS) - 1)])
+        slot = ((cls >> 1) ^ key) & (len(hit) * 64 - 1)
+        yield key, sets, bounds, cls, np.flatnonzero((np.diff(bounds) > 0) & ((hit[slot >> 6] >> (slot & 63)) & 1 == 1))
 
 
-def _read_classes(docs: DataFrame, wanted: DataFrame, name: str, of, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(cls, n, name) of the wanted classes (cls, rep): `of` is applied to the set of row `rep`."""
-    packed = _mask(wanted)
+def _read_classes(steps: Steps, docs: DataFrame, wanted: DataFrame, name: str, of, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(cls, n, name) of the wanted classes (cls, rep), as a written table: `of` is applied to the set of row `rep`."""
+    mask = _mask(wanted)
 
     def rows(batches):
-        for key, sets, bounds, cls, some in _wanted_sets(batches, packed, shingle):
+        for key, sets, bounds, cls, some in _wanted_sets(batches, mask, shingle):
             if len(some):
                 yield pa.record_batch([pa.array(cls[some]), pa.array(key[some]), pa.array(np.diff(bounds)[some]), pa.array([of(sets[bounds[k]: bounds[k + 1]]) for k in some], pa.binary())], ["cls", "rep", "n", name])
 
     made = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, f"cls long, rep long, n long, {name} binary")
-    return made.join(wanted, ["cls", "rep"], "left_semi").select("cls", "n", name).dropDuplicates(["cls"])
+    made = steps.cut(made.join(wanted, ["cls", "rep"], "left_semi").select("cls", "n", name).dropDuplicates(["cls"]), f"jaccard-{name}")
+    mask.destroy()
+    return made
 
 
-def sketches(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(cls, n, sketch) of the wanted classes."""
-    return _read_classes(docs, wanted, "sketch", _sketch, id_col, text_col, shingle)
+def _bytes(v: np.ndarray) -> bytes:
+    return v.tobytes()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs of classes (a, b) whose sets reach num / den: first what sketches don't rule out, then whole sets."""
+def _with_reps(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(cls, rep): the row that stands for each of the classes."""
+    return classes.distinct().join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep"))
+
+
+def near_pairs(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of classes (a, b) that their sketches don't rule out."""
     both = pairs.join(sketched.toDF("a", "na", "x"), "a").join(sketched.toDF("b", "nb", "y"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
 
     def near(batches):
@@ -291,18 +305,19 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, sketched: Data
                 good[k] = _least_apart(np.frombuffer(x[k].as_buffer(), np.uint8), np.frombuffer(y[k].as_buffer(), np.uint8)) <= most[k]
             yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(good))
 
-    pairs = cut(both.select("a", "b", "x", "y", "na", "nb").mapInArrow(near, "a long, b long"), "jaccard-candidates")
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
-    items = _read_classes(docs, ids, "items", lambda v: v.tobytes(), id_col, text_col, shingle).drop("n")
-    both = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(near, "a long, b long")
+
+
+def linked(pairs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of classes (a, b) whose whole sets reach num / den."""
+    both = pairs.join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
 
     def check(batches):
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
             good = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                p, q = np.frombuffer(x[k].as_buffer(), U), np.frombuffer(y[k].as_buffer(), U)
-                z = np.concatenate([p, q])
+                z = np.concatenate([np.frombuffer(x[k].as_buffer(), U), np.frombuffer(y[k].as_buffer(), U)])
                 z.sort()
                 same = int((z[1:] == z[:-1]).sum())
                 good[k] = same * den >= num * (len(z) - same)
@@ -311,56 +326,53 @@ def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, sketched: Data
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def _far_pairs(wanted: DataFrame, docs: DataFrame, label: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the wanted classes (cls, rep) that may be linked and stand in different components.
+def _far_pairs(steps: Steps, members: DataFrame, items: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the members (cls) that may be linked and stand in different components.
 
     Linked sets share an element among the first n - ceil(n * num / den) + 1 of each in any one
     order. The order is by how many sets hold an element, rare ones first; that is counted in a table
-    of bounded size, and elements in one slot go by their hash. Sets are read from the texts again
-    and only those first elements leave the task.
+    of bounded size, and elements in one slot go by their hash. Only those first elements are moved.
     """
-    spark = docs.sparkSession
-    bits = min(22, max(14, int(wanted.count()).bit_length() + 3))
-    packed = _mask(wanted)
+    spark = members.sparkSession
+    sets = steps.cut(items.join(members, "cls", "left_semi").join(label.toDF("cls", "l"), "cls", "left").select("cls", F.coalesce("l", "cls").alias("l"), "n", "items"), "jaccard-far")
+    bits = min(20, max(12, sets.count().bit_length() + 3))
 
     def slots(batches):
         made = np.zeros(1 << bits, np.int64)
-        for _, sets, bounds, _, some in _wanted_sets(batches, packed, shingle):
-            mine = np.zeros(len(bounds) - 1, bool)
-            mine[some] = True
-            made += np.bincount((K.mix(sets[np.repeat(mine, np.diff(bounds))]) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+        for batch in batches:
+            for v in batch.column(0):
+                made += np.bincount((K.mix(np.frombuffer(v.as_buffer(), U)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
         some = np.flatnonzero(made)
         yield pa.record_batch([pa.array(some), pa.array(made[some])], ["slot", "n"])
 
-    got = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** bits rows
+    got = sets.select("items").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** bits rows
     often = np.zeros(1 << bits, np.int64)
     often[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     held = spark.sparkContext.broadcast(often)
 
     def first(v):
         n = len(v) + (-len(v) * num) // den + 1
-        return v[np.lexsort((v, held.value[(K.mix(v) >> U(64 - bits)).astype(np.int64)]))[:n]].tobytes()
-
-    sets = _read_classes(docs, wanted, "firsts", first, id_col, text_col, shingle).join(label.toDF("cls", "l"), "cls", "left").select("cls", F.coalesce("l", "cls").alias("l"), "n", "firsts")
+        return v[np.lexsort((v, held.value[(K.mix(v) >> U(64 - bits)).astype(np.int64)]))[:n]].view(np.int64)
 
     def spread(batches):
         for batch in batches:
-            made = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(3)]
+            made = [first(np.frombuffer(v.as_buffer(), U)) for v in batch.column(3)]
             size = [len(v) for v in made]
             if made:
                 yield pa.record_batch([pa.array(np.concatenate(made)), *(pa.array(np.repeat(batch.column(k).to_numpy(), size)) for k in range(3))], ["e", "x", "l", "n"])
 
-    ranked = cut(sets.mapInArrow(spread, "e long, x long, l long, n long"), "jaccard-firsts")
+    ranked = steps.cut(sets.select("cls", "l", "n", "items").mapInArrow(spread, "e long, x long, l long, n long"), "jaccard-firsts")
     other = ranked.toDF("e", "y", "m", "k")
-    return ranked.join(other, "e").where((F.col("x") < F.col("y")) & (F.col("l") != F.col("m")) & (F.least("n", "k") * den >= F.greatest("n", "k") * num)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    pairs = ranked.join(other, "e").where((F.col("x") < F.col("y")) & (F.col("l") != F.col("m")) & (F.least("n", "k") * den >= F.greatest("n", "k") * num))
+    return steps.cut(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-far-pairs")
 
 
-def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: DataFrame, tested: DataFrame, sketched: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links, and pairs left to verify, among the members of large groups that span components.
+def _settled(steps: Steps, asked: DataFrame, items: DataFrame, label: DataFrame, sketched: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b), pairs left to verify, and far members (p, x), of pivots and members (p, x).
 
     A member x is near its pivot if they differ in at most half as many elements as x has; members
     that differ in more than (1.5 * den - num) / num times as many can't be linked to near ones, so
-    they only ask for each other: see `_far_pairs`. Those between are asked for both ways.
+    they only ask for each other: they are far. Those between are asked for both ways.
 
     Around a pivot p the members are told by how they differ from their consensus: p, with every
     shingle flipped in which most of some members differ from it. With d the size of that difference
@@ -370,25 +382,16 @@ def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: D
     beyond them is linked unless it shares elements; such pairs are found by the rarest elements, as
     many as the bound asks for.
     """
-    at = stars.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
-    mixed = at.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a").distinct()
-    near = stars.join(mixed, "a", "left_semi").union(mixed.select("a", F.col("a").alias("b")))
-    near = cut(near.toDF("p", "x"), "jaccard-near")
-    if near.isEmpty():
-        none = tested.limit(0)
-        return none, none
+
     def bounded(batches):  # sketches tell most members that are too far without reading their sets
         for batch in batches:
             p, x, n, of_p, of_x = (batch.column(k) for k in range(5))
             least = np.array([_least_apart(np.frombuffer(of_p[k].as_buffer(), np.uint8), np.frombuffer(of_x[k].as_buffer(), np.uint8)) for k in range(batch.num_rows)], np.int64)
             yield pa.record_batch([p, x, pa.array(2 * num * least > (3 * den - 2 * num) * n.to_numpy())], ["p", "x", "far"])
 
-    both = near.join(sketched.toDF("x", "n", "of_x"), "x").join(sketched.toDF("p", "n_p", "of_p"), "p")
-    told = cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(bounded, "p long, x long, far boolean"), "jaccard-told")
+    both = asked.join(sketched.toDF("x", "n", "of_x"), "x").join(sketched.toDF("p", "n_p", "of_p"), "p")
+    told = steps.cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(bounded, "p long, x long, far boolean"), "jaccard-told")
     near = told.where("not far").drop("far")
-    reps = lambda cls: cut(cls.distinct().join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
-    wanted = reps(near.select(F.col("x").alias("cls")))  # each pivot is its own nearest member
-    items = cut(_read_classes(docs, wanted, "items", lambda v: v.tobytes(), id_col, text_col, shingle), "jaccard-items")
 
     def differ(batches):
         for batch in batches:
@@ -406,10 +409,12 @@ def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: D
             yield pa.record_batch([p, x, n, pa.array(far), pa.array(made, pa.list_(pa.int64()))], ["p", "x", "n", "far", "delta"])
 
     both = near.join(items.select(F.col("cls").alias("x"), "n", F.col("items").alias("of_x")), "x").join(items.select(F.col("cls").alias("p"), F.col("items").alias("of_p")), "p")
-    delta = cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(differ, "p long, x long, n long, far boolean, delta array<long>"), "jaccard-delta")
-    far = reps(delta.where("far").select(F.col("x").alias("cls")).union(told.where("far").select("x")))
-    apart = cut(_far_pairs(far, docs, label, id_col, text_col, shingle, num, den), "jaccard-far-pairs")
+    delta = steps.cut(both.select("p", "x", "n", "of_p", "of_x").mapInArrow(differ, "p long, x long, n long, far boolean, delta array<long>"), "jaccard-delta")
+    far = told.where("far").select("p", "x").union(delta.where("far").select("p", "x"))
     delta = delta.where("delta is not null").drop("far")
+    # groups in which all those that are asked for stand in one component have nothing to settle
+    of = delta.select("p", "x").join(label.toDF("x", "l"), "x", "left").groupBy("p").agg(F.min(F.coalesce("l", "x")).alias("low"), F.max(F.coalesce("l", "x")).alias("high"))
+    delta = delta.join(of.where("low <> high").select("p"), "p", "left_semi")
     size = delta.groupBy("p").agg(F.count("*").alias("k"))
     # the consensus is that of some POLLED members: it decides how short the differences are, not what is found
     polled = delta.join(size, "p").where(F.pmod(F.xxhash64("p", "x"), F.greatest(F.lit(1), (F.col("k") / POLLED).cast("long"))) == 0)
@@ -419,24 +424,43 @@ def _around_pivots(stars: DataFrame, docs: DataFrame, found: DataFrame, label: D
     delta = delta.join(flips, "p", "left").withColumn("flip", F.coalesce("flip", none))
     delta = delta.select("p", "x", "n", F.concat(F.array_except("delta", "flip"), F.array_except("flip", "delta")).alias("delta"))
     weight = den + num
-    delta = cut(delta.withColumn("s", weight * F.size("delta") - (den - num) * F.col("n")), "jaccard-consensus")
-    mid = cut(delta.groupBy("p").agg(F.min(F.struct("s", "x")).alias("m")).select("p", F.col("m.s").alias("sm"), F.col("m.x").alias("m")), "jaccard-middle")
+    delta = steps.cut(delta.withColumn("s", weight * F.size("delta") - (den - num) * F.col("n")), "jaccard-consensus")
+    mid = steps.cut(delta.groupBy("p").agg(F.min(F.struct("s", "x")).alias("m")).select("p", F.col("m.s").alias("sm"), F.col("m.x").alias("m")), "jaccard-middle")
     delta = delta.join(mid, "p")
-    sure = delta.where("s + sm <= 0 and x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
+    sure = steps.cut(delta.where("s + sm <= 0 and x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct(), "jaccard-links")
     delta = delta.join(label.toDF("x", "lx"), "x", "left").join(label.toDF("m", "lm"), "m", "left")
     delta = delta.withColumn("asks", (F.col("s") + F.col("sm") > 0) & (F.coalesce("lx", "x") != F.coalesce("lm", "m")))
-    asked = delta.where("asks").select("p").distinct()
-    delta = delta.join(asked, "p", "left_semi")
+    delta = delta.join(delta.where("asks").select("p").distinct(), "p", "left_semi")
     need = lambda other: F.greatest(F.lit(1), F.ceil((F.col("s") + other) / (2 * weight)))
     delta = delta.select("p", "x", "asks", (F.size("delta") - need(1 - F.col("sm")) + 1).alias("index"), (F.size("delta") - need(F.col("sm")) + 1).alias("probe"), F.explode("delta").alias("e"))
-    delta = cut(delta, "jaccard-elements")
+    delta = steps.cut(delta, "jaccard-elements")
     often = delta.groupBy("p", "e").agg(F.count("*").alias("c"))
     ranked = delta.join(often, ["p", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("p", "x").orderBy("c", "e"))).where("c > 1")
-    ranked = cut(ranked.where("rank <= index or asks and rank <= probe").select("p", "e", "x", (F.col("asks") & (F.col("rank") <= F.col("probe"))).alias("asks"), (F.col("rank") <= F.col("index")).alias("told")), "jaccard-ranked")
+    ranked = steps.cut(ranked.where("rank <= index or asks and rank <= probe").select("p", "e", "x", (F.col("asks") & (F.col("rank") <= F.col("probe"))).alias("asks"), (F.col("rank") <= F.col("index")).alias("told")), "jaccard-ranked")
     left = ranked.where("asks").select("p", "e", F.col("x").alias("x1"))
     right = ranked.where("told or asks").select("p", "e", F.col("x").alias("x2"))
-    rest = left.join(right, ["p", "e"]).where("x1 <> x2").select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).union(apart).distinct()
-    return cut(sure, "jaccard-links"), cut(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    rest = left.join(right, ["p", "e"]).where("x1 <> x2").select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+    return sure, steps.cut(rest, "jaccard-pairs"), far
+
+
+def _around_pivots(steps: Steps, stars: DataFrame, items: DataFrame, label: DataFrame, sketched: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs left to verify, among the members (p, x) of groups.
+
+    Each turn settles what is near a pivot; the far members of a group get a pivot of their own, so a
+    turn costs one comparison a member. Groups that are down to one component are done.
+    """
+    none = stars.select(F.col("p").alias("a"), F.col("x").alias("b")).limit(0)
+    sure, rest, asked = none, none, stars
+    for turn in range(ROUNDS):
+        links, pairs, far = _settled(steps, asked, items, label, sketched, num, den)
+        sure, rest = sure.union(links), rest.union(pairs)
+        far = steps.cut(far.join(label.toDF("x", "l"), "x", "left").select("p", "x", F.coalesce("l", "x").alias("l")), "jaccard-far-members")
+        kinds = far.groupBy("p", "l").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), "x")).alias("least"))
+        heads = kinds.groupBy("p").agg(F.max(F.struct("n", "least.h", "least.x")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("p", F.col("m.x").alias("q"))
+        asked = steps.cut(far.join(heads, "p").select(F.col("q").alias("p"), "x").distinct(), "jaccard-asked")
+        if asked.isEmpty():
+            return sure, rest.distinct()
+    return sure, rest.union(_far_pairs(steps, asked.select(F.col("x").alias("cls")).distinct(), items, label, num, den)).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, with_class: bool = False) -> DataFrame:
@@ -448,6 +472,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     ship(spark)
+    steps = Steps(spark)
     rows = cut(classes(docs, id_col, text_col, shingle), "jaccard-classes")
     found = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     # signatures get as many bits as the rows call for: one in 2 ** SPARE rows meets a stranger
@@ -455,20 +480,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = signatures(docs, id_col, text_col, shingle, num, den, min(64, max(32, int(most).bit_length() + SPARE)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = signed.repartition(parts, "sig").sortWithinPartitions("sig", "member").mapInArrow(_runs, "a long, b long, star boolean")
-    grouped = cut(grouped.distinct(), "jaccard-groups")
+    grouped = steps.cut(grouped.distinct(), "jaccard-groups")
     release(spark)
-    tested = cut(grouped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    wanted = tested.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = cut(wanted.join(found, "cls").select("cls", F.coalesce("rep", F.lit(0)).alias("rep")), "jaccard-wanted")
-    sketched = cut(sketches(docs, wanted, id_col, text_col, shingle), "jaccard-sketches")
-    prove = lambda pairs: cut(verified(pairs, docs, found, sketched, id_col, text_col, shingle, num, den), "jaccard-links")
-    links = prove(tested)
+    read = lambda of, name, kind: _read_classes(steps, docs, steps.cut(_with_reps(of, found), "jaccard-wanted"), name, kind, id_col, text_col, shingle)
+    tested = steps.cut(grouped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    sketched = read(tested.select(F.explode(F.array("a", "b")).alias("cls")), "sketch", _sketch)
+    near = steps.cut(near_pairs(tested, sketched, num, den), "jaccard-candidates")
+    items = read(near.select(F.explode(F.array("a", "b")).alias("cls")), "items", _bytes)
+    links = cut(linked(near, items, num, den), "jaccard-links")
     release(spark)
     label = components(links, "jaccard-components")
-    sure, rest = _around_pivots(grouped.where("star").select("a", "b"), docs, found, label, tested, sketched, id_col, text_col, shingle, num, den)
-    if not sure.isEmpty() or not rest.isEmpty():
-        links = cut(links.union(sure).union(prove(rest)).distinct(), "jaccard-links")
+    stars = grouped.where("star").select("a", "b")
+    mixed = stars.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a").distinct()
+    stars = steps.cut(stars.join(mixed, "a", "left_semi").union(mixed.select("a", F.col("a").alias("b"))).toDF("p", "x"), "jaccard-stars")
+    if not stars.isEmpty():
+        items = read(stars.select(F.col("x").alias("cls")), "items", _bytes)  # a pivot is a member of its group
+        sure, rest = _around_pivots(steps, stars, items, label, sketched, num, den)
+        rest = steps.cut(near_pairs(rest.join(tested, ["a", "b"], "left_anti"), sketched, num, den), "jaccard-candidates")
+        links = cut(links.union(sure).union(linked(rest, items, num, den)).distinct(), "jaccard-links")
         label = components(links, "jaccard-components")
+    steps.clear()
+    release(spark)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = found.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
