@@ -48,6 +48,8 @@ FILTER_SPARE, FILTER_MOST = 3, 27
 ROUNDS = 4
 #: Members of a large group that say what its consensus is, about.
 POLLED = 32
+#: Bands of lengths in the reach of one.
+BANDS = 4
 #: Bits of a signature beyond those that count the rows.
 SPARE = 12
 
@@ -429,17 +431,31 @@ def _settled(steps: Steps, asked: DataFrame, items: DataFrame, label: DataFrame,
     delta = delta.join(mid, "p")
     sure = steps.cut(delta.where("s + sm <= 0 and x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct(), "jaccard-links")
     delta = delta.join(label.toDF("x", "lx"), "x", "left").join(label.toDF("m", "lm"), "m", "left")
-    delta = delta.withColumn("asks", (F.col("s") + F.col("sm") > 0) & (F.coalesce("lx", "x") != F.coalesce("lm", "m")))
+    delta = delta.select("p", "x", "n", "s", F.coalesce("lx", "x").alias("l"), F.size("delta").alias("d"), "delta", ((F.col("s") + F.col("sm") > 0) & (F.coalesce("lx", "x") != F.coalesce("lm", "m"))).alias("asks"))
     delta = delta.join(delta.where("asks").select("p").distinct(), "p", "left_semi")
-    need = lambda other: F.greatest(F.lit(1), F.ceil((F.col("s") + other) / (2 * weight)))
-    delta = delta.select("p", "x", "asks", (F.size("delta") - need(1 - F.col("sm")) + 1).alias("index"), (F.size("delta") - need(F.col("sm")) + 1).alias("probe"), F.explode("delta").alias("e"))
+    # linked sets differ in length of their differences by (den - num) / weight of their sizes at most: each asks the
+    # bands of lengths in reach, and how many elements they have to share follows from the least s of a band
+    wide = F.floor(2 * F.max("n") * (den - num) / weight)
+    step = F.greatest(F.lit(1), F.floor(wide / BANDS))
+    delta = steps.cut(delta.join(delta.groupBy("p").agg(step.alias("step"), (F.floor(wide / step) + 1).alias("reach")), "p").withColumn("band", F.floor(F.col("d") / F.col("step"))), "jaccard-banded")
+    near_bands = F.explode(F.sequence(F.greatest(F.lit(0), F.col("band") - F.col("reach")), F.col("band") + F.col("reach"))).alias("to")
+    low = steps.cut(delta.groupBy("p", "band", "reach").agg(F.min("s").alias("low"), F.min(F.when(F.col("asks"), F.col("s"))).alias("low_asks")), "jaccard-bands")
+    need = lambda other: F.greatest(F.lit(1), F.ceil((F.col("s") + F.col(other)) / (2 * weight)))
+    probes = delta.where("asks").select("p", "x", "d", "s", near_bands).join(low.select("p", F.col("band").alias("to"), "low"), ["p", "to"])
+    probes = steps.cut(probes.select("p", "x", "to", (F.col("d") - need("low") + 1).alias("first")).where("first > 0"), "jaccard-probes")
+    asked_by = low.where("low_asks is not null").select("p", near_bands, "low_asks").groupBy("p", F.col("to").alias("band")).agg(F.min("low_asks").alias("low_asks"))
+    delta = delta.join(asked_by, ["p", "band"], "left").join(probes.groupBy("p", "x").agg(F.max("first").alias("probe")), ["p", "x"], "left")
+    delta = delta.select("p", "x", "l", "d", "s", "band", F.coalesce(F.col("d") - need("low_asks") + 1, F.lit(0)).alias("index"), F.coalesce("probe", F.lit(0)).alias("probe"), F.explode("delta").alias("e"))
     delta = steps.cut(delta, "jaccard-elements")
     often = delta.groupBy("p", "e").agg(F.count("*").alias("c"))
-    ranked = delta.join(often, ["p", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("p", "x").orderBy("c", "e"))).where("c > 1")
-    ranked = steps.cut(ranked.where("rank <= index or asks and rank <= probe").select("p", "e", "x", (F.col("asks") & (F.col("rank") <= F.col("probe"))).alias("asks"), (F.col("rank") <= F.col("index")).alias("told")), "jaccard-ranked")
-    left = ranked.where("asks").select("p", "e", F.col("x").alias("x1"))
-    right = ranked.where("told or asks").select("p", "e", F.col("x").alias("x2"))
-    rest = left.join(right, ["p", "e"]).where("x1 <> x2").select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+    ranked = delta.join(often, ["p", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("p", "x").orderBy("c", "e"))).where("c > 1 and rank <= greatest(index, probe)")
+    ranked = steps.cut(ranked, "jaccard-ranked")
+    left = ranked.where("rank <= probe").join(probes, ["p", "x"]).where("rank <= first").select("p", "e", F.col("to").alias("band"), F.col("x").alias("x1"), F.col("l").alias("l1"), F.col("s").alias("s1"), F.col("d").alias("d1"), F.col("rank").alias("r1"))
+    right = ranked.where("rank <= index").select("p", "e", "band", F.col("x").alias("x2"), F.col("l").alias("l2"), F.col("s").alias("s2"), F.col("d").alias("d2"), F.col("rank").alias("r2"))
+    # what two members share lies in front of an element that they share, is it, or lies behind it
+    shared = F.least("r1", "r2") + F.least(F.col("d1") - F.col("r1"), F.col("d2") - F.col("r2"))
+    rest = left.join(right, ["p", "e", "band"]).where((F.col("l1") != F.col("l2")) & (F.col("s1") + F.col("s2") <= 2 * weight * shared))
+    rest = rest.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
     return sure, steps.cut(rest, "jaccard-pairs"), far
 
 
