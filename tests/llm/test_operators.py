@@ -44,7 +44,7 @@ def base(t):
 
 
 def test_base_rules_and_boilerplate(spark, corpus):
-    limits = line_rules.Limits(min_docs=5, max_share=10)
+    limits = line_rules.Limits(min_docs=5, max_share=10, enough=10**6)
     got = line_rules.line_rules(table(spark, corpus), limits=limits).collect()
     want = Counter((i, *base(t)) for i, t, _ in corpus)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
@@ -113,53 +113,64 @@ def test_entries_hold_from_their_date_until_the_next_change(spark):
     assert url_list.judge(s.limit(0), e).count() == 0 and not url_list.judge(s, e.limit(0)).where("blocked").count()
 
 
-def test_losses_are_those_of_plain_counting(spark, corpus):
-    corpus = corpus[:30] + corpus[120:]  # so few bigrams that none share a slot
-    target = spark.createDataFrame([(i,) for i in range(0, 120, 3)], "doc_id long")
-    got = cross_entropy.cross_entropy_difference(table(spark, corpus), target).collect()
+def plain_losses(rows):
+    """Losses by plain counting of rows (id, text, role, fold)."""
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    uni, bi = (Counter(), Counter()), (Counter(), Counter())
-    for i, t, _ in corpus:
-        k, w = 0 if i is not None and i < 120 and i % 3 == 0 else 1, ["|", *words(lower(t)), "|"]
-        uni[k].update(w[1:])
-        bi[k].update(zip(w, w[1:], strict=False))
-    ids = len({w for u in uni for w in u}) + 1  # and the unknown word
-    want = Counter()
-    for i, t, _ in corpus:
-        w, loss = ["|", *words(lower(t)), "|"], []
-        for u, b in zip(uni, bi, strict=True):
+    ends = lambda t: ["|", *words(lower(t)), "|"]
+    uni, bi = {}, {}
+    for f in (0, 1):
+        for role in (1, 2):
+            u, b = uni[f, role], bi[f, role] = Counter(), Counter()
+            for _, t, r, fold in rows:
+                if r == role and fold != f:
+                    w = ends(t)
+                    u.update(w[1:])
+                    b.update(zip(w, w[1:], strict=False))
+    made = Counter()
+    for i, t, _, f in rows:
+        w, loss = ends(t), []
+        ids = len(set(uni[f, 1]) | set(uni[f, 2])) + 1  # and the unknown word
+        for role in (1, 2):
+            u, b = uni[f, role], bi[f, role]
             p = [(b[x, y] + 50 * (u[y] + 1) / (u.total() + ids)) / (u[x] + 50) for x, y in zip(w, w[1:], strict=False)]
             loss.append(-sum(map(math.log, p)) / len(p))
-        want[i, len(w) - 2, round(loss[0], 5), round(loss[0] - loss[1], 5)] += 1
-    assert Counter((r.doc_id, r.n_tokens, round(r.target_loss, 5), round(r.difference, 5)) for r in got) == want
+        made[i, len(w) - 2, round(loss[0], 5), round(loss[0] - loss[1], 5)] += 1
+    for f in (0, 1):  # p sums to 1 over the shared vocabulary and the unknown word
+        every = set(uni[f, 1]) | set(uni[f, 2]) | {None}
+        for u, b in ((uni[f, 1], bi[f, 1]), (uni[f, 2], bi[f, 2])):
+            total = sum((b["|", y] + 50 * (u[y] + 1) / (u.total() + len(every))) / (u["|"] + 50) for y in every)
+            assert total == pytest.approx(1)
+    return made
+
+
+def losses(df):
+    return Counter((r.doc_id, r.n_tokens, round(r.target_loss, 5), round(r.difference, 5)) for r in df.collect())
 
 
-def test_losses_count_every_word_and_bigram_however_many(spark):
+def test_losses_are_those_of_plain_counting(spark, corpus):
+    docs, target = table(spark, corpus), spark.createDataFrame([(i,) for i in range(0, 120, 3)], "doc_id long")
+    rows = [tuple(r) for r in cross_entropy.roles(docs, target).collect()]
+    by = Counter()
+    for i, t, role, _ in rows:
+        assert (role != 2) if i is not None and i < 120 and i % 3 == 0 else (role != 1)
+        by[role] += len((t or "").encode())
+    assert by[1] and by[2]
+    assert len({(t, f) for _, t, _, f in rows}) == len({t for _, t, _, _ in rows})  # copies share a fold
+    assert losses(cross_entropy.cross_entropy_difference(docs, target)) == plain_losses(rows)
+
+
+def test_losses_count_every_word_and_bigram_in_many_chunks_and_buckets(spark):
     rng = random.Random(3)
-    n = 60_000  # more words than any fixed vocabulary of 50,000, each in a text of the target and in one of the rest
+    n = 21_000  # each word stands in a text of the target and in one of the rest
     names = [f"v{k}" for k in range(n)]
     rows = []
     for half in (0, 1):
         rng.shuffle(names)
         rows += [(2 * k + half, " ".join(names[k * 30: k * 30 + 30]), "s") for k in range(n // 30)]
-    target = spark.createDataFrame([(2 * k,) for k in range(n // 30)], "doc_id long")
-    got = cross_entropy.cross_entropy_difference(table(spark, rows), target).collect()
-    uni, bi = (Counter(), Counter()), (Counter(), Counter())
-    for i, t, _ in rows:
-        w = ["|", *words(t), "|"]
-        uni[i % 2].update(w[1:])
-        bi[i % 2].update(zip(w, w[1:], strict=False))
-    want, every = {}, [u.total() for u in uni]
-    for i, t, _ in rows:
-        w, loss = ["|", *words(t), "|"], []
-        for u, b, total in zip(uni, bi, every, strict=True):
-            p = [(b[x, y] + 50 * (u[y] + 1) / (total + n + 2)) / (u[x] + 50) for x, y in zip(w, w[1:], strict=False)]
-            loss.append(-sum(map(math.log, p)) / len(p))
-        want[i] = loss
-    assert len(got) == len(want)
-    assert all(r.target_loss == pytest.approx(want[r.doc_id][0]) and r.background_loss == pytest.approx(want[r.doc_id][1]) for r in got)
-    small = cross_entropy.cross_entropy_difference(table(spark, rows), target, size=20_000).collect()  # many chunks
-    assert {r.doc_id: r.difference for r in small} == pytest.approx({r.doc_id: r.difference for r in got})
+    docs, target = table(spark, rows), spark.createDataFrame([(2 * k,) for k in range(n // 30)], "doc_id long")
+    want = plain_losses([tuple(r) for r in cross_entropy.roles(docs, target).collect()])
+    assert losses(cross_entropy.cross_entropy_difference(docs, target)) == want
+    assert losses(cross_entropy.cross_entropy_difference(docs, target, size=40_000, bucket=1000)) == want
 
 
 def test_ids_come_back_as_the_tokenizer_gives_them(spark, corpus):

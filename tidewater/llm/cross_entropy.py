@@ -1,21 +1,26 @@
 """Cross-entropy difference: how much more a document reads like a target than like the rest.
 
-Two bigram models with one vocabulary, one order and one smoothing are counted over all documents:
-the target's over those marked as such, the background's over all others. A document's score is the
-mean over its tokens of the target's loss less the background's, in nats; the lower, the closer to
-the target. The vocabulary is every word of the whole corpus; a boundary stands before and after
-each text and is predicted like a word.
-
-The counts are exact and grow with the corpus; no task and no broadcast holds them. Texts are dealt
-into chunks of about CHUNK bytes. A chunk counts its words and bigrams under keys of 63 hashed bits
-(among a billion distinct keys, two that are equal come up in about one corpus of 20). The keys are
-dealt by their first bits into buckets, whose number grows with the corpus; a bucket sums its keys
-over the chunks and gives each chunk the sums that differ from its own. So a hot bigram stands once
-a chunk, and one that a single chunk holds isn't sent back at all.
+Two bigram models with one vocabulary, one order, one smoothing and about as much text are counted:
+the target's over the documents marked as such, the background's over a seeded sample of all others
+whose size matches (if the others are fewer, the target is sampled instead). Both grow with the
+corpus. A document's score is the mean over its tokens of the target's loss less the background's, in
+nats; the lower, the closer to the target. A boundary stands before and after each text and is
+predicted like a word.
+
+No document is scored by a model that holds it or a copy of it: a hash of the text deals all
+documents into two folds, and each fold is scored by the models counted over the other.
 
     p(w | h) = (c(h, w) + STRENGTH * p(w)) / (c(h) + STRENGTH),  p(w) = (c(w) + 1) / (n + ids)
 
-Here `ids` is the number of distinct words, the boundary and a word that nobody has seen.
+Here `ids` is the number of distinct words of both models of a fold, the boundary and a word that
+nobody has seen; p sums to 1 over them.
+
+The counts are exact and no task and no broadcast holds a model. Words and bigrams have keys of 63
+hashed bits (among a billion distinct keys, two that are equal come up in about one corpus of 20).
+Texts are dealt into chunks of about CHUNK bytes; a chunk asks for each of its keys once, however
+often it stands there. Keys are dealt by their first bits into buckets of about BUCKET keys of the
+model; a task reads a bucket of the model and then streams the chunks' questions past it, so its
+memory doesn't grow with the corpus.
 
 Defined cases: null and empty texts have no words, only the boundary is predicted; null ids are never
 target; rows that repeat are counted and scored each; without target documents that model is even; an
@@ -34,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm.common import cut, release, ship
+from tidewater.llm.common import Steps, cut, release, ship
 
 U = np.uint64
-#: Bytes of text that are counted and scored together, and the weight of the unigrams.
-CHUNK, STRENGTH = 8 << 20, 50.0
+#: Bytes of text that are scored together, keys of the model that are held together, and the weight of the unigrams.
+CHUNK, BUCKET, STRENGTH = 8 << 20, 1 << 17, 50.0
 #: Keys of words are odd, those of bigrams even.
 BOUNDARY = U(1)
 
@@ -54,39 +59,64 @@ def _keys(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield whole[:-1], whole[1:], first
 
 
-def _counts(columns: list[pa.Array], targets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of the words and bigrams of some texts, their counts (keys, 2), the places of each
-    token's context, word and bigram among the keys, and the tokens of each text."""
-    runs = [r for c in columns for r in _keys(c)]
-    context, word = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
-    lengths = np.concatenate([np.diff(r[2]) for r in runs])
-    pair = K.mix(context ^ K.mix(word + U(16))) & ~U(1)
-    keys, at = np.unique(np.concatenate([word, pair]), return_inverse=True)
-    of = np.tile(np.repeat(np.concatenate(targets), lengths), 2)
-    counts = np.stack([np.bincount(at[of], minlength=len(keys)), np.bincount(at[~of], minlength=len(keys))], axis=1)
-    # a context is the word before, or the boundary, which ends each text and so is a word too
-    return keys, counts, np.searchsorted(keys, context), at[: len(word)], at[len(word):], lengths
+def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return K.mix(context ^ K.mix(word + U(16))) & ~U(1)
 
 
-def marked(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, text, target) of every row: whether its id is one of `targets` (its first column)."""
+def roles(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 23) -> DataFrame:
+    """(key, text, role, fold) of every row: role 1 trains the target's model, 2 the background's, 0 none."""
     ids = targets.select(F.col(targets.columns[0]).alias("key")).where("key is not null").distinct().withColumn("hit", F.lit(True))
-    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(ids, "key", "left").select("key", "text", F.col("hit").isNotNull().alias("target"))
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    every = rows.agg(F.sum(size)).first()[0] or 0
+    of_target = rows.select("key", size.alias("size")).join(ids, "key").agg(F.sum("size")).first()[0] or 0
+    other = every - of_target
+    rate = {True: min(1.0, other / max(1, of_target)), False: min(1.0, of_target / max(1, other))}
+    drawn = lambda hit: F.pmod(F.xxhash64("key", "text", F.lit(seed)), F.lit(1 << 40)) < F.lit(int(rate[hit] * (1 << 40)))
+    role = F.when(F.col("hit").isNotNull() & drawn(True), 1).when(F.col("hit").isNull() & drawn(False), 2).otherwise(0)
+    return rows.join(ids, "key", "left").select("key", "text", role.alias("role"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int").alias("fold"))
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(key, text, target, chunk): runs of rows of about `size` bytes; a written table, so that they stay."""
+    """(key, text, role, fold, chunk): rows of one fold with about `size` bytes; a written table, so that they stay."""
 
     def rows(batches):
-        chunk, held = TaskContext.get().partitionId() << 32, 0
+        first, held = TaskContext.get().partitionId() << 32, [0, 0]
         for batch in batches:
             n = np.array([len(v) if v else 0 for v in batch.column(1).to_pylist()], np.int64)
-            before = np.cumsum(n) - n + held
-            held += int(n.sum())
-            yield batch.append_column("chunk", pa.array(chunk + before // size))
+            fold = batch.column(3).to_numpy()
+            chunk = np.zeros(len(n), np.int64)
+            for f in (0, 1):
+                mine = fold == f
+                chunk[mine] = first + (held[f] + np.cumsum(n[mine]) - n[mine]) // size * 2 + f
+                held[f] += int(n[mine].sum())
+            yield batch.append_column("chunk", pa.array(chunk))
 
     kind = docs.schema["key"].dataType.simpleString()
-    return cut(docs.mapInArrow(rows, f"key {kind}, text string, target boolean, chunk long"), "cross-entropy-texts")
+    return cut(docs.mapInArrow(rows, f"key {kind}, text string, role int, fold int, chunk long"), "cross-entropy-texts")
+
+
+def model(texts: DataFrame) -> DataFrame:
+    """(fold, key, t, b): how often the models of a fold have seen each word (odd keys) and bigram (even ones)."""
+
+    def rows(batches):
+        for batch in batches:
+            role, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            at = 0
+            for context, word, first in _keys(batch.column(0)):
+                n = np.diff(first)
+                of = np.repeat(np.arange(at, at + len(n)), n)
+                at += len(n)
+                for f in (0, 1):
+                    mine = fold[of] != f  # a fold is scored by the other one's documents
+                    keys, inverse = np.unique(np.concatenate([word[mine], _pair(context[mine], word[mine])]), return_inverse=True)
+                    hit = np.tile(role[of[mine]] == 1, 2)
+                    yield pa.record_batch(
+                        [pa.array(np.full(len(keys), f, np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.bincount(inverse[hit], minlength=len(keys))), pa.array(np.bincount(inverse[~hit], minlength=len(keys)))],
+                        ["fold", "key", "t", "b"])
+
+    made = texts.where("role > 0").select("text", "role", "fold").mapInArrow(rows, "fold int, key long, t long, b long")
+    return made.groupBy("fold", "key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -106,98 +136,126 @@ def _columns(table: pa.Table, *names: str) -> list[list]:
     return [table.column(n).to_pylist() for n in names]
 
 
-def counted(texts: DataFrame, bits: int) -> DataFrame:
-    """(chunk, bucket, place, t, b, words, all_t, all_b): sums of keys where they aren't the chunk's own counts.
-
-    A bucket holds the keys that begin with the same `bits`; `place` is among the chunk's keys of the
-    bucket. The last three are figures of all words of a bucket and stand in one of its rows.
-    """
-    shift = U(64 - bits)
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
+    """(chunk, its texts) of rows (text, chunk), held until a task has read all of a chunk."""
+    held: dict[int, list[pa.Array]] = {}
+    for batch in batches:
+        chunk = batch.column(1).to_numpy()
+        for c in np.unique(chunk).tolist():
+            for other in [x for x in held if x != c and x % 2 == c % 2]:  # chunks of a fold follow each other
+                yield other, held.pop(other)
+            held.setdefault(c, []).append(batch.column(0).filter(pa.array(chunk == c)))
+    yield from held.items()
 
-    def rows(batches):
-        now, columns, targets = None, [], []
-
-        def made():
-            keys, counts, *_ = _counts(columns, targets)
-            of = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
-            for k in range(0, len(edge) - 1, 100):
-                spans = [slice(*e) for e in zip(edge[k: k + 100], edge[k + 1: k + 101], strict=False)]
-                yield pa.record_batch(
-                    [pa.array([of[s.start] for s in spans], pa.int64()), pa.array([now] * len(spans), pa.int64()), pa.array([_steps(keys[s]) for s in spans], pa.binary()),
-                     pa.array([_packed(counts[s, 0]) for s in spans], pa.binary()), pa.array([_packed(counts[s, 1]) for s in spans], pa.binary())], ["bucket", "chunk", "n", "t", "b"])
 
+def looked_up(texts: DataFrame, models: DataFrame, bits: int) -> DataFrame:
+    """(chunk, n, keys, t, b): the keys of each chunk that the models of its fold have seen, with their counts."""
+    shift = U(64 - bits)
+    kind = "bucket long, kind int, chunk long, keys binary, t binary, b binary"
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def bucket_of(keys: np.ndarray) -> np.ndarray:
+        return (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+    def pieces(keys, fold, chunk, t=None, b=None):
+        of = bucket_of(keys)
+        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+        spans = [slice(*e) for e in zip(edge, edge[1:], strict=False) if e[1] > e[0]]
+        for k in range(0, len(spans), 100):
+            some = spans[k: k + 100]
+            fill = lambda v: pa.array([None] * len(some) if v is None else [_packed(v[s]) for s in some], pa.binary())  # noqa: E731, B023
+            yield pa.record_batch(
+                [pa.array([int(of[s.start]) * 2 + fold for s in some], pa.int64()), pa.array([int(t is None)] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()),
+                 pa.array([_steps(keys[s]) for s in some], pa.binary()), fill(t), fill(b)], names)
+
+    def of_model(batches):
         for batch in batches:
-            chunk = batch.column(2).to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])).tolist() + [len(chunk)]
-            for a, b in zip(edge, edge[1:], strict=False):
-                if b > a:
-                    if columns and chunk[a] != now:
-                        yield from made()
-                        columns, targets = [], []
-                    now = chunk[a]
-                    columns.append(batch.column(0).slice(a, b - a))
-                    targets.append(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False))
-        if columns:
-            yield from made()
-
-    def sums(table):
-        parts = [(c, np.cumsum(_unpacked(n)), _unpacked(t).astype(np.int64), _unpacked(b).astype(np.int64)) for c, n, t, b in zip(*_columns(table, "chunk", "n", "t", "b"), strict=True)]
-        keys, at = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
-        whole = np.zeros((len(keys), 2), np.int64)
-        for k in (0, 1):
-            np.add.at(whole[:, k], at, np.concatenate([x[2 + k] for x in parts]))
-        word = (keys & U(1)) == 1
-        figures = [int(word.sum()), *whole[word].sum(axis=0).tolist()]
-        own, first = {}, 0
-        for c, n, t, b in parts:  # a chunk that two tasks have read comes in two parts
-            own.setdefault(c, []).append((at[first: first + len(n)], np.stack([t, b], axis=1)))
-            first += len(n)
-        made = []
-        for c, of in own.items():
-            places, inverse = np.unique(np.concatenate([x[0] for x in of]), return_inverse=True)
-            mine = np.zeros((len(places), 2), np.int64)
-            np.add.at(mine, inverse, np.concatenate([x[1] for x in of]))
-            other = np.flatnonzero((mine != whole[places]).any(axis=1))
-            t, b = whole[places[other]].T
-            made.append((c, _steps(other), _packed(t), _packed(b)))
-        c, place, t, b = zip(*made, strict=True)
-        fill = lambda v: pa.array([v] + [0] * (len(c) - 1), pa.int64())
-        return pa.table(
-            [pa.array(c, pa.int64()), pa.array([table.column("bucket")[0].as_py()] * len(c), pa.int64()), *(pa.array(v, pa.binary()) for v in (place, t, b)), *map(fill, figures)],
-            ["chunk", "bucket", "place", "t", "b", "words", "all_t", "all_b"])
-
-    made = texts.select("text", "target", "chunk").mapInArrow(rows, "bucket long, chunk long, n binary, t binary, b binary")
-    made = made.groupBy("bucket").applyInArrow(sums, "chunk long, bucket long, place binary, t binary, b binary, words long, all_t long, all_b long")
-    return cut(made, "cross-entropy-counts")
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, strength: float = STRENGTH) -> DataFrame:
+            fold, keys, t, b = (batch.column(k).to_numpy() for k in range(4))
+            keys = keys.view(U)
+            for f in (0, 1):
+                order = np.flatnonzero(fold == f)
+                order = order[np.argsort(keys[order])]
+                if len(order):
+                    yield from pieces(keys[order], f, -1, t[order], b[order])
+
+    def of_chunks(batches):
+        for chunk, columns in _whole_chunks(batches):
+            asked = np.zeros(0, U)
+            for column in columns:
+                for context, word, _ in _keys(column):
+                    asked = np.union1d(asked, np.concatenate([word, _pair(context, word)]))
+            yield from pieces(asked, chunk % 2, chunk)
+
+    def answers(batches):
+        now, parts, ready = None, [], None
+        for batch in batches:
+            for bucket, kind, chunk, keys, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, parts, ready = bucket, [], None
+                keys = np.cumsum(_unpacked(keys), dtype=U)
+                if kind == 0:
+                    parts.append((keys, _unpacked(t), _unpacked(b)))
+                    continue
+                if ready is None:
+                    ready = [np.concatenate([p[k] for p in parts] or [np.zeros(0, U)]) for k in range(3)]
+                    order = np.argsort(ready[0])
+                    ready = [v[order] for v in ready]
+                at = np.minimum(np.searchsorted(ready[0], keys), max(0, len(ready[0]) - 1))
+                hit = np.flatnonzero(ready[0][at] == keys) if len(ready[0]) else at[:0]
+                if len(hit):
+                    yield pa.record_batch([pa.array([chunk]), *(pa.array([v], pa.binary()) for v in (_steps(keys[hit]), _packed(ready[1][at[hit]]), _packed(ready[2][at[hit]])))], ["chunk", "keys", "t", "b"])
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task packs the keys of whole buckets, so that a piece is long
+    top = F.shiftrightunsigned("key", 64 - bits) if bits else F.col("fold")
+    held = models.repartition(parts, top).sortWithinPartitions("fold", top).mapInArrow(of_model, kind)
+    asked = texts.select("text", "chunk").mapInArrow(of_chunks, kind)
+    both = held.unionByName(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    return both.mapInArrow(answers, "chunk long, keys binary, t binary, b binary")
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, bucket: int = BUCKET, strength: float = STRENGTH) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of every row."""
     spark = docs.sparkSession
     ship(spark)
-    texts = chunks(marked(docs, targets, id_col, text_col), size)
+    steps = Steps(spark)
+    texts = chunks(roles(docs, targets, id_col, text_col), size)
+    models = steps.cut(model(texts), "cross-entropy-model")
     release(spark)
-    bits = (max(0, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size).bit_length()  # buckets grow in number, not in size
-    sums = counted(texts, bits)
+    word = F.col("key") % 2 != 0
+    figures = {r[0]: r[1:] for r in models.groupBy("fold").agg(F.count_if(word), F.sum(F.when(word, F.col("t"))), F.sum(F.when(word, F.col("b"))), F.count("*")).collect()}  # two rows
+    bits = (sum(f[3] for f in figures.values()) // (2 * bucket)).bit_length()
+    found = cut(looked_up(texts, models, bits), "cross-entropy-counts")
+    steps.clear()
     release(spark)
-    words, t, b = sums.agg(F.sum("words"), F.sum("all_t"), F.sum("all_b")).first()
-    total, ids = np.array([t or 0, b or 0], np.float64), (words or 0) + 1
 
     def rate(left, right):
-        column, target = (left.column(n).combine_chunks() for n in ("text", "target"))
-        keys, counts, context, word, pair, lengths = _counts([column], [target.to_numpy(zero_copy_only=False)])
-        for bucket, place, st, sb in zip(*_columns(right, "bucket", "place", "t", "b"), strict=True):
-            at = np.cumsum(_unpacked(place)).astype(np.int64) + np.searchsorted(keys, U(bucket) << U(64 - bits) if bits else U(0))
-            counts[at, 0], counts[at, 1] = _unpacked(st), _unpacked(sb)
-        alone = (counts[word] + 1.0) / (total + ids)
-        p = (counts[pair] + strength * alone) / (counts[context] + strength)
-        first = np.cumsum(lengths) - lengths
-        loss = np.add.reduceat(-np.log(p), first, axis=0) / lengths[:, None]
+        column = left.column("text").combine_chunks()
+        fold = left.column("fold")[0].as_py() if left.num_rows else 0
+        words, t, b, _ = figures.get(fold, (0, 0, 0, 0))
+        total, ids = np.array([t or 0, b or 0], np.float64), words + 1
+        parts = [(np.cumsum(_unpacked(k), dtype=U), _unpacked(t), _unpacked(b)) for k, t, b in zip(*_columns(right, "keys", "t", "b"), strict=True)]
+        keys = np.concatenate([p[0] for p in parts] or [np.zeros(0, U)])
+        order = np.argsort(keys)
+        keys = np.concatenate([keys[order], [~U(0)]])  # what no model has seen stands at the end, with counts of 0
+        counts = np.zeros((len(keys), 2))
+        for k in (0, 1):
+            counts[:-1, k] = np.concatenate([p[1 + k] for p in parts] or [keys[:0]])[order]
+
+        def of(wanted):
+            at = np.searchsorted(keys, wanted)
+            return counts[np.where(keys[at] == wanted, at, len(keys) - 1)]
+
+        lengths, loss = [], []
+        for context, word, first in _keys(column):
+            p = (of(_pair(context, word)) + strength * (of(word) + 1.0) / (total + ids)) / (of(context) + strength)
+            lengths.append(np.diff(first))
+            loss.append(np.add.reduceat(-np.log(p), first[:-1], axis=0) / lengths[-1][:, None])
+        lengths, loss = np.concatenate(lengths), np.concatenate(loss)
         return pa.table(
             [left.column("key"), pa.array(lengths - 1), pa.array(loss[:, 0]), pa.array(loss[:, 1]), pa.array(loss[:, 0] - loss[:, 1])],
             ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.groupBy("chunk").cogroup(sums.select("chunk", "bucket", "place", "t", "b").groupBy("chunk")).applyInArrow(
+    return texts.select("key", "text", "fold", "chunk").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
         rate, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")

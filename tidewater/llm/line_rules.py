@@ -1,10 +1,12 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, single spaces) and hashed together with their host. A line that
-stands in at least `min_docs` distinct documents of a host, and in more than `max_share` per cent of
-them, is boilerplate of that host. Distinct documents are distinct texts, so a copied document
-doesn't turn its own lines into boilerplate. A document that loses more than `max_removed` per cent
-of its words is depleted.
+stands in at least `min_docs` distinct documents of a host is boilerplate of that host if those are
+more than `max_share` per cent of them, or `enough` documents whatever their share: in a host that
+holds a third of all rows no share would be reached. A document counts a line once, however often it
+repeats it. With `per_text` equal texts count as one document, so that a copied document doesn't turn
+its own lines into boilerplate. A document that loses more than `max_removed` per cent of its words is
+depleted.
 
 Defined cases: a null text counts as an empty one (no words: it fails the base rules); null hosts
 are one host; ids may be null or repeat, since rows are told apart by id, host and text, and equal
@@ -29,7 +31,9 @@ class Limits:
     """Production limits; shares are per cent."""
 
     min_docs: int = 10
-    max_share: int = 10
+    max_share: int = 5
+    enough: int = 10_000
+    per_text: bool = False
     max_removed: int = 70
     min_words: int = 10
     max_repeat: int = 20
@@ -47,7 +51,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit("host"), F.col(host_col)).alias("host"),
-        F.xxhash64(text).alias("content")).withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 62))), "host", "content"))
+        F.xxhash64(text).alias("content")).withColumn("row", _row(F.col("doc_id"), F.col("host"), F.col("content")))
+
+
+def _row(key: Column, host: Column, content: Column) -> Column:
+    """What rows are told apart by: the id, and a hash of all three."""
+    return F.struct(F.coalesce(key, F.lit(-(1 << 62))).alias("id"), F.xxhash64(key, host, content).alias("hash"))
 
 
 def base_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -73,14 +82,19 @@ def base_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def _lines(keyed: DataFrame) -> DataFrame:
     line = F.explode(F.filter(F.split("text", "\n"), lambda v: v.rlike(f"[^{SPACE}]"))).alias("line")
-    return keyed.select("row", "host", "content", line).select("row", "host", "content", _line_key(F.col("host"), F.col("line")).alias("key"), F.size(words(F.col("line"))).alias("n"))
+    return keyed.select("row", "host", line).select("row", _line_key(F.col("host"), F.col("line")).alias("key"), F.size(words(F.col("line"))).alias("n"))
 
 
 def boilerplate(keyed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(key, n_docs): the lines above the limits of their host."""
-    of_host = keyed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    seen = _lines(keyed).select("host", "key", "content").distinct().groupBy("host", "key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= limits.min_docs)
-    return seen.join(of_host, "host").where(F.col("n_docs") * 100 > F.col("host_docs") * limits.max_share).select("key", "n_docs")
+    lines = F.filter(F.split("text", "\n"), lambda v: v.rlike(f"[^{SPACE}]"))
+    host = F.col("host")
+    once = F.explode(F.array_distinct(F.transform(lines, lambda v: _line_key(host, v)))).alias("key")
+    docs = keyed.select("host", "content").distinct() if limits.per_text else keyed
+    of_host = docs.groupBy("host").agg(F.count("*").alias("host_docs"))
+    seen = keyed.select("host", "content", once)
+    seen = (seen.distinct() if limits.per_text else seen).groupBy("host", "key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= limits.min_docs)
+    return seen.join(of_host, "host").where((F.col("n_docs") >= limits.enough) | (F.col("n_docs") * 100 > F.col("host_docs") * limits.max_share)).select("key", "n_docs")
 
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
@@ -97,20 +111,23 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """The rows that pass, with their columns; boilerplate lines are gone from their texts."""
+    """The rows that pass, with their columns; boilerplate lines are gone from their texts.
+
+    Rows that fail by their own text go before the join, which moves each of the others once.
+    """
     keyed = _keyed(docs, id_col, text_col, host_col)
     lost = _lines(keyed).join(boilerplate(keyed, limits).select("key"), "key").groupBy("row").agg(F.collect_set("key").alias("gone"))
     every = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    host = F.xxhash64(F.lit("host"), F.col(f"doc.`{host_col}`"))
-    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
-    every = every.withColumns({"text": text, "host": host}).withColumn("row", F.xxhash64(F.coalesce(F.col(f"doc.`{id_col}`").cast("long"), F.lit(-(1 << 62))), "host", F.xxhash64("text")))
-    x = every.join(lost, "row", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda v: ~F.coalesce(F.array_contains("gone", _line_key(F.col("host"), v)), F.lit(False))), "\n")
-    x = x.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    text, host = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")), F.xxhash64(F.lit("host"), F.col(f"doc.`{host_col}`"))
+    every = every.withColumns({"text": text, "row": _row(F.col(f"doc.`{id_col}`").cast("long"), host, F.xxhash64(text))})
     # the filter stays above this projection: below it, each figure would be worked out many times over
-    x = base_rules(x, limits).withColumns({"remain": F.size(words(F.col("left"))), "place": F.monotonically_increasing_id()})
-    x = x.where((F.col("place") >= 0) & ~F.col("base_failed") & ((F.col("n_words") - F.col("remain")) * 100 <= F.col("n_words") * limits.max_removed))
-    new = {text_col: F.when(F.col("gone").isNull(), F.col(f"doc.`{text_col}`")).otherwise(F.col("left"))}
+    every = base_rules(every, limits).withColumn("place", F.monotonically_increasing_id()).where((F.col("place") >= 0) & ~F.col("base_failed")).select("doc", "row", "n_words")
+    x = every.join(lost, "row", "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda v: ~F.array_contains("gone", _line_key(host, v))), "\n")
+    x = x.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    x = x.withColumns({"remain": F.when(F.col("gone").isNotNull(), F.size(words(F.col("left")))).otherwise(F.col("n_words")), "place": F.monotonically_increasing_id()})
+    x = x.where((F.col("place") >= 0) & ((F.col("n_words") - F.col("remain")) * 100 <= F.col("n_words") * limits.max_removed))
+    new = {text_col: F.coalesce("left", F.col(f"doc.`{text_col}`"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("gone").isNull(), F.col("doc.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
     return x.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

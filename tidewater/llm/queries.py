@@ -31,10 +31,10 @@ lines AS (
   SELECT r, source, t, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
   FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
-of_host AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+of_host AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 bad AS (
-  SELECT x.source, x.k FROM (SELECT source, k, count(DISTINCT t) AS c FROM lines GROUP BY source, k) x
-  JOIN of_host h ON x.source IS NOT DISTINCT FROM h.source WHERE c >= 10 AND c * 100 > h.n * 10),
+  SELECT x.source, x.k FROM (SELECT source, k, count(DISTINCT r) AS c FROM lines GROUP BY source, k) x
+  JOIN of_host h ON x.source IS NOT DISTINCT FROM h.source WHERE c >= 10 AND (c >= 10000 OR c * 100 > h.n * 5)),
 lost AS (
   SELECT r, count(*) AS n, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS words
   FROM lines JOIN bad ON lines.source IS NOT DISTINCT FROM bad.source AND lines.k = bad.k GROUP BY r),
@@ -213,11 +213,12 @@ r{k} AS (SELECT doc_id, ids, replace(seq, {pattern}, '|') AS seq,
     return rf"""
 WITH k AS (SELECT map([{keys}], [{names}]) AS known),
 t AS (
-  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{stems}') THEN string_split(regexp_replace(regexp_replace(text, '([.!?:;])[ 	
+  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{stems}') THEN string_split(regexp_replace(regexp_replace(text, '([.!?:;])[ 	
 ]+', '' || chr(1), 'g'),
     '
-[ 	]*
-[ 	
+[ 	
+]*
+[ 	
 ]*', chr(1), 'g'), chr(1)) ELSE [] END AS parts FROM documents),
 i AS (
   SELECT doc_id, flatten(list_transform(list_filter(parts, lambda p: regexp_matches(lower(p), '{stems}')), lambda p:
