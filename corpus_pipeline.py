@@ -16,8 +16,8 @@ from tidewater.llm.common import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that are boilerplate of their source."""
-    return line_rules.clean(docs)
+    """Documents that pass the rules, without the lines that are boilerplate of their source; copies are left to the next stage."""
+    return line_rules.clean(docs, limits=line_rules.Limits(per_text=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
