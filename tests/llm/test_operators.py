@@ -1,5 +1,6 @@
 """The other operators against brute force, round trips and planted cases; nulls, ties and empty tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -101,6 +102,36 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert left == {i for i, _, _ in rows} - {100, 101, 102, None}
 
 
+def test_items_of_every_length_are_found_within_their_edits(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items, rows = [], []
+    for m in range(1, 131):
+        item = "".join(rng.choices(letters, k=m))
+        items.append((m, item))
+        text, edits = list(item), m // 10 if m < 96 else 9
+        for k in range(edits):
+            text[(2 * k + 1) * m // (2 * edits)] = rng.choice("0123456789")
+        rows.append((m, " " + "".join(text) + " ", "s"))
+    items.append((None, "NOTHING ELSE HERE IS LIKE THIS 1234567890 AT ALL"))
+    rows.append((1000, "x nothing else here is like this 1234567890 at all", "s"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(m, m) for m in range(1, 131)} | {(1000, None)} <= got
+
+    def apart(item, text):  # least edits against any part of the text
+        cost = [0] * (len(text) + 1)
+        for j, c in enumerate(item):
+            new = [j + 1]
+            for i, d in enumerate(text):
+                new.append(min(cost[i] + (c != d), cost[i + 1] + 1, new[i] + 1))
+            cost = new
+        return min(cost)
+
+    short = [(i, t) for i, t in items if i is not None and i < 40]
+    want = {(d, i) for d, t, _ in rows for i, item in short if apart(item, t) <= len(item) // 10}
+    assert {(d, i) for d, i in got if i is not None and i < 40} == want
+
+
 def test_entries_hold_from_their_date_until_the_next_change(spark):
     day = lambda d: datetime(2024, 1, d)
     entries = [("host", "bad.example.com", "add", day(5)), ("host", "bad.example.com", "remove", day(10)), ("domain", "evil.org", "add", day(3)), ("url", "ok.net/x?y=1", "add", day(1)), ("url", "tie.net/a", "add", day(2)), ("url", "tie.net/a", "remove", day(2)), ("host", None, "add", day(1)), ("host", "late.com", "add", None)]
@@ -195,12 +226,78 @@ def test_shortages_go_to_siblings_before_ancestors():
     assert mixing.allocate({}, {}, 100, 1) == {}
 
 
-def test_a_leaf_gives_a_prefix_of_its_seeded_order(spark, corpus):
-    rows = mixing.mix(table(spark, corpus), mixing.by_source(), {}, 0.5, epochs=2).collect()
-    budget = sum(len(words(t)) for _, t, _ in corpus) // 2
-    taken = sum(r.tokens * r.times for r in rows)
-    assert budget <= taken + len({(r.lang, r.source) for r in rows}) and taken < budget + 3010 * 5
-    assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.mix(table(spark, corpus).repartition(7), mixing.by_source(), {}, 0.5, epochs=2).collect()))
+def test_tables_are_allocated_like_small_trees(spark):
+    rng = random.Random(6)
+    for turn in range(3):
+        supply = {(f"d{rng.randrange(3)}", rng.choice(["en", None, "de"]), f"s{k}"): rng.randrange(0, 300) for k in range(30)}
+        weights = {("d0",): 3, ("d1",): 0 if turn == 2 else 1.5, ("d0", "en"): 4, ("d2", None): 2}
+        leaves = spark.createDataFrame([(*k, v) for k, v in supply.items()], "a string, b string, c string, t long")
+        for budget, epochs in ((1000, 1), (0.5, 1), (4000, 2), (10**6, 2)):
+            want = mixing.allocate(supply, weights, int(budget * sum(supply.values())) if isinstance(budget, float) else budget, epochs)
+            got = {(r.a, r.b, r.c): r.given for r in mixing.allocated(leaves, ["a", "b", "c"], weights, budget, epochs).collect()}
+            assert all(abs(got[k] - want.get(k, 0)) <= 1 for k in supply), turn
+
+
+def test_a_leaf_gives_a_prefix_of_its_seeded_order(spark, corpus, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN", 4)  # many bins
+    levels, budget = mixing.by_source(), 0.7
+    for epochs in (1, 2):
+        rows = mixing.mix(table(spark, corpus), levels, {("domain1",): 5}, budget, epochs=epochs).collect()
+        tie = {r.text: r.h for r in table(spark, corpus).selectExpr("text", "xxhash64(text) as h").distinct().collect()}
+        number = lambda s: re.search("([0-9]{1,9})$", s or "")
+        leaf = lambda s: ("none" if not number(s) else f"domain{int(number(s)[1]) % 4}", "en", s)
+        supply = Counter()
+        for _, t, s in corpus:
+            supply[leaf(s)] += len(words(t))
+        given = mixing.allocate(dict(supply), {("domain1",): 5}, int(budget * supply.total()), epochs)
+        want = Counter()
+        for of, tokens in given.items():
+            whole, mark, run = tokens // supply[of], tokens % supply[of], 0
+            mine = [(i, t) for i, t, s in corpus if leaf(s) == of]
+            name = lambda x: hashlib.md5(f"11|{whole}|{'null' if x[0] is None else x[0]}|{tie[x[1]]}".encode()).hexdigest()  # noqa: E731, B023
+            for i, t in sorted(mine, key=name):
+                times = whole + (run < mark)
+                run += len(words(t))
+                if times:
+                    want[i, len(words(t)), times] += 1
+        assert Counter((r.doc_id, r.tokens, r.times) for r in rows) == want
+    drawn = mixing.mixed(table(spark, corpus), levels, {("domain1",): 5}, budget, epochs=2)
+    assert drawn.columns == [c.split()[0] for c in CLASH.split(", ")]
+    assert Counter(r.doc_id for r in drawn.collect()) == Counter({i: n for i, n in sum((Counter({r.doc_id: r.times}) for r in rows), Counter()).items()})
+
+
+def test_half_of_the_rows_may_have_one_key(spark):
+    rows = [(None if k % 2 else k, "the same text", "s") for k in range(4000)]
+    got = sharding.shard_by_bytes(table(spark, rows), 5, range_rows=50).collect()
+    assert len(got) == 4000 and max(Counter(r.range_id for r in got).values()) < 400
+    assert set(Counter(r.shard for r in got).values()) == {800}
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(800))
+
+
+def test_one_kind_of_label_teaches_nothing(spark):
+    docs = table(spark, [(i, f"word{i} text", "s") for i in range(60)])
+    for labels in ([(i, 0) for i in range(60)], [(i, int(i > 52)) for i in range(60)], [(i, y) for i in range(60) for y in (0, 1)]):
+        scores = {r.score for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+        assert scores == {0.0}
+
+
+def test_the_standard_header_is_known_whole(spark):
+    header = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    marks = ["", "# ", "// ", " * ", "-- "]
+    rows = [(k, "\n".join((m + x).rstrip() for x in header.split("\n")), "s") for k, m in enumerate(marks)]
+    for r in licences.scan(table(spark, rows)).collect():
+        assert (r.licences, r.n_unknown, r.n_known) == ("Apache-2.0", 0, 6), r
 
 
 def test_licences_by_their_sentences(spark):

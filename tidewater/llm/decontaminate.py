@@ -7,11 +7,14 @@ dense enough for one window, joined to their postings, and counted in diagonal b
 half; windows that reach the bound in a band are aligned inside that band, and stand if the edit
 distance keeps the budget.
 
+The bound has to be above 0 for the lemma to find all: with edits of a tenth that holds for q = 8 from
+40 characters on; items of 4 to 39 characters are searched by q = 4, and shorter ones, which allow no
+edits, by their single characters.
+
 Benchmarks are taken in parts of PART characters: each part is one broadcast of bounded size and one
 pass over the texts, so a larger benchmark costs passes and not memory. Texts are never shuffled.
 
-Defined cases: null and empty texts match nothing; items without text, or shorter than q, match
-nothing; ids may be null or repeat; rows that repeat are each judged; an empty table gives an empty
+Defined cases: null and empty texts match nothing; items without text match nothing; ids may be null or repeat; rows that repeat are each judged; an empty table gives an empty
 result; all other columns pass through, whatever their names.
 """
 
@@ -28,7 +31,9 @@ from tidewater.llm import kernels as K
 from tidewater.llm.common import ship
 
 U = np.uint64
-Q, WINDOW, STEP, PART = 8, 96, 32, 1_000_000
+WINDOW, STEP, PART = 96, 32, 1_000_000
+#: (least characters of an item, q).
+GRAMS = ((40, 8), (4, 4), (1, 1))
 #: Edits allowed, per cent of a window's length.
 BUDGET = 10
 _KEY = U(0xC2B2AE3D27D4EB4F)
@@ -57,33 +62,33 @@ def _chars(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(whole < len(FOLD), FOLD[np.minimum(whole, len(FOLD) - 1)], whole), at
 
 
-def _grams(chars: np.ndarray) -> np.ndarray:
+def _grams(chars: np.ndarray, q: int) -> np.ndarray:
     """A hash of each q-gram."""
     n = len(chars)
-    if n < Q:
+    if n < q:
         return np.zeros(0, U)
     x = MIXED[chars] if not n or chars.max() < len(FOLD) else K.mix(chars.astype(U) + U(17))
     up, down = K.powers(n)
     run = np.zeros(n + 1, U)
     np.cumsum(x * up[:-1], out=run[1:])
-    return (run[Q:] - run[:-Q]) * down[: n - Q + 1]
+    return (run[q:] - run[:-q]) * down[: n - q + 1]
 
 
 class Part:
     """The q-grams of some benchmark items, and their windows."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, str]], q: int):
+        self.ids, self.q = [i for i, _ in items], q
         texts = [_chars(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))(t.encode()))[0] for _, t in items]
         self.chars = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
         self.first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         gram, item, pos, w_item, w_pos, w_len = [], [], [], [], [], []
         for k, t in enumerate(texts):
-            g = _grams(t)
+            g = _grams(t, q)
             gram.append(g)
             item.append(np.full(len(g), k))
             pos.append(np.arange(len(g)))
-            if len(t) >= Q:
+            if len(t) >= q:
                 last = max(0, len(t) - WINDOW)
                 for s in sorted({*range(0, last + 1, STEP), last}):
                     w_item.append(k)
@@ -97,7 +102,7 @@ class Part:
         self.w_item, self.w_pos, self.w_len = (np.array(v, np.int64) for v in (w_item, w_pos, w_len))
         self.of_item = np.searchsorted(self.w_item, np.arange(len(texts) + 1))
         self.edits = self.w_len * BUDGET // 100
-        self.bound = np.maximum(1, self.w_len - Q + 1 - self.edits * Q)
+        self.bound = self.w_len - q + 1 - self.edits * q  # above 0, by GRAMS
         self.shift = U(64 - min(26, max(12, len(self.keys).bit_length() + 5)))
         self.map = np.zeros(1 << int(U(64) - self.shift), bool)
         self.map[(self.keys * _KEY) >> self.shift] = True
@@ -107,13 +112,13 @@ class Part:
         if not len(self.keys):
             return []
         chars, starts = _chars(data, offsets)
-        grams = _grams(chars)
+        grams = _grams(chars, self.q)
         hit = np.flatnonzero(self.map[(grams * _KEY) >> self.shift])
         if not len(hit):
             return []
         key = np.minimum(np.searchsorted(self.keys, grams[hit]), len(self.keys) - 1)
         of = np.searchsorted(starts, hit, "right") - 1
-        real = (self.keys[key] == grams[hit]) & (hit + Q <= starts[of + 1])
+        real = (self.keys[key] == grams[hit]) & (hit + self.q <= starts[of + 1])
         hit, key, of = hit[real], key[real], of[real]
         # dense runs: the least bound of hits within the longest region
         need, room = int(self.bound.min()), int((self.w_len + self.edits).max())
@@ -153,7 +158,7 @@ class Part:
             i = g // room[2] % room[1]
             w = np.arange(self.of_item[i], self.of_item[i + 1])
             at = where[e: e + m]
-            count = np.searchsorted(at, self.w_pos[w] + self.w_len[w] - Q, "right") - np.searchsorted(at, self.w_pos[w])
+            count = np.searchsorted(at, self.w_pos[w] + self.w_len[w] - self.q, "right") - np.searchsorted(at, self.w_pos[w])
             low = (g % room[2] - 1) * half - longest
             regions += [(int(c), g // room[2] // room[1], k, low) for k, c in zip(w.tolist(), count.tolist(), strict=True) if c >= self.bound[k]]
         # the fullest band of a window first; the others only where that doesn't stand
@@ -219,16 +224,19 @@ def banded(patterns: np.ndarray, text: np.ndarray, begin: np.ndarray, low: np.nd
 
 
 def parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Part]:
-    """The benchmark's items in parts of bounded size."""
-    rows, n = [], 0
-    for item, text in benchmark.select(F.col(item_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        rows.append((-1 if item is None else item, text))
-        n += len(text)
-        if n >= PART:
-            yield Part(rows)
-            rows, n = [], 0
-    if rows:
-        yield Part(rows)
+    """The benchmark's items in parts of bounded size, by the q that suits their length."""
+    held: dict[int, list] = {q: [] for _, q in GRAMS}
+    size = dict.fromkeys(held, 0)
+    for item, text in benchmark.select(F.col(item_col).cast("long"), text_col).where(F.length(text_col) > 0).toLocalIterator():
+        q = next(q for least, q in GRAMS if len(text) >= least)
+        held[q].append((item, text))
+        size[q] += len(text)
+        if size[q] >= PART:
+            yield Part(held[q], q)
+            held[q], size[q] = [], 0
+    for q, rows in held.items():
+        if rows:
+            yield Part(rows, q)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -249,8 +257,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         by[(t, i)] = (min(o[0], x), max(o[1], y), min(o[2], e), o[3] + 1)
                     if by:
                         ids = batch.column(0).slice(a, b - a).take(pa.array([t for t, _ in by]))
-                        items = held.value.ids[[i for _, i in by]]
-                        yield pa.record_batch([ids, pa.array(items), *(pa.array([v[k] for v in by.values()], pa.int64()) for k in range(4))], ["doc_id", "item_id", "first", "last", "edits", "windows"])
+                        items = [held.value.ids[i] for _, i in by]
+                        yield pa.record_batch([ids, pa.array(items, pa.int64()), *(pa.array([v[k] for v in by.values()], pa.int64()) for k in range(4))], ["doc_id", "item_id", "first", "last", "edits", "windows"])
 
         out = out.union(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, schema))
     return out

@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, letters and digits only, single
+Comment marks at the beginning of lines are taken away and a text is cut into sentences; each is normalised (lower case, letters and digits only, single
 spaces) and looked up in a table of known licence sentences. What isn't known as a whole is looked
 up line by line; known sentences that the cutting breaks are put together again before that. The
 identifiers found, in their order, are matched against ordered rules: a rule names a licence by a
@@ -37,6 +37,7 @@ SENTENCES = {
     "apache-ref": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "Released under the Apache License, Version 2.0.", "This project is licensed under the Apache License, Version 2.0."],
     "apache-use": ["you may not use this file except in compliance with the License."],
     "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at"],
+    "apache-url": ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"],
     "apache-warranty": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3.", "This program is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License v3.0."],
@@ -44,6 +45,13 @@ SENTENCES = {
     "gpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "gpl2-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "lgpl-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "agpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-ref": ["Licensed under the GNU Affero General Public License, version 3.", "This program is licensed under the GNU Affero General Public License, version 3."],
+    "agpl-see": ["See the GNU Affero General Public License for more details."],
+    "epl2-ref": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License 2.0."],
+    "bsl-ref": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."],
+    "zlib-use": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "wtfpl-ref": ["Licensed under the WTFPL, Version 2.", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "gpl-see": ["See the GNU General Public License for more details."],
     "mpl-ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."],
@@ -65,9 +73,17 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD", ["bsd-ref"]),
+    ("Apache-2.0", ["apache-ref", "apache-use", "apache-copy", "apache-url", "apache-warranty", "apache-see"]),
     ("Apache-2.0", ["apache-ref", "apache-use", "apache-copy", "apache-warranty", "apache-see"]),
     ("Apache-2.0", ["apache-ref", "apache-use"]),
     ("Apache-2.0", ["apache-ref"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-warranty", "agpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("AGPL-3.0-only", ["agpl3-ref"]),
+    ("EPL-2.0", ["epl2-ref"]),
+    ("BSL-1.0", ["bsl-ref"]),
+    ("Zlib", ["zlib-use"]),
+    ("WTFPL", ["wtfpl-ref"]),
     ("GPL-3.0-or-later", ["gpl3-later", "gpl-warranty", "gpl-see"]),
     ("GPL-3.0-or-later", ["gpl3-later"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-warranty", "gpl-see"]),
@@ -88,6 +104,8 @@ RULES = [
 ]
 #: Every known sentence holds one of the stems; a sentence with one of the others that isn't known is unknown.
 STEMS = "licen[sc]e|permission|redistribut|warrant|liability|copyright|public domain|all rights reserved|neither the name|a copy of the"
+#: Comment marks at the beginning of a line, which are taken away.
+MARKS = "(?m)^[ \t]*(?:#+|//+|[*]+|;+|--+|%+)[ \t]*"
 TELLING = "licen[sc]ed? |licen[sc]e$"
 
 
@@ -142,7 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             whole.isNotNull() & (whole != "unknown"), F.array(whole)).otherwise(lines)
 
     text = F.col(text_col)
-    ends = F.regexp_replace(F.regexp_replace(text, "([.!?:;])[ \t\r\n]+", "$1\u0001"), "\n[ \t\r]*\n[ \t\r\n]*", "\u0001")
+    ends = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, MARKS, ""), "([.!?:;])[ \t\r\n]+", "$1\u0001"), "\n[ \t\r]*\n[ \t\r\n]*", "\u0001")
     for pattern, whole in _broken():
         ends = F.regexp_replace(ends, pattern, whole)
     found = F.flatten(F.transform(F.split(ends, "\u0001"), each))

@@ -5,13 +5,16 @@ budget among its children by weight, a child takes no more than its leaves can g
 number of epochs, and what it can't take goes to its siblings by their weights. Only when all of them
 are full does the rest go back to the parent, and from there to the parent's siblings.
 
+The tree is a table at each level: among siblings in the order of room by weight those that fill up
+come first, so running sums tell what each of them gets, and no part of the tree is on the driver.
+
 A leaf gives whole epochs, then a prefix of the next: documents in the seeded order of that epoch
 until its tokens are reached; the document that crosses the mark is the last. The order is cut into
-bins by its leading digits, so that only the bin that holds the mark is ever sorted: a leaf may hold
-any share of all rows.
+bins of about BIN rows by its leading digits, so that only the bin that holds the mark is ever sorted:
+a leaf may hold any share of all rows.
 
 Defined cases: null levels are nodes of their own; null text has no tokens and such documents come
-with their epoch but cost nothing; null ids are in one place of the order, by text; an empty table,
+with their epoch but cost nothing; null ids have their place by their text; an empty table,
 or no budget, gives an empty result; rows that repeat are drawn each; the only columns read are the
 levels, id and text, and `mixed` carries all others.
 """
@@ -24,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import n_words
+from tidewater.llm.common import cut, n_words
 
-#: Leading hexadecimal digits of the order that make a bin; most leaves that the driver may hold.
-DIGITS, MAX_LEAVES = 3, 200_000
+#: Rows of a bin, about, and most leading hexadecimal digits of the order that tell bins apart.
+BIN, DIGITS = 1000, 8
 
 
 def allocate(supply: dict[tuple, int], weights: dict[tuple, float], budget: int, epochs: int) -> dict[tuple, int]:
-    """Tokens that each leaf gives; weights are by path, 1 where none is given."""
+    """Tokens that each leaf gives; weights are by path, 1 where none is given. `allocated` does it for tables of any size."""
     room: dict[tuple, int] = {}
     below: dict[tuple, set] = {}
     for leaf, tokens in supply.items():
@@ -67,37 +70,58 @@ def allocate(supply: dict[tuple, int], weights: dict[tuple, float], budget: int,
     return given
 
 
+def _key(levels: list[str]) -> Column:
+    """The path of a node as one string; null levels are left out, and so unlike all others."""
+    return F.to_json(F.struct(*(F.col(c) for c in levels))) if levels else F.lit("")
+
+
+def allocated(leaves: DataFrame, levels: list[str], weights: dict[tuple, float], budget: float | int, epochs: int) -> DataFrame:
+    """Adds `given` to leaves (levels, t): the tokens that each gives of its own, at most t * epochs."""
+    spark = leaves.sparkSession
+    by_path = spark.createDataFrame([(len(path), [None if p is None else str(p) for p in path], float(w)) for path, w in weights.items()], "depth int, path array<string>, w double")  # a parameter
+    share = F.lit(float(budget)) * F.sum("t") if isinstance(budget, float) else F.lit(float(budget))
+    given = leaves.agg(F.least(F.floor(share), F.sum("t") * epochs).cast("double").alias("amount")).withColumn("parent", F.lit(""))
+    for k in range(1, len(levels) + 1):
+        nodes = leaves.groupBy(*levels[:k]).agg((F.sum("t") * epochs).cast("double").alias("room"))
+        own = by_path.where(F.col("depth") == k).select("path", "w")
+        nodes = nodes.withColumn("path", F.array(*(F.col(c).cast("string") for c in levels[:k]))).join(F.broadcast(own), "path", "left")
+        nodes = nodes.select(_key(levels[:k]).alias("node"), _key(levels[: k - 1]).alias("parent"), "room", F.coalesce("w", F.lit(1.0)).alias("w")).where("w > 0 and room > 0")
+        order = Window.partitionBy("parent").orderBy(F.col("room") / F.col("w"), "node")
+        filled = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+        nodes = nodes.join(given, "parent").withColumn("each", F.greatest(F.lit(0.0), F.col("amount") - filled) / rest)  # for each of weight 1, once those before are full
+        full = F.col("w") * F.col("each") >= F.col("room")
+        level = F.max(F.when(~full, F.col("each"))).over(Window.partitionBy("parent"))  # null where all are full
+        given = nodes.select(F.col("node").alias("parent"), F.least("room", F.coalesce(F.col("w") * level, "room")).alias("amount"))
+    at = leaves.withColumn("parent", _key(levels)).join(given, "parent", "left").drop("parent")
+    return at.withColumn("given", F.coalesce(F.floor(F.col("amount") + 1e-6), F.lit(0)).cast("long")).drop("amount")
+
+
 def _order(seed: int, epoch: Column, doc: str) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc).cast("string"), F.lit("null"))).cast("binary"))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.col("tie").cast("string")).cast("binary"))
 
 
 def _drawn(rows: DataFrame, levels: list[str], weights: dict, budget: float, epochs: int, seed: int) -> DataFrame:
     """rows (doc_id, tokens, levels, ...) with the number of times each is drawn, where not 0."""
-    spark = rows.sparkSession
-    leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("t"))
-    supply = {tuple(r[:-1]): int(r[-1]) for r in leaves.limit(MAX_LEAVES + 1).collect()}
-    if len(supply) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    total = sum(supply.values())
-    given = allocate(supply, weights, int(budget * total) if isinstance(budget, float) else budget, epochs)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in levels)
-    plan = [(*leaf, n // supply[leaf], n % supply[leaf]) for leaf, n in given.items() if supply[leaf] and n]
-    plan = spark.createDataFrame(plan, f"{kinds}, whole long, mark long")
-    plan = F.broadcast(plan.withColumnsRenamed({c: f"leaf_{c}" for c in levels}))  # at most MAX_LEAVES rows
+    leaves = cut(rows.groupBy(*levels).agg(F.sum("tokens").alias("t"), F.count("*").alias("n")), "mixing-leaves")
+    plan = allocated(leaves, levels, weights, budget, epochs).where("t > 0 and given > 0")
+    digits = F.least(F.lit(DIGITS), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n") / BIN)))).cast("int")
+    plan = plan.select(*(F.col(c).alias(f"leaf_{c}") for c in levels), F.expr("given div t").alias("whole"), (F.col("given") % F.col("t")).alias("mark"), digits.alias("digits"))
+    plan = cut(plan, "mixing-plan")
     at = rows.join(plan, [rows[c].eqNullSafe(plan[f"leaf_{c}"]) for c in levels]).drop(*(f"leaf_{c}" for c in levels))
-    at = at.withColumn("place", _order(seed, F.col("whole"), "doc_id")).withColumn("bin", F.substring("place", 1, DIGITS))
+    at = at.withColumn("place", _order(seed, F.col("whole"), "doc_id")).withColumn("bin", F.substring("place", F.lit(1), F.col("digits")))
     bins = at.groupBy(*levels, "bin").agg(F.sum("tokens").alias("in_bin"), F.first("mark").alias("m"))
     before = F.sum("in_bin").over(Window.partitionBy(*levels).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.withColumn("before", F.coalesce(before, F.lit(0)))
     # the mark lies in the last bin that begins before it; rows of empty texts may follow at its very place
     edge = bins.where((F.col("before") < F.col("m")) & (F.col("before") + F.col("in_bin") >= F.col("m"))).groupBy(*levels).agg(F.min_by(F.struct("bin", "before"), "bin").alias("e"))
-    edge = F.broadcast(edge.select(*(F.col(c).alias(f"edge_{c}") for c in levels), F.col("e.bin").alias("edge_bin"), F.col("e.before").alias("edge_before")))  # a row a leaf
+    edge = cut(edge.select(*(F.col(c).alias(f"edge_{c}") for c in levels), F.col("e.bin").alias("edge_bin"), F.col("e.before").alias("edge_before")), "mixing-edges")  # a row a leaf
     at = at.join(edge, [at[c].eqNullSafe(edge[f"edge_{c}"]) for c in levels], "left").drop(*(f"edge_{c}" for c in levels))
     sure = at.where("edge_bin is null or bin <> edge_bin").withColumn("times", F.col("whole") + F.when(F.col("bin") < F.col("edge_bin"), 1).otherwise(0))
     run = F.sum("tokens").over(Window.partitionBy(*levels).orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
     close = at.where("bin = edge_bin").withColumn("run", F.col("edge_before") + run)
     close = close.withColumn("times", F.col("whole") + F.when(F.col("run") < F.col("mark"), 1).otherwise(0)).drop("run")
-    return sure.unionByName(close).where("times > 0").drop("place", "bin", "edge_bin", "edge_before", "whole", "mark")
+    return sure.unionByName(close).where("times > 0").drop("place", "bin", "edge_bin", "edge_before", "whole", "mark", "digits")
 
 
 def _rows(docs: DataFrame, levels: list[tuple[str, Column]], id_col: str, text_col: str) -> DataFrame:

@@ -213,7 +213,7 @@ r{k} AS (SELECT doc_id, ids, replace(seq, {pattern}, '|') AS seq,
     return rf"""
 WITH k AS (SELECT map([{keys}], [{names}]) AS known),
 t AS (
-  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{stems}') THEN string_split(regexp_replace(regexp_replace(text, '([.!?:;])[ 	
+  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{stems}') THEN string_split(regexp_replace(regexp_replace(regexp_replace(text, '{licences.MARKS}', '', 'g'), '([.!?:;])[ 	
 ]+', '' || chr(1), 'g'),
     '
 [ 	
