@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables, and the operators' edge cases."""
 
 import hashlib
+import math
 import os
 
 import duckdb
@@ -60,7 +61,7 @@ def test_sliding_windows_are_those_that_an_interval_meets(spark):
 
 def test_average_ranks_and_constant_sides(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", None, 9.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0)], "g string, x double, y double")
-    got = {(r.g, r.y): r.p for r in df.select("g", "y", ranks.percent_rank("x", ["g"]).alias("p")).collect()}
+    got = {(r.g, r.y): r.p for r in ranks.average_rank(df, "x", ["g"], "p", True).collect()}
     assert got[("a", 1.0)] == got[("a", 2.0)] == 0.5 and got[("a", 3.0)] == 1.0 and got[("a", 9.0)] is None
     rho = {r.g: r.spearman for r in ranks.spearman(df, "x", "y", ["g"]).collect()}
     assert rho["a"] == pytest.approx(0.8660254037844387) and rho["b"] is None
@@ -74,6 +75,13 @@ def test_keyed_numbers_depend_on_the_key_alone(spark):
         assert got[i] == (int.from_bytes(h[:8], "big") + 0.5) / 2**64
 
 
+def test_large_groups_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(exposure, "BLOCK", 3)
+    df = spark.createDataFrame([("g", n) for n in range(11)], "group_id string, node_id long")
+    got = [(r.a, r.b) for r in exposure.group_pairs(df, 10.0).collect()]
+    assert sorted(got) == [(a, b) for a in range(11) for b in range(a + 1, 11)]
+
+
 def test_group_of_three_gives_half_a_share_to_each_pair(spark):
     df = spark.createDataFrame([("g", n) for n in "abc"] + [("h", "a")], "group_id string, node_id string")
     got = {(r.a, r.b): r.contact_seconds for r in exposure.group_pairs(df, 10.0).collect()}
@@ -82,7 +90,9 @@ def test_group_of_three_gives_half_a_share_to_each_pair(spark):
 
 def test_five_positives_of_five(spark):
     got = spark.range(1).select(statistics.binomial_tail(F.lit(5), F.lit(5)).alias("p")).first().p
-    assert got == 1 / 32
+    assert got == pytest.approx(1 / 32)
+    many = spark.range(1).select(statistics.binomial_tail(F.lit(60), F.lit(100)).alias("p")).first().p
+    assert many == pytest.approx(sum(math.comb(100, i) for i in range(60, 101)) / 2**100)
 
 
 def test_entry_imports_without_the_llm_folder(tmp_path):

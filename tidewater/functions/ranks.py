@@ -1,4 +1,4 @@
-"""Ranks with ties, as window expressions."""
+"""Ranks with ties: by counts of values, so that no context has to be sorted row by row."""
 
 from __future__ import annotations
 
@@ -7,24 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """The mean position of equal values among their group; null values have none."""
-    group = Window.partitionBy(*by, F.col(value).isNull())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.when(F.col(value).isNotNull(), F.rank().over(group.orderBy(value)) + (ties - 1) / 2.0)
+def average_rank(df: DataFrame, value: str, by: list[str], name: str, share: bool = False) -> DataFrame:
+    """Adds `name`: the mean position of equal values in their group, or its share of the group; null for null.
 
-
-def percent_rank(value: str, by: list[str]) -> Column:
-    """The average rank as a share of the group's values that aren't null."""
-    return average_rank(value, by) / F.count(value).over(Window.partitionBy(*by))
+    Rows are counted by value first; only distinct values are ordered, and their places join back.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    place = F.coalesce(F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("_c") + 1) / 2.0
+    place = place / F.sum("_c").over(group) if share else place
+    ranks = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(value).alias("_value"), place.alias(name))
+    same = [df[c].eqNullSafe(ranks[f"_{c}"]) for c in by]
+    return df.join(ranks, [*same, df[value] == ranks["_value"]], "left").select(*df.columns, name)
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, n, spearman): null where a side is constant or has fewer than two values."""
-    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = kept.withColumns({"rank_x": average_rank(x, by), "rank_y": average_rank(y, by)})
-    rho = F.try_divide(F.covar_pop("rank_x", "rank_y"), F.stddev_pop("rank_x") * F.stddev_pop("rank_y"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("spearman"))
+    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = average_rank(average_rank(kept, x, by, "rank_x"), y, by, "rank_y")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("rank_x", "rank_y").alias("spearman"))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def hash_position(df: DataFrame, u: str, tie: str, name: str = "position", buckets: int = 1024) -> DataFrame:
+    """Adds each row's place in the order of a keyed number `u` in (0, 1): counts of buckets, and places inside them."""
+    at = df.withColumn("_b", F.floor(F.col(u) * buckets))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # one row a bucket
+    heads = at.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_h"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(u, tie))
+    return at.withColumn("_r", inside).join(F.broadcast(heads), "_b").withColumn(name, (F.col("_h") + F.col("_r")).cast("int")).drop("_b", "_r", "_h")
 
 
 def first_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def issues(dyads: DataFrame) -> DataFrame:
@@ -28,16 +27,24 @@ def association_rates(dyads: DataFrame, scale: float, top: float) -> DataFrame:
         "event_id", (scale * index / seconds).alias("linear"), (scale * (1 - F.exp(-index)) / seconds).alias("saturating"))
 
 
+#: Members of a group that meet in one task.
+BLOCK = 512
+
+
 def group_pairs(memberships: DataFrame, seconds: float, diluted: bool = True) -> DataFrame:
     """(a, b, n_events, contact_seconds): pairs of nodes by the time spent in one group, over n - 1 if diluted.
 
-    Groups of one node are left out before pairs are made.
+    Groups of one node are left out before pairs are made. Members are dealt into blocks of BLOCK; each
+    pair of blocks is a join key of its own, so a large group is spread over many tasks.
     """
-    size = F.count("*").over(Window.partitionBy("group_id"))
-    some = memberships.select("group_id", "node_id").withColumn("n", size).where("n >= 2")
-    other = some.select("group_id", F.col("node_id").alias("b"))
+    size = memberships.groupBy("group_id").agg(F.count("*").alias("n")).where("n >= 2")
+    some = memberships.select("group_id", "node_id").join(size, "group_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    some = some.withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = some.where("block <= other").select("group_id", F.col("block").alias("lo"), F.col("other").alias("hi"), "n", F.col("node_id").alias("x"))
+    right = some.where("block >= other").select("group_id", F.col("other").alias("lo"), F.col("block").alias("hi"), F.col("node_id").alias("y"))
     share = F.lit(seconds) / (F.col("n") - 1) if diluted else F.lit(seconds)
-    return some.join(other, "group_id").where("node_id < b").groupBy(F.col("node_id").alias("a"), "b").agg(F.count("*").alias("n_events"), F.sum(share).alias("contact_seconds"))
+    pairs = left.join(right, ["group_id", "lo", "hi"]).where("lo < hi and x <> y or x < y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n_events"), F.sum(share).alias("contact_seconds"))
 
 
 def both_ways(pairs: DataFrame, weight: str) -> DataFrame:
@@ -58,10 +65,17 @@ def endpoints(dyads: DataFrame) -> DataFrame:
 
 
 def history_features(clips: DataFrame, lookback: int) -> DataFrame:
-    """Features of each (window, node) from the clipped ends of its events before the anchor."""
+    """Features of each (window, node) from the clipped ends of its events before the anchor; one event has no span.
+
+    Events are summed by partner first, so that partners are counted and not told apart again.
+    """
     seconds = (F.col("end") - F.col("start")) / 1e6
     late = F.col("start") - F.col("window_start") >= lookback / 2
-    return clips.groupBy("window", "node").agg(
-        F.count("*").alias("activity_count"), F.sum(seconds).alias("contact_seconds"), F.countDistinct("partner").alias("observed_partners"),
-        F.countDistinct("kind").alias("kinds"), (1 - (F.max("window_start") + lookback - F.max("end")) / lookback).alias("recency"),
-        F.avg(late.cast("double")).alias("recent_share"), ((F.max("end") - F.min("start")) / lookback).alias("active_span"))
+    of_partner = clips.groupBy("window", "node", "partner").agg(
+        F.count("*").alias("n"), F.sum(seconds).alias("seconds"), F.collect_set("kind").alias("kinds"), F.max("window_start").alias("ws"),
+        F.max("end").alias("last"), F.min("start").alias("first"), F.count_if(late).alias("late"))  # kinds are a handful
+    span = F.when(F.sum("n") > 1, (F.max("last") - F.min("first")) / lookback).otherwise(0.0)
+    return of_partner.groupBy("window", "node").agg(
+        F.sum("n").alias("activity_count"), F.sum("seconds").alias("contact_seconds"), F.count("*").alias("observed_partners"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("kinds")))).cast("long").alias("kinds"), (1 - (F.max("ws") + lookback - F.max("last")) / lookback).alias("recency"),
+        (F.sum("late") / F.sum("n")).alias("recent_share"), span.alias("active_span"))

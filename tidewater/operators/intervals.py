@@ -22,8 +22,33 @@ def islands(df: DataFrame, by: list[str], tolerance: int = 0) -> DataFrame:
 
 
 def coverage(df: DataFrame, by: list[str], low: int, high: int) -> DataFrame:
-    """(by, covered): the share of [low, high) that the union of each group's intervals covers."""
-    return islands(clipped(df, low, high), by).groupBy(*by).agg((F.sum(F.col("end") - F.col("start")) / (high - low)).alias("covered"))
+    """(by, covered): the share of [low, high) that the union of each group's intervals covers, 0 where none does."""
+    some = islands(clipped(df, low, high), by).groupBy(*by).agg((F.sum(F.col("end") - F.col("start")) / (high - low)).alias("covered"))
+    return df.select(*by).distinct().join(some, by, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+
+
+def cut_at(df: DataFrame, points: list[int]) -> DataFrame:
+    """Each interval cut at the given points inside it; `part` counts its pieces."""
+    inside = F.array_sort(F.array_distinct(F.filter(F.array(*(F.lit(p).cast("long") for p in points)), lambda p: (p > F.col("start")) & (p < F.col("end")))))
+    edges = F.concat(F.array("start"), inside, F.array("end"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.struct(i.alias("part"), F.get(edges, i).alias("start"), F.get(edges, i + 1).alias("end")))
+    rest = [c for c in df.columns if c not in ("start", "end")]
+    return df.where("`end` > start").select(*rest, F.explode(pieces).alias("_p")).select(*rest, "_p.part", "_p.start", "_p.end")
+
+
+def reduced(segments: DataFrame, phases: DataFrame, targets: DataFrame) -> DataFrame:
+    """Multipliers of cut dyads under phases (phase, start, end, residual) that target nodes (phase, node).
+
+    The phase whose half-open span holds a segment's middle multiplies by the residual once for each
+    targeted end. Phases are few and must not overlap.
+    """
+    middle = (F.col("start") + F.col("end")) / 2
+    active = F.broadcast(phases.select("phase", F.col("start").alias("_a"), F.col("end").alias("_b"), "residual"))
+    at = segments.join(active, (middle >= F.col("_a")) & (middle < F.col("_b")), "left").drop("_a", "_b")
+    end = lambda c: targets.select("phase", F.col("node").alias(c), F.lit(1).alias(f"_{c}"))
+    at = at.join(end("source_id"), ["phase", "source_id"], "left").join(end("target_id"), ["phase", "target_id"], "left")
+    hits = F.coalesce("_source_id", F.lit(0)) + F.coalesce("_target_id", F.lit(0))
+    return at.withColumn("multiplier", F.col("multiplier") * F.when(hits > 0, F.pow("residual", hits)).otherwise(1.0)).drop("_source_id", "_target_id", "residual")
 
 
 def segments(df: DataFrame, every: int, origin: int = 0) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def hierarchical_mean(df: DataFrame, levels: list[str], value: str) -> DataFrame:
@@ -22,22 +21,67 @@ def leave_one_out(df: DataFrame, value: str) -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X >= k) of n fair coins, for n up to 20."""
-    term = lambda i: F.factorial(n) / (F.factorial(i.cast("int")) * F.factorial((n - i).cast("int")))
-    return F.aggregate(F.sequence(k, n), F.lit(0.0), lambda a, i: a + term(i)) / F.pow(F.lit(2.0), n)
-
-
-def two_way(df: DataFrame, rows: str, cols: str, value: str) -> DataFrame:
-    """Sums of squares of a two-way layout without repeats: rows present in every column only."""
-    cells = df.groupBy(rows, cols).agg(F.avg(value).alias("v"))
-    n_cols = cells.agg(F.countDistinct(cols).alias("n_cols"))
-    full = cells.join(cells.groupBy(rows).agg(F.count("*").alias("c")).crossJoin(F.broadcast(n_cols)).where("c = n_cols").select(rows), rows)
-    grand = full.agg(F.avg("v").alias("m"))
-    x = full.withColumns({"r": F.avg("v").over(Window.partitionBy(rows)), "c": F.avg("v").over(Window.partitionBy(cols))}).crossJoin(F.broadcast(grand))
-    square = lambda e: F.sum(F.pow(e, F.lit(2.0)))
-    return x.agg(
-        F.count("*").alias("n_cells"), square(F.col("v") - F.col("m")).alias("ss_total"), square(F.col("r") - F.col("m")).alias("ss_rows"),
+    """P(X >= k) of n fair coins: terms by their logarithms, each from the one before, for any n."""
+    k, n = k.cast("int"), n.cast("int")
+    first = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, j: a + F.when(j > 0, F.log((n - k + j) / j)).otherwise(0.0))
+    zero = F.struct(F.lit(0.0).alias("p"), (first - n * F.log(F.lit(2.0))).alias("t"))
+    step = lambda a, i: F.struct((a["p"] + F.exp(a["t"])).alias("p"), (a["t"] + F.when(i < n, F.log((n - i) / (i + 1))).otherwise(0.0)).alias("t"))
+    return F.when(k <= n, F.aggregate(F.sequence(k, n), zero, step, lambda a: a["p"])).otherwise(0.0)
+
+
+def two_way(df: DataFrame, rows: str, cols: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """Sums of squares of a two-way layout without repeats, and their shares, by unit: rows present in every column only.
+
+    Row and column means are grouped sums that join back; status tells units without two rows and two columns.
+    """
+    by = by or []
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, rows, cols).agg(F.avg(value).alias("v"))
+    per_row = cells.groupBy(*by, rows).agg(F.count("*").alias("c"))
+    size = cells.groupBy(*by).agg(F.countDistinct(cols).alias("n_cols"), F.countDistinct(rows).alias("n_seen"))
+    on = lambda a, b, cs: a.join(b, cs) if cs else a.crossJoin(F.broadcast(b))
+    full = on(cells.join(on(per_row, size, by).where("c = n_cols").select(*by, rows), [*by, rows]), size, by)
+    r = full.groupBy(*by, rows).agg(F.avg("v").alias("r"))
+    c = full.groupBy(*by, cols).agg(F.avg("v").alias("c"))
+    m = full.groupBy(*by).agg(F.avg("v").alias("m"))
+    x = on(full.join(r, [*by, rows]).join(c, [*by, cols]), m, by)
+    square = lambda e: F.coalesce(F.sum(F.pow(e, F.lit(2.0))), F.lit(0.0))
+    x = x.groupBy(*by).agg(
+        F.count("v").alias("n_cells"), F.countDistinct(rows).alias("n_rows"), square(F.col("v") - F.col("m")).alias("ss_total"), square(F.col("r") - F.col("m")).alias("ss_rows"),
         square(F.col("c") - F.col("m")).alias("ss_cols"), square(F.col("v") - F.col("r") - F.col("c") + F.col("m")).alias("ss_residual"))
+    x = size.join(x, by, "left") if by else size.crossJoin(x)
+    enough = (F.coalesce("n_rows", F.lit(0)) >= 2) & (F.col("n_cols") >= 2)
+    status = F.when(~enough, "not_estimable").when(F.col("ss_total") > 0, "estimated").otherwise("constant_target")
+    share = lambda ss: F.when(enough, F.coalesce(F.try_divide(F.col(ss), F.col("ss_total")), F.lit(0.0)))
+    return x.select(
+        *by, F.coalesce("n_cells", F.lit(0)).alias("n_cells"), "ss_total", "ss_rows", "ss_cols", "ss_residual", "n_seen", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_cols",
+        status.alias("status"), share("ss_rows").alias("row_fraction"), share("ss_cols").alias("col_fraction"), share("ss_residual").alias("residual_fraction"))
+
+
+def spearman_brown(r: Column, repeats: Column | int) -> Column:
+    """Reliability of the mean of repeats from that of one: 0 where r isn't positive, null where it isn't a number."""
+    k = F.lit(repeats) if isinstance(repeats, int) else repeats
+    return F.when(r.isNull() | F.isnan(r), None).when(r <= 0, 0.0).otherwise(k * r / (1 + (k - 1) * r))
+
+
+def block_reliability(df: DataFrame, by: list[str], item: str, block: str, value: str) -> DataFrame:
+    """(by, items, blocks, ms_between, ms_within, icc_single, icc_mean) over items measured in every block."""
+    cells = df.groupBy(*by, item, block).agg(F.avg(value).alias("v"))
+    blocks = cells.groupBy(*by).agg(F.countDistinct(block).alias("blocks"))
+    items = cells.groupBy(*by, item).agg(F.avg("v").alias("m"), F.var_samp("v").alias("w"), F.count("*").alias("c")).join(blocks, by).where("c = blocks and blocks > 1")
+    x = items.groupBy(*by).agg(F.count("*").alias("items"), F.max("blocks").alias("blocks"), (F.max("blocks") * F.var_samp("m")).alias("ms_between"), F.avg("w").alias("ms_within"))
+    b, w, k = F.col("ms_between"), F.col("ms_within"), F.col("blocks")
+    return x.where("items > 1").select(*by, "items", "blocks", "ms_between", "ms_within", F.try_divide(b - w, b + (k - 1) * w).alias("icc_single"), F.try_divide(b - w, b).alias("icc_mean"))
+
+
+def family_summary(df: DataFrame, family: str, value: str, by: list[str]) -> DataFrame:
+    """(by, families, mean, median, low, high, positive, negative, least_without_one, most_without_one, p): one value a family."""
+    f = df.groupBy(*by, family).agg(F.avg(value).alias("v"))
+    total = f.groupBy(*by).agg(F.sum("v").alias("s"), F.count("*").alias("k"))
+    without = F.try_divide(F.col("s") - F.col("v"), F.col("k") - 1)
+    x = f.join(total, by).groupBy(*by).agg(
+        F.count("*").alias("families"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.count_if(F.col("v") > 0).alias("positive"), F.count_if(F.col("v") < 0).alias("negative"), F.min(without).alias("least_without_one"), F.max(without).alias("most_without_one"))
+    return x.withColumn("p", binomial_tail(F.col("positive"), F.col("positive") + F.col("negative")))
 
 
 def calibration(df: DataFrame, by: list[str], predicted: str, observed: str) -> DataFrame:

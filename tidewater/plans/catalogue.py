@@ -119,7 +119,8 @@ def int_sessions_gap(spark, sf_dir):
 
 
 @query("""+ clips AS (SELECT source_id, greatest(start, %d) AS start, least("end", %d) AS "end" FROM dyads WHERE start < %d AND "end" > %d),
-""" % (WEEK_2, WEEK_3, WEEK_3, WEEK_2) + ISLANDS.format(by="source_id", gap=0, source="clips").lstrip("+ ") + f""" SELECT source_id, round(sum("end" - start) / {WEEK}, 9) AS covered FROM islands GROUP BY source_id""")
+""" % (WEEK_2, WEEK_3, WEEK_3, WEEK_2) + ISLANDS.format(by="source_id", gap=0, source="clips").lstrip("+ ") + f""", roster AS (SELECT DISTINCT source_id FROM dyads), sums AS (SELECT source_id, sum("end" - start) / {WEEK} AS covered FROM islands GROUP BY source_id)
+SELECT source_id, round(coalesce(covered, 0), 9) AS covered FROM roster LEFT JOIN sums USING (source_id)""")
 def int_merge_fraction(spark, sf_dir):
     """INT-03: the share of a window that a node's intervals cover."""
     return intervals.coverage(canonical.dyads(spark, sf_dir), ["source_id"], WEEK_2, WEEK_3).select("source_id", _r("covered", "covered", 9))
@@ -189,7 +190,7 @@ k AS (SELECT *, unnest(range((start - {ORIGIN}) // {WEEK}, ("end" - 1 - {ORIGIN}
 clips AS (SELECT node, partner, kind, "window", {ORIGIN} + "window" * {WEEK} AS ws, greatest(start, {ORIGIN} + "window" * {WEEK}) AS s, least("end", {ORIGIN} + ("window" + 1) * {WEEK}) AS e FROM k),
 features AS (
   SELECT "window", node, count(*) AS activity_count, sum((e - s) / 1e6) AS contact_seconds, count(DISTINCT partner) AS observed_partners, count(DISTINCT kind) AS kinds,
-         1 - (max(ws) + {WEEK} - max(e)) / {WEEK} AS recency, avg((s - ws >= {WEEK // 2})::INT) AS recent_share, (max(e) - min(s)) / {WEEK} AS active_span FROM clips GROUP BY "window", node)"""
+         1 - (max(ws) + {WEEK} - max(e)) / {WEEK} AS recency, avg((s - ws >= {WEEK // 2})::INT) AS recent_share, CASE WHEN count(*) > 1 THEN (max(e) - min(s)) / {WEEK} ELSE 0 END AS active_span FROM clips GROUP BY "window", node)"""
 
 
 def _features(spark, sf_dir):
@@ -216,7 +217,8 @@ RANKS = FEATURES + """, ranked AS (
 def rk_pct_features(spark, sf_dir):
     """RK-02: percentile ranks with ties in each context."""
     f = _features(spark, sf_dir)
-    return f.select("window", "node", F.round(ranks.percent_rank("activity_count", ["window"]), 9).alias("activity_rank"), F.round(ranks.percent_rank("observed_partners", ["window"]), 9).alias("partner_rank"))
+    f = ranks.average_rank(ranks.average_rank(f, "activity_count", ["window"], "activity_rank", True), "observed_partners", ["window"], "partner_rank", True)
+    return f.select("window", "node", _r("activity_rank", "activity_rank", 9), _r("partner_rank", "partner_rank", 9))
 
 
 @query(RANKS + """ SELECT "window", count(*) AS n, CASE WHEN min(r) < max(r) AND min(q) < max(q) THEN round(corr(r, q), 9) END AS spearman FROM ranked GROUP BY "window" """)
@@ -252,8 +254,8 @@ SELECT node, round((h::UBIGINT::DOUBLE + 0.5) / 18446744073709551616.0::DOUBLE,
 def sc_keyed_uniform(spark, sf_dir):
     """SC-01 to SC-03, SC-11, RK-04: keyed numbers, seeds, thinning and the order by hash."""
     u = canonical.dyads(spark, sf_dir).select(F.col("source_id").alias("node")).distinct()
-    x = u.select("node", keyed.uniform(17, "order", F.col("node")).alias("u"), keyed.exponential(17, "order", F.col("node")).alias("e"), keyed.seed(17, "seed", F.col("node")).alias("seed"), F.lit(0).alias("all"))
-    one = ranks.first_k(x, ["all"], [F.col("u"), F.col("node")], 1 << 30)  # one row a node: a roster
+    x = u.select("node", keyed.uniform(17, "order", F.col("node")).alias("u"), keyed.exponential(17, "order", F.col("node")).alias("e"), keyed.seed(17, "seed", F.col("node")).alias("seed"))
+    one = ranks.hash_position(x, "u", "node")
     return one.select("node", _r("u", "uniform", 12), _r("e", "exponential", 9), "seed", (F.col("u") < 0.3).alias("thinned"), "position")
 
 
@@ -295,7 +297,7 @@ SELECT count(*) AS n_cells, round(sum((v - m) ** 2), 3) AS ss_total, round(sum((
 def agg_anova(spark, sf_dir):
     """AGG-18, AGG-19: two-way decomposition on complete rows."""
     x = statistics.two_way(canonical.dyads(spark, sf_dir), "source_id", "kind", "weight")
-    return x.select("n_cells", *(_r(c, c, 3) for c in x.columns[1:]))
+    return x.select("n_cells", *(_r(c, c, 3) for c in ("ss_total", "ss_rows", "ss_cols", "ss_residual")))
 
 
 @query(FEATURES + """, p AS (SELECT b."window", a.activity_count::DOUBLE AS predicted, b.activity_count::DOUBLE AS observed FROM features b JOIN features a ON a.node = b.node AND a."window" = b."window" - 1)
