@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import keyed, ranks
-from tidewater.operators import exposure, intervals, statistics
-from tidewater.plans import catalogue
+from tidewater.operators import exposure, intervals, policies, statistics
+from tidewater.plans import catalogue, evaluation  # noqa: F401
+from tidewater.sources import contract
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "lineitem", "orders")
@@ -95,6 +96,50 @@ def test_five_positives_of_five(spark):
     assert many == pytest.approx(sum(math.comb(100, i) for i in range(60, 101)) / 2**100)
 
 
+def test_fixed_cases_of_evaluation(spark):
+    """Known small inputs: constant scores, twins, a shift of the best, coverage, strictly prior history."""
+    scored = spark.createDataFrame([("x", n, float(v), 1.0) for n, v in zip("abcd", range(4), strict=True)], "c string, node string, v double, constant double")
+    got = {r.method: r for r in policies.evaluate_scores(scored, ["c"], "v", ["constant", "random"], 0.5).collect()}
+    assert got["constant"].spearman == 0 and got["constant"].selected_value == 1.5 and got["random"].selected_value == 1.5
+    assert got["random"].capture == 0 and got["random"].overlap == 0.5
+    same = [("a", n, v) for n, v in zip("wxyz", (4.0, 3.0, 2.0, 1.0), strict=True)] + [("b", n, v) for n, v in zip("wxyz", (8.0, 6.0, 1.0, 0.0), strict=True)]
+    r = policies.rank_stability(spark.createDataFrame(same, "c string, node string, v double"), "c", "node", "v", 2).first()
+    assert (round(r.spearman, 9), r.overlap_fraction, r.jaccard, r.retention, r.regret) == (1, 1, 1, 1, 0)
+    moved = [("a", n, v) for n, v in zip("xyz", (3.0, 2.0, 1.0), strict=True)] + [("b", n, v) for n, v in zip("xyz", (1.0, 3.0, 2.0), strict=True)]
+    r = policies.rank_stability(spark.createDataFrame(moved, "c string, node string, v double"), "c", "node", "v", 1).first()
+    assert r.overlap == 0 and r.regret == 1.5 and r.retention == pytest.approx((1 / 3 + 2 / 3) / 2)
+    pairs = [(1, 2, 10.0), (1, 3, 9.0), (4, 5, 8.0)]
+    w = spark.createDataFrame([x for a, b, v in pairs for x in ((a, b, v), (b, a, v))], "node long, partner long, w double")
+    chosen = [r.node for r in policies.greedy_coverage(w, 2, 1).orderBy("position").collect()]
+    assert chosen[0] == 1 and chosen[1] in (4, 5)
+    h = spark.createDataFrame([("d", "a", 1, 0.2, 5.0), ("d", "a", 2, 0.4, 7.0), ("d", "a", 3, 0.9, 1.0), ("d", "b", 3, 0.1, 2.0)], "d string, node string, t long, s double, v double")
+    last = {(r.node, r.t): r for r in policies.prior_history(h, ["d"], "node", "t", "s", "v").collect()}
+    assert last["a", 3].stable == pytest.approx(0.3) and last["a", 3].last == 0.4 and last["a", 3].observations == 2
+    assert last["a", 1].stable == 0.5 and last["a", 1].raw == 0 and last["b", 3].stable == 0.5 and last["b", 3].raw == 6
+    cells = spark.createDataFrame([(r, c, float(v)) for r, v in (("a", 1), ("b", 5)) for c in (1, 2)], "r string, c int, v double")
+    v = statistics.two_way(cells, "r", "c", "v").first()
+    assert (v.status, v.row_fraction, v.col_fraction, v.residual_fraction) == ("estimated", 1, 0, 0)
+    assert spark.range(1).select(statistics.spearman_brown(F.lit(-0.5), 3).alias("x")).first().x == 0
+
+
+def test_contract_of_streams_and_bundles(spark, tmp_path):
+    rows = [("duration", "A", "B", 0, 10, None), ("flagged", "A", "B", 0, 10, "exact_duplicate_source_record"), ("empty", "A", "B", 5, 5, None), ("loop", "A", "A", 0, 3, None)]
+    d = spark.createDataFrame(rows, "event_id string, source_id string, target_id string, start long, end long, quality_flag string")
+    assert [r.event_id for r in contract.exposures(d, "duration", F.lit(1.0)).collect()] == ["duration"]
+    names = spark.createDataFrame([(" 12.0 ",), (None,), ("x.05",)], "v string").select(contract.node_id(F.col("v")).alias("n"))
+    assert [r.n for r in names.collect()] == ["12", "", "x.05"]
+    a, b = contract.canonical_pair(F.lit("b"), F.lit("a"))
+    assert tuple(spark.range(1).select(a, b).first()) == ("a", "b")
+    tables = {"memberships": spark.createDataFrame([("g", 1)], "group_id string, node_id long"), "dyads": contract.empty(spark, "dyads")}
+    contract.write_bundle(tables, str(tmp_path))
+    back = contract.read_bundle(spark, str(tmp_path), list(tables))
+    assert back["memberships"].collect() == [("g", 1, None)] and back["dyads"].count() == 0
+    cut = intervals.cut_at(spark.createDataFrame([("e", "a", "b", 0, 30, 2.0)], "id string, source_id string, target_id string, start long, end long, multiplier double"), [10, 20, 99])
+    phases = spark.createDataFrame([("p", 10, 20, 0.25), ("q", 20, 30, 0.25)], "phase string, start long, end long, residual double")
+    at = spark.createDataFrame([("p", "a"), ("q", "a"), ("q", "b")], "phase string, node string")
+    assert [(r.part, r.multiplier) for r in intervals.reduced(cut, phases, at).orderBy("part").collect()] == [(0, 2.0), (1, 0.5), (2, 0.125)]
+
+
 def test_entry_imports_without_the_llm_folder(tmp_path):
     import shutil
     import subprocess

@@ -35,19 +35,19 @@ def two_way(df: DataFrame, rows: str, cols: str, value: str, by: list[str] | Non
     Row and column means are grouped sums that join back; status tells units without two rows and two columns.
     """
     by = by or []
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, rows, cols).agg(F.avg(value).alias("v"))
-    per_row = cells.groupBy(*by, rows).agg(F.count("*").alias("c"))
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, rows, cols).agg(F.avg(value).alias("_v"))
+    per_row = cells.groupBy(*by, rows).agg(F.count("*").alias("_c"))
     size = cells.groupBy(*by).agg(F.countDistinct(cols).alias("n_cols"), F.countDistinct(rows).alias("n_seen"))
     on = lambda a, b, cs: a.join(b, cs) if cs else a.crossJoin(F.broadcast(b))
-    full = on(cells.join(on(per_row, size, by).where("c = n_cols").select(*by, rows), [*by, rows]), size, by)
-    r = full.groupBy(*by, rows).agg(F.avg("v").alias("r"))
-    c = full.groupBy(*by, cols).agg(F.avg("v").alias("c"))
-    m = full.groupBy(*by).agg(F.avg("v").alias("m"))
+    full = on(cells.join(on(per_row, size, by).where("_c = n_cols").select(*by, rows), [*by, rows]), size, by)
+    r = full.groupBy(*by, rows).agg(F.avg("_v").alias("_rm"))
+    c = full.groupBy(*by, cols).agg(F.avg("_v").alias("_cm"))
+    m = full.groupBy(*by).agg(F.avg("_v").alias("_m"))
     x = on(full.join(r, [*by, rows]).join(c, [*by, cols]), m, by)
     square = lambda e: F.coalesce(F.sum(F.pow(e, F.lit(2.0))), F.lit(0.0))
     x = x.groupBy(*by).agg(
-        F.count("v").alias("n_cells"), F.countDistinct(rows).alias("n_rows"), square(F.col("v") - F.col("m")).alias("ss_total"), square(F.col("r") - F.col("m")).alias("ss_rows"),
-        square(F.col("c") - F.col("m")).alias("ss_cols"), square(F.col("v") - F.col("r") - F.col("c") + F.col("m")).alias("ss_residual"))
+        F.count("_v").alias("n_cells"), F.countDistinct(rows).alias("n_rows"), square(F.col("_v") - F.col("_m")).alias("ss_total"), square(F.col("_rm") - F.col("_m")).alias("ss_rows"),
+        square(F.col("_cm") - F.col("_m")).alias("ss_cols"), square(F.col("_v") - F.col("_rm") - F.col("_cm") + F.col("_m")).alias("ss_residual"))
     x = size.join(x, by, "left") if by else size.crossJoin(x)
     enough = (F.coalesce("n_rows", F.lit(0)) >= 2) & (F.col("n_cols") >= 2)
     status = F.when(~enough, "not_estimable").when(F.col("ss_total") > 0, "estimated").otherwise("constant_target")
