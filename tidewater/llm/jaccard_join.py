@@ -45,7 +45,7 @@ SMALL = 8
 #: shuffle of their sets and changes no result.
 FILTER_SPARE, FILTER_MOST = 3, 27
 #: Turns in which members far from their pivot get a new one.
-ROUNDS = 4
+ROUNDS = 2
 #: Members of a large group that say what its consensus is, about.
 POLLED = 32
 #: Bands of lengths in the reach of one.
@@ -427,9 +427,9 @@ def _settled(steps: Steps, asked: DataFrame, items: DataFrame, label: DataFrame,
     delta = delta.select("p", "x", "n", F.concat(F.array_except("delta", "flip"), F.array_except("flip", "delta")).alias("delta"))
     weight = den + num
     delta = steps.cut(delta.withColumn("s", weight * F.size("delta") - (den - num) * F.col("n")), "jaccard-consensus")
-    mid = steps.cut(delta.groupBy("p").agg(F.min(F.struct("s", "x")).alias("m")).select("p", F.col("m.s").alias("sm"), F.col("m.x").alias("m")), "jaccard-middle")
-    delta = delta.join(mid, "p")
-    sure = steps.cut(delta.where("s + sm <= 0 and x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct(), "jaccard-links")
+    mid = delta.groupBy("p").agg(F.min(F.struct("s", "x")).alias("m")).select("p", F.col("m.s").alias("sm"), F.col("m.x").alias("m"))
+    delta = steps.cut(delta.join(mid, "p"), "jaccard-middle")
+    sure = (delta.where("s + sm <= 0 and x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct())
     delta = delta.join(label.toDF("x", "lx"), "x", "left").join(label.toDF("m", "lm"), "m", "left")
     delta = delta.select("p", "x", "n", "s", F.coalesce("lx", "x").alias("l"), F.size("delta").alias("d"), "delta", ((F.col("s") + F.col("sm") > 0) & (F.coalesce("lx", "x") != F.coalesce("lm", "m"))).alias("asks"))
     delta = delta.join(delta.where("asks").select("p").distinct(), "p", "left_semi")
