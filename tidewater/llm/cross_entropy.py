@@ -18,9 +18,9 @@ nobody has seen; p sums to 1 over them.
 The counts are exact and no task and no broadcast holds a model. Words and bigrams have keys of 63
 hashed bits (among a billion distinct keys, two that are equal come up in about one corpus of 20).
 Texts are dealt into chunks of about CHUNK bytes; a chunk asks for each of its keys once, however
-often it stands there. Keys are dealt by their first bits into buckets of about BUCKET keys of the
-model; a task reads a bucket of the model and then streams the chunks' questions past it, so its
-memory doesn't grow with the corpus.
+often it stands there, and one that trains a model sends the counts of its keys, packed. Keys are dealt
+by their first bits into buckets of about BUCKET keys of the model; a task adds up a bucket of the
+model and then streams the chunks' questions past it, so its memory doesn't grow with the corpus.
 
 Defined cases: null and empty texts have no words, only the boundary is predicted; null ids are never
 target; rows that repeat are counted and scored each; without target documents that model is even; an
@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm.common import Steps, cut, release, ship
+from tidewater.llm.common import cut, release, ship
 
 U = np.uint64
 #: Bytes of text that are scored together, keys of the model that are held together, and the weight of the unigrams.
-CHUNK, BUCKET, STRENGTH = 8 << 20, 1 << 17, 50.0
+CHUNK, BUCKET, STRENGTH = 8 << 20, 1 << 21, 50.0
 #: Keys of words are odd, those of bigrams even.
 BOUNDARY = U(1)
 
@@ -96,29 +96,6 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return cut(docs.mapInArrow(rows, f"key {kind}, text string, role int, fold int, chunk long"), "cross-entropy-texts")
 
 
-def model(texts: DataFrame) -> DataFrame:
-    """(fold, key, t, b): how often the models of a fold have seen each word (odd keys) and bigram (even ones)."""
-
-    def rows(batches):
-        for batch in batches:
-            role, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            at = 0
-            for context, word, first in _keys(batch.column(0)):
-                n = np.diff(first)
-                of = np.repeat(np.arange(at, at + len(n)), n)
-                at += len(n)
-                for f in (0, 1):
-                    mine = fold[of] != f  # a fold is scored by the other one's documents
-                    keys, inverse = np.unique(np.concatenate([word[mine], _pair(context[mine], word[mine])]), return_inverse=True)
-                    hit = np.tile(role[of[mine]] == 1, 2)
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(keys), f, np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.bincount(inverse[hit], minlength=len(keys))), pa.array(np.bincount(inverse[~hit], minlength=len(keys)))],
-                        ["fold", "key", "t", "b"])
-
-    made = texts.where("role > 0").select("text", "role", "fold").mapInArrow(rows, "fold int, key long, t long, b long")
-    return made.groupBy("fold", "key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
 def _packed(values: np.ndarray) -> bytes:
     """Rising numbers by their steps, or small ones as they are: bytes of the same weight side by side, deflated."""
     return zlib.compress(np.ascontiguousarray(values.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -136,20 +113,31 @@ def _columns(table: pa.Table, *names: str) -> list[list]:
     return [table.column(n).to_pylist() for n in names]
 
 
-def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
-    """(chunk, its texts) of rows (text, chunk), held until a task has read all of a chunk."""
-    held: dict[int, list[pa.Array]] = {}
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(chunk, its rows) of rows (text, chunk, ...), held until a task has read all of a chunk."""
+    held: dict[int, list[pa.RecordBatch]] = {}
     for batch in batches:
         chunk = batch.column(1).to_numpy()
         for c in np.unique(chunk).tolist():
             for other in [x for x in held if x != c and x % 2 == c % 2]:  # chunks of a fold follow each other
                 yield other, held.pop(other)
-            held.setdefault(c, []).append(batch.column(0).filter(pa.array(chunk == c)))
+            held.setdefault(c, []).append(batch.filter(pa.array(chunk == c)))
     yield from held.items()
 
 
-def looked_up(texts: DataFrame, models: DataFrame, bits: int) -> DataFrame:
-    """(chunk, n, keys, t, b): the keys of each chunk that the models of its fold have seen, with their counts."""
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct keys, and the sum of each one's counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[first], *(np.add.reduceat(c[order].astype(np.int64), first) if len(first) else c for c in counts)]
+
+
+def looked_up(texts: DataFrame, bits: int) -> DataFrame:
+    """(chunk, keys, t, b, words, all_t, all_b): the keys of each chunk that the models of its fold have seen, with their counts.
+
+    Rows of a chunk below 0 hold a bucket's figures of fold -1 - chunk: its distinct words and their counts.
+    """
     shift = U(64 - bits)
     kind = "bucket long, kind int, chunk long, keys binary, t binary, b binary"
     names = [c.split()[0] for c in kind.split(", ")]
@@ -169,70 +157,76 @@ def looked_up(texts: DataFrame, models: DataFrame, bits: int) -> DataFrame:
                  pa.array([_steps(keys[s]) for s in some], pa.binary()), fill(t), fill(b)], names)
 
     def of_model(batches):
-        for batch in batches:
-            fold, keys, t, b = (batch.column(k).to_numpy() for k in range(4))
-            keys = keys.view(U)
-            for f in (0, 1):
-                order = np.flatnonzero(fold == f)
-                order = order[np.argsort(keys[order])]
-                if len(order):
-                    yield from pieces(keys[order], f, -1, t[order], b[order])
+        for chunk, rows in _whole_chunks(batches):
+            made = []
+            for batch in rows:
+                role, at = batch.column(2).to_numpy(), 0
+                for context, word, first in _keys(batch.column(0)):
+                    n = np.diff(first)
+                    target = np.tile(np.repeat(role[at: at + len(n)] == 1, n), 2)
+                    at += len(n)
+                    made.append(_summed(np.concatenate([word, _pair(context, word)]), target, ~target))
+            yield from pieces(*(lambda k, t, b: (k, 1 - chunk % 2, -1, t, b))(*_summed(*(np.concatenate([m[k] for m in made]) for k in range(3)))))  # noqa: B023
 
     def of_chunks(batches):
-        for chunk, columns in _whole_chunks(batches):
-            asked = np.zeros(0, U)
-            for column in columns:
-                for context, word, _ in _keys(column):
-                    asked = np.union1d(asked, np.concatenate([word, _pair(context, word)]))
-            yield from pieces(asked, chunk % 2, chunk)
+        for chunk, rows in _whole_chunks(batches):
+            asked = [np.unique(np.concatenate([word, _pair(context, word)])) for batch in rows for context, word, _ in _keys(batch.column(0))]
+            yield from pieces(np.unique(np.concatenate(asked)), chunk % 2, chunk)
+
+    answer = ["chunk", "keys", "t", "b", "words", "all_t", "all_b"]
 
     def answers(batches):
         now, parts, ready = None, [], None
+
+        def added():
+            keys, t, b = _summed(*(np.concatenate([p[k] for p in parts]) for k in range(3))) if parts else [np.zeros(0, U)] * 3
+            word = (keys & U(1)) == 1
+            own = pa.record_batch([pa.array([-1 - now % 2]), *[pa.array([None], pa.binary())] * 3, pa.array([int(word.sum())]), pa.array([int(t[word].sum())]), pa.array([int(b[word].sum())])], answer)
+            return (keys, t, b), own
+
         for batch in batches:
             for bucket, kind, chunk, keys, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
+                    if parts and ready is None:
+                        yield added()[1]
                     now, parts, ready = bucket, [], None
                 keys = np.cumsum(_unpacked(keys), dtype=U)
                 if kind == 0:
                     parts.append((keys, _unpacked(t), _unpacked(b)))
                     continue
                 if ready is None:
-                    ready = [np.concatenate([p[k] for p in parts] or [np.zeros(0, U)]) for k in range(3)]
-                    order = np.argsort(ready[0])
-                    ready = [v[order] for v in ready]
+                    ready, figures = added()
+                    parts = []
+                    yield figures
                 at = np.minimum(np.searchsorted(ready[0], keys), max(0, len(ready[0]) - 1))
                 hit = np.flatnonzero(ready[0][at] == keys) if len(ready[0]) else at[:0]
                 if len(hit):
-                    yield pa.record_batch([pa.array([chunk]), *(pa.array([v], pa.binary()) for v in (_steps(keys[hit]), _packed(ready[1][at[hit]]), _packed(ready[2][at[hit]])))], ["chunk", "keys", "t", "b"])
+                    yield pa.record_batch([pa.array([chunk]), *(pa.array([v], pa.binary()) for v in (_steps(keys[hit]), _packed(ready[1][at[hit]]), _packed(ready[2][at[hit]]))), *[pa.array([0])] * 3], answer)
+        if parts and ready is None:
+            yield added()[1]
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a task packs the keys of whole buckets, so that a piece is long
-    top = F.shiftrightunsigned("key", 64 - bits) if bits else F.col("fold")
-    held = models.repartition(parts, top).sortWithinPartitions("fold", top).mapInArrow(of_model, kind)
+    held = texts.where("role > 0").select("text", "chunk", "role").mapInArrow(of_model, kind)
     asked = texts.select("text", "chunk").mapInArrow(of_chunks, kind)
     both = held.unionByName(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    return both.mapInArrow(answers, "chunk long, keys binary, t binary, b binary")
+    return both.mapInArrow(answers, "chunk long, keys binary, t binary, b binary, words long, all_t long, all_b long")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, bucket: int = BUCKET, strength: float = STRENGTH) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of every row."""
     spark = docs.sparkSession
     ship(spark)
-    steps = Steps(spark)
     texts = chunks(roles(docs, targets, id_col, text_col), size)
-    models = steps.cut(model(texts), "cross-entropy-model")
-    release(spark)
-    word = F.col("key") % 2 != 0
-    figures = {r[0]: r[1:] for r in models.groupBy("fold").agg(F.count_if(word), F.sum(F.when(word, F.col("t"))), F.sum(F.when(word, F.col("b"))), F.count("*")).collect()}  # two rows
-    bits = (sum(f[3] for f in figures.values()) // (2 * bucket)).bit_length()
-    found = cut(looked_up(texts, models, bits), "cross-entropy-counts")
-    steps.clear()
+    trained = texts.where("role > 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = cut(looked_up(texts, (trained // (10 * bucket)).bit_length()), "cross-entropy-counts")  # a key in 5 bytes, in two folds
     release(spark)
+    sums = found.where("chunk < 0").groupBy("chunk").agg(F.sum("words"), F.sum("all_t"), F.sum("all_b")).collect()  # two rows
+    figures = {-1 - r[0]: r[1:] for r in sums}
 
     def rate(left, right):
         column = left.column("text").combine_chunks()
         fold = left.column("fold")[0].as_py() if left.num_rows else 0
-        words, t, b, _ = figures.get(fold, (0, 0, 0, 0))
+        words, t, b = figures.get(fold, (0, 0, 0))
         total, ids = np.array([t or 0, b or 0], np.float64), words + 1
         parts = [(np.cumsum(_unpacked(k), dtype=U), _unpacked(t), _unpacked(b)) for k, t, b in zip(*_columns(right, "keys", "t", "b"), strict=True)]
         keys = np.concatenate([p[0] for p in parts] or [np.zeros(0, U)])
@@ -257,5 +251,5 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
             ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.select("key", "text", "fold", "chunk").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
+    return texts.select("key", "text", "fold", "chunk").groupBy("chunk").cogroup(found.where("chunk >= 0").select("chunk", "keys", "t", "b").groupBy("chunk")).applyInArrow(
         rate, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
