@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import keyed, ranks
 from tidewater.operators import exposure, intervals, policies, statistics
-from tidewater.plans import catalogue, evaluation  # noqa: F401
+from tidewater.plans import catalogue, evaluation, networks  # noqa: F401
 from tidewater.sources import contract
 
 SF = "/root/testdata/sf0.001"
