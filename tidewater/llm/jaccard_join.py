@@ -331,41 +331,30 @@ def linked(pairs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
 def _far_pairs(steps: Steps, members: DataFrame, items: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of the members (cls) that may be linked and stand in different components.
 
-    Linked sets share an element among the first n - ceil(n * num / den) + 1 of each in any one
-    order. The order is by how many sets hold an element, rare ones first; that is counted in a table
-    of bounded size, and elements in one slot go by their hash. Only those first elements are moved.
+    Elements are in one order: first those that no two components share, which make no pairs, then
+    the others by how many sets hold them. Sets whose first shared element stands at ranks r and q
+    share at most 1 + min(n - r, k - q) elements, so only ranks where that reaches the bound meet.
+    Counts are exact at any size: they are an aggregate and never leave the executors.
     """
-    spark = members.sparkSession
     sets = steps.cut(items.join(members, "cls", "left_semi").join(label.toDF("cls", "l"), "cls", "left").select("cls", F.coalesce("l", "cls").alias("l"), "n", "items"), "jaccard-far")
-    bits = min(20, max(12, sets.count().bit_length() + 3))
 
-    def slots(batches):
-        made = np.zeros(1 << bits, np.int64)
+    def elements(batches):
         for batch in batches:
-            for v in batch.column(0):
-                made += np.bincount((K.mix(np.frombuffer(v.as_buffer(), U)) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
-        some = np.flatnonzero(made)
-        yield pa.record_batch([pa.array(some), pa.array(made[some])], ["slot", "n"])
-
-    got = sets.select("items").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** bits rows
-    often = np.zeros(1 << bits, np.int64)
-    often[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    held = spark.sparkContext.broadcast(often)
-
-    def first(v):
-        n = len(v) + (-len(v) * num) // den + 1
-        return v[np.lexsort((v, held.value[(K.mix(v) >> U(64 - bits)).astype(np.int64)]))[:n]].view(np.int64)
-
-    def spread(batches):
-        for batch in batches:
-            made = [first(np.frombuffer(v.as_buffer(), U)) for v in batch.column(3)]
-            size = [len(v) for v in made]
-            if made:
-                yield pa.record_batch([pa.array(np.concatenate(made)), *(pa.array(np.repeat(batch.column(k).to_numpy(), size)) for k in range(3))], ["e", "x", "l", "n"])
-
-    ranked = steps.cut(sets.select("cls", "l", "n", "items").mapInArrow(spread, "e long, x long, l long, n long"), "jaccard-firsts")
-    other = ranked.toDF("e", "y", "m", "k")
-    pairs = ranked.join(other, "e").where((F.col("x") < F.col("y")) & (F.col("l") != F.col("m")) & (F.least("n", "k") * den >= F.greatest("n", "k") * num))
+            x, label_of, n = (batch.column(k).to_numpy() for k in range(3))
+            ends = np.cumsum(n)
+            for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(ends // 100_000)) + 1):
+                if len(at):
+                    e = np.concatenate([np.frombuffer(batch.column(3)[k].as_buffer(), np.int64) for k in at])
+                    yield pa.record_batch([pa.array(e), *(pa.array(np.repeat(v[at], n[at])) for v in (x, label_of, n))], ["e", "x", "l", "n"])
+
+    held = sets.select("cls", "l", "n", "items").mapInArrow(elements, "e long, x long, l long, n long")
+    shared = held.groupBy("e").agg(F.count("*").alias("c"), F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("e", "c")
+    of = Window.partitionBy("x")  # the elements of one set
+    rank = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("c", "e"))
+    ranked = steps.cut(held.join(shared, "e").withColumn("r", rank).where((F.lit(1) + F.col("n") - F.col("r")) * den >= F.col("n") * num).select("e", "x", "l", "n", "r"), "jaccard-firsts")
+    other = ranked.toDF("e", "y", "m", "k", "q")
+    most = F.lit(1) + F.least(F.col("n") - F.col("r"), F.col("k") - F.col("q"))
+    pairs = ranked.join(other, "e").where((F.col("x") < F.col("y")) & (F.col("l") != F.col("m")) & (most * (num + den) >= (F.col("n") + F.col("k")) * num))
     return steps.cut(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-far-pairs")
 
 
