@@ -20,3 +20,18 @@ def test_core_numbers_of_a_triangle_with_a_tail(spark):
 def test_singular_systems_have_no_coefficients(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 2.0), (2, None, 1.0)], "g long, y double, x double")
     assert all(r["coefficients"] is None for r in models.ridge_without_each(df, "g", "y", ["x"], 0.0).collect())
+
+
+def test_summaries_of_small_cases(spark):
+    from tidewater.operators import summaries
+
+    c = spark.createDataFrame([("f", "a", 1.0), ("f", "a", 1.0), ("f", "b", None)], "family string, kind string, d double")
+    got = {r["kind"]: r for r in summaries.spread(c, ["family", "kind"], "d").collect()}
+    assert got["a"]["size"] == 2 and got["a"]["n_values"] == 1 and got["a"]["spread"] == 0.0
+    assert got["b"]["size"] == 0 and got["b"]["spread"] is None
+    n = spark.createDataFrame([("x", 1, 5), ("x", 2, 3), ("x", 3, None), ("y", 1, 2), ("y", 2, 4)], "node string, level int, t int")
+    assert {r["node"]: (r["levels"], r["nested"]) for r in summaries.nested(n, ["node"], "level", "t").collect()} == {"x": (2, True), "y": (2, False)}
+    m = spark.createDataFrame([("k", "g", 60), ("k", "g", 60), ("k", "h", 60)], "kind string, g string, s int")
+    assert abs(summaries.mean_competitors(m, ["kind"], "g", "s").first()["competitors"] - 2 / 3) < 1e-12
+    p = spark.createDataFrame([(0.5, 1, 2.0, 1.0, 0), (0.5, 0, 4.0, 1.0, 0)], "c double, came int, e double, o double, w int")
+    assert summaries.prediction_scores(p, [], "c", "came", "e", "o", "w").first()[1:] == (0.25, 2.0)
