@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import cross_entropy, decontaminate, jaccard_join, licences, line_rules, mixing, sharding, token_orc, toxicity, url_list
+from tidewater.llm import (cross_entropy, decontaminate, divergence, jaccard_join, lexical, licences, line_rules, mixing, sharding, templates, token_orc,
+                           toxicity, url_list)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,6 +232,61 @@ FROM {last}
 """
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda v: translate(v, '{UPPER}', '{LOWER}')) AS t FROM documents),
+a AS (SELECT count(*)::BIGINT AS big_n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+i AS (
+  SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda v: translate(v, '{UPPER}', '{LOWER}'))) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), a),
+s AS (
+  SELECT i.item_id, d.r, d.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(t) * big_n) // l))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN d USING (r), a GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the words that tell a source."""
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda v: translate(v, '{UPPER}', '{LOWER}')) AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w WHERE (lang, term) IN (SELECT (lang, term) FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30) GROUP BY ALL),
+c AS (SELECT w.lang, source, w.term, count(*)::HUGEINT AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS big_n FROM k GROUP BY lang),
+g AS (SELECT x.lang, x.source, coalesce(sum(n), 0)::HUGEINT AS big_n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN c ON x.lang = c.lang AND x.source = c.source GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.big_n + 5 * l.v) AS p,
+         1 + (1000000000 * (k.n + 5)) // (l.big_n + 5 * l.v) AS q
+  FROM g JOIN l ON g.lang = l.lang JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.f, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+x AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages, without what their sites repeat."""
+    return templates.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_sampled_splitters": op2_sampled_splitters,
@@ -242,6 +298,9 @@ QUERIES = {
     "op8_hierarchical_budget": op8_hierarchical_budget,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_licence_rules": op10_licence_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_site_templates": op13_site_templates,
 }
 ORACLES: dict[str, str] = {
     "op1_line_frequency": OP1_SQL,
@@ -249,4 +308,6 @@ ORACLES: dict[str, str] = {
     "op5_temporal_list_join": OP5_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_licence_rules": _licence_sql(),
+    "op11_lexical_search": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
