@@ -82,3 +82,34 @@ def decayed(start: Column, end: Column, anchor: Column | int, half_life: float)
     """Length of an interval that halves with its middle's distance from the anchor."""
     anchor = anchor if isinstance(anchor, Column) else F.lit(anchor)
     return (end - start) * F.pow(F.lit(0.5), (anchor - (start + end) / 2.0) / half_life)
+
+
+def range_join(left: DataFrame, right: DataFrame, on: list[str], span: tuple[str, str], other: tuple[str, str], width: int) -> DataFrame:
+    """Pairs of rows alike in `on` whose half-open intervals `span` of `left` and `other` of `right` overlap, each pair once.
+
+    Both sides are cut at the multiples of `width` and joined on key and bucket, so that a hot key is spread over its
+    buckets and only intervals of one bucket are compared; a pair that shares several buckets is told in the first of
+    them. Nulls and intervals without length overlap nothing. The columns of both sides but `on` must differ.
+    """
+    (a, b), (c, d) = span, other
+
+    def cut(df, first, last, name):
+        low, high = F.floor(F.col(first) / width), F.floor((F.col(last) - 1) / width)
+        return df.where(F.col(last) > F.col(first)).withColumn(name, low).withColumn("_bucket", F.explode(F.sequence(low, high)))
+
+    both = cut(left, a, b, "_left").join(cut(right, c, d, "_right"), [*on, "_bucket"])
+    both = both.where((F.col("_bucket") == F.greatest("_left", "_right")) & (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)))
+    return both.drop("_bucket", "_left", "_right")
+
+
+def coverage_of(spans: DataFrame, windows: DataFrame, by: list[str], span: tuple[str, str], window: tuple[str, str], width: int) -> DataFrame:
+    """(by, window, first, last, covered) of each row of `windows` (by, window): what the union of overlapping spans covers.
+
+    `first` and `last` are those of the clipped spans, null where none overlaps; `covered` is in units of time.
+    """
+    (a, b), (c, d) = span, window
+    keys = [*by, c, d]
+    met = range_join(spans.select(*by, a, b), windows.select(*keys).distinct(), by, span, window, width)
+    met = met.select(*keys, F.greatest(a, c).alias("start"), F.least(b, d).alias("end"))
+    whole = islands(met, keys).groupBy(*keys).agg(F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+    return windows.select(*keys).distinct().join(whole, keys, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))

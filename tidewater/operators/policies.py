@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import keyed, ranks
+from tidewater.operators.turns import Turns
 
 
 def _taken(groups: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
@@ -92,26 +93,36 @@ def prior_history(df: DataFrame, by: list[str], item: str, at: str, score: str,
     return x.withColumn("raw", F.coalesce("_raw", "_mean", F.lit(0.0))).drop("_raw", "_mean")
 
 
-def greedy_coverage(weights: DataFrame, budget: int, seed: int) -> DataFrame:
-    """(node, position) that in turn add most to sum_v max_{s chosen} w(s, v); weights are (node, partner, w), both ways.
+def greedy_sets(weights: DataFrame, by: list[str], budget: int, seed: int) -> DataFrame:
+    """(by, node, position): nodes that in turn add most to sum_v max_{s chosen} w(s, v), for all contexts at once.
 
-    A turn is one join and one aggregation; ties go by a hash of the node.
+    `weights` are (by, node, partner, w), both ways. A turn is one join and one arg-max by context over all contexts, and its
+    tables are written; what a chosen node holds is no gain any more. Ties go by a hash of the node.
     """
-    spark = weights.sparkSession
-    chosen = spark.createDataFrame([], "node long, position int")
-    covered = weights.select(F.col("partner").alias("v")).distinct().withColumn("c", F.lit(0.0))
+    turns = Turns(weights.sparkSession)
+    left = turns.kept(weights.select(*by, "node", "partner", "w"), "left")
+    covered = turns.kept(left.select(*by, F.col("partner").alias("v")).distinct().withColumn("c", F.lit(0.0)), "covered")
+    chosen = None
     for turn in range(1, budget + 1):
-        gone = F.broadcast(chosen.select(F.col("node").alias("g")))  # at most `budget` rows
-        left = weights.join(gone, F.col("node") == F.col("g"), "left_anti")
-        counted = left.join(gone, F.col("partner") == F.col("g"), "left_anti").join(covered, F.col("partner") == F.col("v"))
-        gains = left.select("node").distinct().join(counted.groupBy("node").agg(F.sum(F.greatest(F.lit(0.0), F.col("w") - F.col("c"))).alias("gain")), "node", "left")
-        key = F.struct(-F.round(F.coalesce("gain", F.lit(0.0)), 6), hash_order(F.col("node"), seed, "history_coverage_ties"), "node")
-        best = gains.agg(F.min_by("node", key).alias("node")).where("node is not null").withColumn("position", F.lit(turn))
-        best = spark.createDataFrame(best.collect(), "node long, position int")  # one row
-        reach = weights.join(F.broadcast(best.select(F.col("node").alias("b"))), F.col("node") == F.col("b")).select(F.col("partner").alias("q"), "w")
-        covered = covered.join(reach, F.col("v") == F.col("q"), "left").select("v", F.greatest("c", F.coalesce("w", F.lit(0.0))).alias("c"))
-        chosen = chosen.union(best)
-    return chosen
+        gain = left.join(covered.withColumnRenamed("v", "partner"), [*by, "partner"], "left").groupBy(*by, "node").agg(F.sum(F.greatest(F.lit(0.0), F.col("w") - F.coalesce("c", F.col("w")))).alias("gain"))
+        key = F.struct(-F.round("gain", 6), hash_order(F.col("node"), seed, "history_coverage_ties"), "node")
+        best = gain.groupBy(*by).agg(F.min_by("node", key).alias("node")).withColumn("position", F.lit(turn))
+        best = turns.kept(best, f"best{turn}")
+        chosen = best if chosen is None else chosen.union(best)
+        if turn == budget:
+            break
+        held = left.join(best.drop("position"), [*by, "node"], "left_semi").select(*by, F.col("partner").alias("v"), F.col("w").alias("x"))
+        now = covered.join(held, [*by, "v"], "left").select(*by, "v", F.greatest("c", F.coalesce("x", F.lit(0.0))).alias("c"))
+        now = now.join(best.select(*by, F.col("node").alias("v")), [*by, "v"], "left_anti")  # a chosen node needs no cover: null is no gain
+        covered = turns.kept(now, "covered")
+        left = turns.kept(left.join(best.drop("position"), [*by, "node"], "left_anti"), "left")
+    turns.drop("left", "covered")
+    return chosen.select(*by, "node", "position")
+
+
+def greedy_coverage(weights: DataFrame, budget: int, seed: int) -> DataFrame:
+    """(node, position) of `greedy_sets` in a single context."""
+    return greedy_sets(weights.withColumn("_all", F.lit(1)), ["_all"], budget, seed).drop("_all")
 
 
 def chronological_test(df: DataFrame, by: list[str], at: str, fraction: float, train: int = 2) -> DataFrame:
