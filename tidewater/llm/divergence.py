@@ -91,7 +91,7 @@ def _cell(table: pa.Table) -> pa.Table:
         sides.append((ids, dense))
     (a, x), (b, y) = sides
     part = [np.abs(y - one).sum(axis=1) for one in x]
-    i, j, part = np.repeat(a, len(b)), np.tile(b, len(a)), np.concatenate(part)
+    i, j, part = np.repeat(a, len(b)), np.tile(b, len(a)), np.concatenate([np.zeros(0, np.int64), *part])  # a block may be empty
     keep = (i < j) | (bi != bj)
     n = int(keep.sum())
     return pa.table({"lang": pa.array([lang] * n, pa.string()), "bi": pa.array([bi] * n, pa.int32()), "i": i[keep], "bj": pa.array([bj] * n, pa.int32()), "j": j[keep], "part": part[keep]})
