@@ -45,14 +45,24 @@ def set_geometry(left: Column, right: Column, without: Column | None = None) ->
     return (both == either), F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def reconstruction(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(matched, left_only, right_only, largest): a full outer join of two tables that should hold the same values."""
-    a = left.select(*keys, F.col(value).alias("_a"), F.lit(1).alias("_l"))
-    b = right.select(*keys, F.col(value).alias("_b"), F.lit(1).alias("_r"))
-    x = a.join(b, keys, "full_outer")
-    return x.agg(
-        F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("matched"), F.count_if(F.col("_r").isNull()).alias("left_only"),
-        F.count_if(F.col("_l").isNull()).alias("right_only"), F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0.0)).alias("largest"))
+def reconstruction(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float = 0.0) -> DataFrame:
+    """(matched, left_only, right_only, repeated, largest, agree): a full outer join of two tables that should hold the same values.
+
+    Null keys meet each other. `repeated` counts keys that one of the tables has more than once, each taken once with its
+    least value; `agree` says that nothing is missing, repeated or null on one side only, and no value differs by more than `tolerance`.
+    """
+    one = lambda df, v, n: df.groupBy(*(F.col(k).alias(f"{v}{i}") for i, k in enumerate(keys))).agg(F.min(value).alias(v), F.count("*").alias(n))
+    a, b = one(left, "_a", "_l"), one(right, "_b", "_r")
+    same = F.lit(True)
+    for i in range(len(keys)):
+        same = same & a[f"_a{i}"].eqNullSafe(b[f"_b{i}"])
+    x = a.join(b, same, "full_outer")
+    count = F.count_if
+    x = x.agg(
+        count(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("matched"), count(F.col("_r").isNull()).alias("left_only"), count(F.col("_l").isNull()).alias("right_only"),
+        count((F.coalesce("_l", F.lit(1)) > 1) | (F.coalesce("_r", F.lit(1)) > 1)).alias("repeated"), F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0.0)).alias("largest"),
+        count(F.col("_l").isNotNull() & F.col("_r").isNotNull() & (F.col("_a").isNull() != F.col("_b").isNull())).alias("_odd"))
+    return x.select("matched", "left_only", "right_only", "repeated", "largest", ((F.col("left_only") + F.col("right_only") + F.col("repeated") + F.col("_odd") == 0) & (F.col("largest") <= tolerance)).alias("agree"))
 
 
 def effect_status(mean: Column, low: Column, high: Column) -> Column:

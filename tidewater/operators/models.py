@@ -61,12 +61,3 @@ def bootstrap(df: DataFrame, by: list[str], unit: str, value: str, replicates: i
     ends = each.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     out = held.groupBy(*by).agg(F.max("units").alias("units"), F.avg("v").alias("mean")).join(ends, by)
     return out.withColumn("status", F.when(F.col("low") > 0, "positive").when(F.col("high") < 0, "negative").otherwise("open"))
-
-
-def reconstruction(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row (n_both, only_left, only_right, max_error): two tables of unique keys by a full outer join."""
-    a = left.select(*keys, F.col(value).alias("a"), F.lit(True).alias("in_a"))
-    b = right.select(*keys, F.col(value).alias("b"), F.lit(True).alias("in_b"))
-    j = a.join(b, keys, "full")
-    return j.agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("n_both"), F.count_if(F.col("in_b").isNull()).alias("only_left"),
-                 F.count_if(F.col("in_a").isNull()).alias("only_right"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_error"))

@@ -1,7 +1,7 @@
 """Measures of contact networks: a turn of each is one join on the node and one aggregation.
 
-Edges are (node, partner, w), both ways, without loops. A node without edges isn't in the results.
-Turns that are many cut the lineage in the shared checkpoint folder, where the session names one.
+Edges are (by, node, partner, w), both ways, without loops; all contexts `by` advance together. Turns go on until nothing
+changes any more, or less than a tolerance, and every few turns are written to the shared folder, where the lineage ends.
 """
 
 from __future__ import annotations
@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.turns import Turns
+
+#: Turns between two written tables.
+EVERY = 4
+
 
 def both_ways(pairs: DataFrame, a: str, b: str, w: Column, *keys: str) -> DataFrame:
     """(keys, node, partner, w): each pair from both of its ends; pairs of a node with itself and null ends are left out."""
@@ -17,68 +22,82 @@ def both_ways(pairs: DataFrame, a: str, b: str, w: Column, *keys: str) -> DataFr
     return some.select(*keys, ends, w.alias("w")).select(*keys, "x.node", "x.partner", "w")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
-def pagerank(edges: DataFrame, turns: int, damping: float = 0.85, every: int = 10) -> DataFrame:
-    """(node, rank): weighted PageRank after `turns` turns from equal ranks."""
-    share = edges.join(edges.groupBy("node").agg(F.sum("w").alias("s")), "node").select(F.col("node").alias("f"), F.col("partner").alias("t"), (F.col("w") / F.col("s")).alias("q"))
-    nodes = edges.select("node").distinct()
-    n = F.broadcast(nodes.agg(F.count("*").alias("n")))  # one row
-    rank = nodes.crossJoin(n).select("node", "n", (1 / F.col("n")).alias("rank"))
-    for turn in range(1, turns + 1):
-        flow = share.join(rank, F.col("f") == F.col("node")).groupBy("t", "n").agg(F.sum(F.col("rank") * F.col("q")).alias("x"))
-        rank = flow.select(F.col("t").alias("node"), "n", ((1 - damping) / F.col("n") + damping * F.col("x")).alias("rank"))
-        if turn % every == 0 and turn < turns:
-            rank = _kept(rank)
-    return rank.select("node", "rank")
-
-
-def eigenvector(edges: DataFrame, turns: int) -> DataFrame:
-    """(node, score): power iteration of the weights plus the identity, of length 1; weights are divided by the largest."""
-    top = F.broadcast(edges.agg(F.max("w").alias("top")))  # one row
-    step = edges.crossJoin(top).select(F.col("node").alias("f"), F.col("partner").alias("t"), (F.col("w") / F.col("top")).alias("q"))
-    step = step.union(edges.select("node").distinct().select("node", F.col("node").alias("t"), F.lit(1.0)))
-    x = edges.select("node").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(turns):
-        x = step.join(x, F.col("f") == F.col("node")).groupBy("t").agg(F.sum(F.col("score") * F.col("q")).alias("score")).withColumnRenamed("t", "node")
-    return x.crossJoin(F.broadcast(x.agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("l")))).select("node", (F.col("score") / F.col("l")).alias("score"))  # one row
+def _settled(new: DataFrame, by: list[str], value: str, old: str, tolerance: float) -> bool:
+    """Whether every context changes by less than `tolerance` a node, in all."""
+    change = new.groupBy(*by).agg(F.sum(F.abs(F.col(value) - F.col(old))).alias("e"), F.count("*").alias("n"))
+    return change.where(F.col("e") >= F.col("n") * tolerance).isEmpty()
 
 
-def k_core(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, core): core numbers, as the fixed point of "the most h neighbours that have h or more", from the degrees."""
-    plain = edges.select("node", "partner").distinct()
-    core = plain.groupBy("node").agg(F.count("*").alias("core"))
-    upto = F.sum("c").over(Window.partitionBy("node").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0))
-    for _ in range(most):
-        near = plain.join(core.withColumnRenamed("node", "partner"), "partner").groupBy("node", "core").agg(F.count("*").alias("c"))
-        less = near.withColumn("upto", upto).groupBy("node").agg(F.max(F.least("core", "upto")).alias("h"))
-        new = _kept(core.join(less, "node"))
-        core = new.select("node", F.col("h").alias("core"))
-        if new.where("h < core").isEmpty():
-            break
-    return core
-
-
-def reach(edges: DataFrame, batches: list[int]) -> DataFrame:
-    """(node, reached): how many others a path with strictly growing batches leads to; hops of one batch don't chain.
+def pagerank(edges: DataFrame, by: list[str], nodes: DataFrame | None = None, damping: float = 0.85, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """(by, node, rank): weighted PageRank to a tolerance a node; an error if `most` turns don't reach it.
 
-    Edges have a column `batch`; the pairs held are those of a node and all that it reaches.
+    `nodes` (by, node) may name nodes without edges: what they hold goes to all nodes alike.
     """
-    at = edges.select("node").distinct().select(F.col("node").alias("origin"), "node")
-    for b in batches:
-        hops = edges.where(F.col("batch") == b).select("node", "partner").distinct().groupBy("node").agg(F.collect_set("partner").alias("next"))
-        grown = at.join(hops, "node", "left").select("origin", F.explode(F.concat(F.array("node"), F.coalesce("next", F.array().cast("array<bigint>")))).alias("node"))
-        at = grown.distinct()
-    return at.groupBy("origin").agg((F.count("*") - 1).alias("reached")).withColumnRenamed("origin", "node")
-
-
-def communicability(edges: DataFrame, batches: list[int], gain: float) -> DataFrame:
-    """(node, score): what walks through the batches in their order bring to a node, one step a batch, over the largest."""
-    x = edges.select("node").distinct().withColumn("score", F.lit(1.0))
-    own = edges.select(F.col("node").alias("t"), F.col("node").alias("f"), F.lit(1.0).alias("q")).distinct()
-    for b in batches:
-        step = own.union(edges.where(F.col("batch") == b).select("node", "partner").distinct().select("node", "partner", F.lit(gain)))
-        x = step.join(x, F.col("f") == F.col("node")).groupBy("t").agg(F.sum(F.col("score") * F.col("q")).alias("score")).withColumnRenamed("t", "node")
-    return x.crossJoin(F.broadcast(x.agg(F.max("score").alias("top")))).select("node", (F.col("score") / F.col("top")).alias("score"))  # one row
+    turns = Turns(edges.sparkSession)
+    ends = edges.groupBy(*by, "node").agg(F.sum("w").alias("s")).where("s > 0")
+    share = turns.kept(edges.join(ends, [*by, "node"]).select(*by, "node", F.col("partner").alias("t"), (F.col("w") / F.col("s")).alias("q")), "share")
+    every = (ends.select(*by, "node") if nodes is None else nodes.select(*by, "node").union(ends.select(*by, "node"))).distinct()
+    held = every.join(ends.select(*by, "node", F.lit(False).alias("dangling")), [*by, "node"], "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
+    sizes = every.groupBy(*by).agg(F.count("*").alias("n"))
+    join = lambda x, y: x.join(y, by) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  one row
+    rank = turns.kept(join(held, sizes).withColumn("rank", 1 / F.col("n")), "rank")
+    for turn in range(EVERY, most + EVERY, EVERY):
+        new = rank.withColumn("old", F.col("rank"))
+        for _ in range(EVERY):
+            lost = new.groupBy(*by).agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost"))
+            flow = share.join(new.select(*by, "node", "rank"), [*by, "node"]).groupBy(*by, F.col("t").alias("node")).agg(F.sum(F.col("rank") * F.col("q")).alias("x"))
+            new = join(new.drop("rank").join(flow, [*by, "node"], "left"), lost)
+            new = new.select(*by, "node", "dangling", "n", "old", ((1 - damping + damping * F.col("lost")) / F.col("n") + damping * F.coalesce("x", F.lit(0.0))).alias("rank"))
+        rank = turns.kept(new, "rank")
+        if _settled(rank, by, "rank", "old", tolerance):
+            turns.drop("share")
+            return rank.select(*by, "node", "rank")
+        rank = rank.drop("old")
+    raise RuntimeError(f"PageRank changes by more than {tolerance} a node after {most} turns")
+
+
+def eigenvector(edges: DataFrame, by: list[str], tolerance: float = 1e-10, most: int = 2000) -> DataFrame:
+    """(by, node, score): the leading eigenvector, of length 1, by power iteration of the weights plus the identity.
+
+    Weights are divided by the largest of their context. An error if `most` turns don't reach the tolerance.
+    """
+    turns = Turns(edges.sparkSession)
+    top = edges.groupBy(*by).agg(F.max("w").alias("top"))
+    join = lambda x, y: x.join(y, by) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  one row
+    step = join(edges, top).select(*by, "node", F.col("partner").alias("t"), (F.col("w") / F.col("top")).alias("q"))
+    nodes = edges.select(*by, "node").distinct()
+    step = turns.kept(step.union(nodes.select(*by, "node", F.col("node").alias("t"), F.lit(1.0))), "step")
+    x = turns.kept(join(nodes, nodes.groupBy(*by).agg(F.count("*").alias("n"))).select(*by, "node", (1 / F.sqrt("n")).alias("score")), "score")
+    for turn in range(EVERY, most + EVERY, EVERY):
+        new = x
+        for _ in range(EVERY):
+            new = step.join(new, [*by, "node"]).groupBy(*by, F.col("t").alias("node")).agg(F.sum(F.col("score") * F.col("q")).alias("score"))
+        new = join(new, new.groupBy(*by).agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("l"))).select(*by, "node", (F.col("score") / F.col("l")).alias("score"))
+        x = turns.kept(new.join(x.withColumnRenamed("score", "old"), [*by, "node"]), "score")
+        if _settled(x, by, "score", "old", tolerance):
+            turns.drop("step")
+            return x.select(*by, "node", "score")
+        x = x.drop("old")
+    raise RuntimeError(f"the eigenvector changes by more than {tolerance} a node after {most} turns")
+
+
+def k_core(edges: DataFrame) -> DataFrame:
+    """(node, core): core numbers, as the fixed point of "the most h neighbours that have h or more", from the degrees.
+
+    A chain of n nodes takes n / 2 turns; there is no limit to them.
+    """
+    turns = Turns(edges.sparkSession)
+    plain = turns.kept(edges.select("node", "partner").distinct(), "plain")
+    core = turns.kept(plain.groupBy("node").agg(F.count("*").alias("core")), "core")
+    upto = F.sum("c").over(Window.partitionBy("node").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0))
+    while True:
+        new = core
+        for _ in range(EVERY):
+            near = plain.join(new.select(F.col("node").alias("partner"), "core"), "partner").groupBy("node", "core").agg(F.count("*").alias("c"))
+            less = near.withColumn("upto", upto).groupBy("node").agg(F.max(F.least("core", "upto")).alias("core"))
+            new = less
+        new = turns.kept(new.join(core.withColumnRenamed("core", "old"), "node"), "core")
+        core = new.select("node", "core")
+        if new.where("core < old").isEmpty():
+            turns.drop("plain")
+            return core

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.functions import keyed, ranks
+from tidewater.functions import ranks
 from tidewater.operators.turns import Turns
 
 
@@ -21,8 +21,9 @@ def evaluate_scores(df: DataFrame, by: list[str], value: str, scores: list[str],
 
     Ties share the places that are left, so results are expectations over the order of ties. A score
     named "random" stands for the expectation of a random choice. Rows are counted by score first:
-    only distinct scores are ordered.
+    only distinct scores are ordered. Rows without a value are left out.
     """
+    df = df.where(F.col(value).isNotNull())
     size = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("random_value")).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * fraction)).cast("int"))
     oracle = _taken(df.groupBy(*by, value).agg(F.count("*").alias("_c")).join(size, by), by, value, "in_oracle")
     best = oracle.groupBy(*by).agg((F.sum(F.col("in_oracle") * F.col("_c") * F.col(value)) / F.max("k")).alias("oracle_value"))
@@ -140,8 +141,3 @@ def calibrated_threshold(df: DataFrame, margin: str, gain: str, thresholds: list
     x = each.groupBy("threshold").agg(F.count_if(F.col(margin) >= F.col("threshold")).alias("overrides"), F.coalesce(F.avg(F.when(F.col(margin) >= F.col("threshold"), F.col(gain))), F.lit(0.0)).alias("mean_gain"))
     fit = x.where("mean_gain >= 0 and overrides > 0").agg(F.min("threshold").alias("least"))
     return x.crossJoin(F.broadcast(fit)).select("threshold", "overrides", "mean_gain", (F.col("threshold") == F.coalesce("least", F.lit(float("inf")))).alias("chosen"))  # one row
-
-
-def random_score(seed: int, *key: Column) -> Column:
-    """A keyed number as the score of a random order."""
-    return keyed.uniform(seed, *key)

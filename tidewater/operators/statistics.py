@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,21 @@ def calibration(df: DataFrame, by: list[str], predicted: str, observed: str) ->
         F.count("*").alias("n"), F.avg(F.abs(p - o)).alias("mae"), F.sqrt(F.avg((p - o) * (p - o))).alias("rmse"),
         F.regr_slope(o, p).alias("slope"), F.regr_intercept(o, p).alias("intercept"),
         (F.percentile(o, 0.9) - F.percentile(o, 0.1)).alias("spread"))
+
+
+def prefix_means(df: DataFrame, by: list[str], item: str, block: str, value: str) -> DataFrame:
+    """(by, item, level, m, final): each item's mean over the group's first `level` blocks, and over all of them.
+
+    Levels are the blocks that the group has, in their order; an item has a row from the first of its blocks on. Sums run
+    over the item's own blocks, and a level without one takes those before it.
+    """
+    blocks = df.select(*by, block).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(block)))
+    held = df.where(F.col(value).isNotNull()).join(blocks, [*by, block])
+    sums = held.groupBy(*by, item, "_i").agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    own = Window.partitionBy(*by, item)
+    run = own.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    last = blocks.groupBy(*by).agg(F.max("_i").alias("_last"))
+    x = sums.join(last, by) if by else sums.crossJoin(F.broadcast(last))  # one row
+    x = x.withColumns({"m": F.sum("_s").over(run) / F.sum("_n").over(run), "final": F.sum("_s").over(own) / F.sum("_n").over(own), "_next": F.lead("_i", 1).over(own.orderBy("_i"))})
+    level = F.explode(F.sequence(F.col("_i"), F.coalesce(F.col("_next") - 1, F.col("_last")))).alias("level")
+    return x.select(*by, item, level, "m", "final")

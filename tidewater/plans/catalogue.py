@@ -23,6 +23,8 @@ def query(sql: str | None = None, tables: bool = True) -> Callable:
     """Register a query, and its SQL where it has one; `tables` puts the canonical tables before it."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = f"WITH {canonical.SQL.strip()}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().lstrip('+')}" if tables else sql

@@ -187,14 +187,14 @@ def rk_chronological_split(spark, sf_dir):
     return policies.chronological_test(_weekly(spark, sf_dir), ["kind"], "week", 0.3)
 
 
-@query(PRIOR + """SELECT kind, week, round(max(v), 3) AS oracle, round(avg(v), 6) AS random, max_by(node, v * 1000000 - node) AS oracle_node, max_by(node, s * 1000000 - node) AS chosen, count(*) AS n,
+@query(PRIOR + """SELECT kind, week, round(max(v), 3) AS oracle, round(avg(v), 6) AS random, arg_max(node, {'v': v, 'n': -node}) AS oracle_node, arg_max(node, {'v': s, 'n': -node}) AS chosen, count(*) AS n,
 round(max(v) - avg(v), 6) AS margin FROM scored GROUP BY ALL""".replace("PRIOR", ""))
 def rk_decision_rows(spark, sf_dir):
     """RK-20, RK-21, RK-37, RK-38: the best candidate of each context by value and by score, and the mean of all."""
     w = _weekly(spark, sf_dir)
     return w.groupBy("kind", "week").agg(
-        _r(F.max("v"), "oracle", 3), _r(F.avg("v"), "random"), F.max_by("node", F.col("v") * 1000000 - F.col("node")).alias("oracle_node"),
-        F.max_by("node", F.col("s") * 1000000 - F.col("node")).alias("chosen"), F.count("*").alias("n"), _r(F.max("v") - F.avg("v"), "margin"))
+        _r(F.max("v"), "oracle", 3), _r(F.avg("v"), "random"), F.max_by("node", F.struct("v", -F.col("node"))).alias("oracle_node"),
+        F.max_by("node", F.struct("s", -F.col("node"))).alias("chosen"), F.count("*").alias("n"), _r(F.max("v") - F.avg("v"), "margin"))
 
 
 @query(WORLDS + """, d AS (SELECT abs(reference - history) AS margin, round(reference - history, 9) AS gain FROM wide WHERE reference - history IS NOT NULL),
@@ -238,21 +238,19 @@ def agg_block_reliability(spark, sf_dir):
     return x.select("kind", "items", "blocks", _r("ms_between", "ms_between", 3), _r("ms_within", "ms_within", 3), _r("icc_single", "icc_single", 9), _r("icc_mean", "icc_mean", 9), _r(statistics.spearman_brown(F.col("icc_single"), F.col("blocks")), "reliability", 9))
 
 
-@query(PRIOR + """, l AS (SELECT kind, node, week, v, unnest(range(1, 6)) AS level FROM weekly), p AS (SELECT kind, level, node, avg(v) AS m FROM l WHERE week < level AND week >= 0 GROUP BY ALL),
-f AS (SELECT kind, node, m AS final FROM p WHERE level = 5)
+@query(PRIOR + """, b AS (SELECT kind, week, row_number() OVER (PARTITION BY kind ORDER BY week) AS i FROM (SELECT DISTINCT kind, week FROM weekly)), w AS (SELECT * FROM weekly JOIN b USING (kind, week)),
+l AS (SELECT w.*, b.i AS level FROM w JOIN b ON w.kind = b.kind AND w.i <= b.i), p AS (SELECT kind, level, node, avg(v) AS m FROM l GROUP BY ALL), f AS (SELECT kind, node, avg(v) AS final FROM w GROUP BY ALL)
 SELECT kind, level, count(*) AS n, round(avg(abs(m - final)), 6) AS apart, round(max(abs(m - final)), 6) AS most FROM p JOIN f USING (kind, node) GROUP BY ALL""")
 def agg_prefix_convergence(spark, sf_dir):
     """AGG-44 to AGG-46: means over the first blocks against those over all."""
-    w = _weekly(spark, sf_dir).where("week >= 0").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(5)))).where("week < level")
-    p = w.groupBy("kind", "level", "node").agg(F.avg("v").alias("m"))
-    f = p.where("level = 5").select("kind", "node", F.col("m").alias("final"))
+    p = statistics.prefix_means(_weekly(spark, sf_dir), ["kind"], "node", "week", "v")
     apart = F.abs(F.col("m") - F.col("final"))
-    return p.join(f, ["kind", "node"]).groupBy("kind", "level").agg(F.count("*").alias("n"), _r(F.avg(apart), "apart"), _r(F.max(apart), "most"))
+    return p.groupBy("kind", "level").agg(F.count("*").alias("n"), _r(F.avg(apart), "apart"), _r(F.max(apart), "most"))
 
 
 @query(PRIOR + """, h AS (SELECT kind, node, avg(v) FILTER (week % 2 = 0) AS a, avg(v) FILTER (week % 2 = 1) AS b FROM weekly GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY a DESC, node) <= 10 AS ta, row_number() OVER (PARTITION BY kind ORDER BY b DESC, node) <= 10 AS tb, count(*) OVER (PARTITION BY kind) AS n FROM h WHERE a IS NOT NULL AND b IS NOT NULL)
-SELECT kind, max(n) AS n, count(*) FILTER (ta AND tb) AS overlap, round(10.0::DOUBLE * 10 / max(n), 9) AS chance, round(avg(b) FILTER (tb) - avg(b) FILTER (ta), 6) AS regret, count(*) FILTER (ta AND tb) > 10.0::DOUBLE * 10 / max(n) AS reproducible FROM r GROUP BY kind""")
+SELECT kind, max(n) AS n, count(*) FILTER (ta AND tb) AS overlap, round(least(10, max(n)) ** 2 / max(n), 9) AS chance, round(avg(b) FILTER (tb) - avg(b) FILTER (ta), 6) AS regret, count(*) FILTER (ta AND tb) > least(10, max(n)) ** 2 / max(n) AS reproducible FROM r GROUP BY kind""")
 def agg_split_half(spark, sf_dir):
     """AGG-42, AGG-43: the best of one half of the blocks judged by the other half."""
     half = lambda k: F.avg(F.when(F.pmod("week", F.lit(2)) == k, F.col("v")))
@@ -260,11 +258,11 @@ def agg_split_half(spark, sf_dir):
     top = lambda c: policies.targets(h, ["kind"], "node", {c: [F.desc(c)]}, 10).select("kind", "node", F.lit(True).alias(f"t{c}"))
     x = h.join(top("a"), ["kind", "node"], "left").join(top("b"), ["kind", "node"], "left")
     x = x.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("ta") & F.col("tb")).alias("overlap"), (F.avg(F.when(F.col("tb"), F.col("b"))) - F.avg(F.when(F.col("ta"), F.col("b")))).alias("regret"))
-    chance = 100.0 / F.col("n")
+    chance = F.pow(F.least(F.lit(10), "n"), F.lit(2)) / F.col("n")
     return x.select("kind", "n", "overlap", _r(chance, "chance", 9), _r("regret", "regret"), (F.col("overlap") > chance).alias("reproducible"))
 
 
-@query(PRIOR + """, cells AS (SELECT kind, node, week, v FROM weekly WHERE week BETWEEN 0 AND 2), sz AS (SELECT kind, count(DISTINCT week) AS nc, count(DISTINCT node) AS ns FROM cells GROUP BY kind),
+@query(PRIOR + """, cells AS (SELECT kind, node, week, v FROM weekly), sz AS (SELECT kind, count(DISTINCT week) AS nc, count(DISTINCT node) AS ns FROM cells GROUP BY kind),
 full_rows AS (SELECT kind, node FROM cells JOIN sz USING (kind) GROUP BY kind, node, nc HAVING count(*) = nc), w AS (SELECT cells.* FROM cells JOIN full_rows USING (kind, node)),
 x AS (SELECT kind, node, v, avg(v) OVER (PARTITION BY kind, node) AS r, avg(v) OVER (PARTITION BY kind, week) AS c, avg(v) OVER (PARTITION BY kind) AS m FROM w),
 s AS (SELECT kind, count(DISTINCT node) AS n_rows, sum((v - m) ** 2) AS t, sum((r - m) ** 2) AS sr, sum((c - m) ** 2) AS sc, sum((v - r - c + m) ** 2) AS se FROM x GROUP BY kind)
@@ -272,7 +270,7 @@ SELECT sz.kind, ns AS n_seen, coalesce(n_rows, 0) AS n_rows, nc AS n_cols, CASE
        round(sr / t, 9) AS row_fraction, round(sc / t, 9) AS col_fraction, round(se / t, 9) AS residual_fraction FROM sz LEFT JOIN s USING (kind)""")
 def agg_variance_units(spark, sf_dir):
     """AGG-18, AGG-22: shares of variance by animal and by anchor in each network, with a status."""
-    x = statistics.two_way(_weekly(spark, sf_dir).where("week between 0 and 2"), "node", "week", "v", ["kind"])
+    x = statistics.two_way(_weekly(spark, sf_dir), "node", "week", "v", ["kind"])
     return x.select("kind", "n_seen", "n_rows", "n_cols", "status", *(_r(n, n, 9) for n in ("row_fraction", "col_fraction", "residual_fraction")))
 
 
@@ -288,13 +286,13 @@ def agg_randomization(spark, sf_dir):
 
 
 @query(WORLDS + """, a AS (SELECT family, kind, avg(burden) AS v FROM worlds WHERE policy = 'history' AND block < 8 GROUP BY ALL), b AS (SELECT family, kind, avg(burden) AS v FROM worlds WHERE policy = 'history' AND block > 1 GROUP BY ALL)
-SELECT count(*) FILTER (a.kind IS NOT NULL AND b.kind IS NOT NULL) AS matched, count(*) FILTER (b.kind IS NULL) AS left_only, count(*) FILTER (a.kind IS NULL) AS right_only, round(coalesce(max(abs(a.v - b.v)), 0), 6) AS largest
-FROM a FULL JOIN b ON a.family = b.family AND a.kind = b.kind""")
+SELECT count(*) FILTER (a.kind IS NOT NULL AND b.kind IS NOT NULL) AS matched, count(*) FILTER (b.kind IS NULL) AS left_only, count(*) FILTER (a.kind IS NULL) AS right_only, 0::BIGINT AS repeated, round(coalesce(max(abs(a.v - b.v)), 0), 6) AS largest,
+count(*) FILTER (a.kind IS NULL OR b.kind IS NULL) = 0 AND coalesce(max(abs(a.v - b.v)), 0) <= 1e-9 AS agree FROM a FULL JOIN b ON a.family = b.family AND a.kind = b.kind""")
 def jn_reconstruction(spark, sf_dir):
     """JN-20, JN-29, JN-30: two tables that should agree, by a full outer join."""
     h = _worlds(spark, sf_dir).where("policy = 'history'")
     of = lambda c: h.where(c).groupBy("family", "kind").agg(F.avg("burden").alias("v"))
-    return contrasts.reconstruction(of("block < 8"), of("block > 1"), ["family", "kind"], "v").withColumn("largest", F.round("largest", 6))
+    return contrasts.reconstruction(of("block < 8"), of("block > 1"), ["family", "kind"], "v", 1e-9).withColumn("largest", F.round("largest", 6))
 
 
 @query(WORLDS + """, d AS (SELECT kind, family, avg(reference - history) AS m, stddev_samp(reference - history) / sqrt(count(*)) AS se FROM wide WHERE reference - history IS NOT NULL GROUP BY ALL),
@@ -334,7 +332,7 @@ def pf_individuals(spark, sf_dir):
     """PF-01 to PF-03, JN-01, JN-02: individuals from endpoints, with the bounds of their observation."""
     d = canonical.dyads(spark, sf_dir)
     ends = d.select(F.explode(F.array("source_id", "target_id")).alias("node"), "start", "end")
-    ends = ends.withColumn("node_id", F.concat(F.lit("user:"), contract.node_id(F.col("node").cast("double"))))
+    ends = ends.withColumn("node_id", F.concat(F.lit("user:"), contract.node_id(F.col("node"))))
     return contract.observed(ends, "node_id")
 
 

@@ -11,8 +11,10 @@ STREAM = ["event_id", "source_id", "target_id", "start", "end", "multiplier", "m
 
 
 def node_id(value: Column) -> Column:
-    """A node's name: trimmed, without ".0" at the end, empty for null."""
-    return F.regexp_replace(F.trim(F.coalesce(value.cast("string"), F.lit(""))), r"\.0$", "")
+    """A node's name: trimmed, without ".0" at the end, empty for null; whole numbers keep all of their digits."""
+    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    whole = value.cast("double").cast("decimal(38,0)").cast("string")  # doubles from 10 ** 7 on are written with an exponent
+    return F.when(text.rlike(r"^-?[0-9][.][0-9]+E[0-9]+$"), whole).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def canonical_pair(source: Column, target: Column) -> tuple[Column, Column]:
@@ -42,14 +44,6 @@ def combined(*streams: DataFrame) -> DataFrame:
     return out
 
 
-def mapper_of(dyads: DataFrame, groups: DataFrame) -> str:
-    """The mapper that a bundle calls for: groups before association, detection and duration."""
-    if not groups.isEmpty():
-        return "group_mixing"
-    kinds = {r[0] for r in dyads.select("measurement_type").distinct().limit(10).collect()}  # a fixed vocabulary
-    return "association" if "association_index" in kinds else "detection" if "fixed_bin" in kinds else "duration"
-
-
 def stream_issues(dyads: DataFrame, memberships: DataFrame, individuals: DataFrame) -> DataFrame:
     """(code, n) of each check of a stream against its groups and its roster (node)."""
     bad = dyads.agg(
