@@ -33,13 +33,33 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def hash_position(df: DataFrame, u: str, tie: str, name: str = "position", buckets: int = 1024) -> DataFrame:
-    """Adds each row's place in the order of a keyed number `u` in (0, 1): counts of buckets, and places inside them."""
-    at = df.withColumn("_b", F.floor(F.col(u) * buckets))
+#: Rows that one task puts in order.
+BUCKET = 100_000
+
+
+def _placed(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds places from 1 in the order of buckets, and of `order` inside of them."""
+    at = df.withColumn("_b", bucket)
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # one row a bucket
     heads = at.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_h"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(u, tie))
-    return at.withColumn("_r", inside).join(F.broadcast(heads), "_b").withColumn(name, (F.col("_h") + F.col("_r")).cast("int")).drop("_b", "_r", "_h")
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return at.withColumn("_r", inside).join(heads, "_b").withColumn(name, (F.col("_h") + F.col("_r")).cast("long")).drop("_b", "_r", "_h")
+
+
+def hash_position(df: DataFrame, u: str, tie: str, name: str = "position") -> DataFrame:
+    """Adds each row's place in the order of a keyed number `u` in (0, 1): counts of buckets, and places inside them.
+
+    There is a bucket for each BUCKET rows, so that none grows with the data.
+    """
+    many = df.agg(F.ceil(F.count("*") / BUCKET)).first()[0] or 1
+    return _placed(df, F.floor(F.col(u) * many), [F.col(u), F.col(tie)], name)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): a number from 1 on for each key that isn't null, without gaps, the same for the same keys."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    many = keys.agg(F.ceil(F.count("*") / BUCKET)).first()[0] or 1
+    return _placed(keys, F.pmod(F.xxhash64(key), F.lit(many)), [F.col(key)], name).select(key, name)
 
 
 def first_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -252,7 +252,7 @@ def set_retention(spark, sf_dir):
 k AS (SELECT node, '0x' || substr(sha256('17' || chr(31) || 'order' || chr(31) || node), 1, 16) AS h, '0x' || substr(sha256('17' || chr(31) || 'seed' || chr(31) || node), 1, 16) AS g FROM u)
 SELECT node, round((h::UBIGINT::DOUBLE + 0.5) / 18446744073709551616.0::DOUBLE, 12) AS uniform, round(-ln((h::UBIGINT::DOUBLE + 0.5) / 18446744073709551616.0::DOUBLE), 9) AS exponential,
        (g::UBIGINT % 9223372036854775807::UBIGINT)::BIGINT AS seed, (h::UBIGINT::DOUBLE + 0.5) / 18446744073709551616.0::DOUBLE < 0.3 AS thinned,
-       row_number() OVER (ORDER BY h, node)::INT AS position FROM k""")
+       row_number() OVER (ORDER BY h, node) AS position FROM k""")
 def sc_keyed_uniform(spark, sf_dir):
     """SC-01 to SC-03, SC-11, RK-04: keyed numbers, seeds, thinning and the order by hash."""
     u = canonical.dyads(spark, sf_dir).select(F.col("source_id").alias("node")).distinct()
