@@ -132,6 +132,29 @@ def test_items_of_every_length_are_found_within_their_edits(spark):
     assert {(d, i) for d, i in got if i is not None and i < 40} == want
 
 
+def test_exact_excerpts_are_found_at_every_offset(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    text_of = lambda n: "".join(rng.choices(letters, k=n))
+    items = [(1, text_of(417)), (2, text_of(300)), (3, text_of(60))]
+    rows, want = [], set()
+    for length in (48, 49, 56, 64, 80, 96, 130):
+        for item, text in items[:2]:
+            for a in range(0, len(text) - length + 1, 1 if length < 50 else 7):
+                rows.append((len(rows), f"{text_of(30)}#{text[a: a + length].upper()}#{text_of(20)}", "s"))
+                want.add((len(rows) - 1, item))
+    rows.append((10**6, text_of(40) + items[2][1][3:55] + "é" + text_of(9), "s"))
+    want.add((10**6, 3))
+    clean = [(2 * 10**6 + k, f"{text_of(50)}#{items[0][1][k * 9: k * 9 + 38]}#{text_of(50)}", "s") for k in range(40)]  # too short a part
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(table(spark, rows + clean), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    one = next(r for r in got if r.doc_id == 10**6)
+    assert (one.edits, one.first, one.last) == (0, 40, 92)
+    left = {r.doc_id for r in decontaminate.decontaminated(table(spark, rows + clean), bench).collect()}
+    assert left == {i for i, _, _ in clean}
+
+
 def test_entries_hold_from_their_date_until_the_next_change(spark):
     day = lambda d: datetime(2024, 1, d)
     entries = [("host", "bad.example.com", "add", day(5)), ("host", "bad.example.com", "remove", day(10)), ("domain", "evil.org", "add", day(3)), ("url", "ok.net/x?y=1", "add", day(1)), ("url", "tie.net/a", "add", day(2)), ("url", "tie.net/a", "remove", day(2)), ("host", None, "add", day(1)), ("host", "late.com", "add", None)]

@@ -11,6 +11,10 @@ The bound has to be above 0 for the lemma to find all: with edits of a tenth tha
 40 characters on; items of 4 to 39 characters are searched by q = 4, and shorter ones, which allow no
 edits, by their single characters.
 
+A part of an item counts too: each exact excerpt of EXCERPT characters or more, wherever it begins, is a run
+of q-grams on one diagonal; one with edits is found if it holds a whole window, which from 127 characters on
+every excerpt does.
+
 Benchmarks are taken in parts of PART characters: each part is one broadcast of bounded size and one
 pass over the texts, so a larger benchmark costs passes and not memory. Texts are never shuffled.
 
@@ -34,6 +38,8 @@ U = np.uint64
 WINDOW, STEP, PART = 96, 32, 1_000_000
 #: (least characters of an item, q).
 GRAMS = ((40, 8), (4, 4), (1, 1))
+#: Characters from which on an exact part of a longer item is found.
+EXCERPT = 48
 #: Edits allowed, per cent of a window's length.
 BUDGET = 10
 _KEY = U(0xC2B2AE3D27D4EB4F)
@@ -136,6 +142,7 @@ class Part:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.at[key], n)
         hit, of = np.repeat(hit, n), np.repeat(of, n)
         item, pos = self.item[at], self.pos[at]
+        exact = self._excerpts(hit, of, item, pos)
         half = 2 * int(self.edits.max()) + 1
         longest = int(np.diff(self.first).max())
         band = (hit - starts[of] - pos + longest) // half + 1  # each band is two halves wide, so a hit is in two
@@ -171,7 +178,21 @@ class Part:
                 tried.add(r[1:3])
             good |= self._aligned(now, 2 * half, chars, starts)
             regions = [r for r in later if r[1:3] not in good]
-        return [(t, int(self.w_item[k]), *v) for (t, k), v in good.items()]
+        return [(t, int(self.w_item[k]), *v) for (t, k), v in good.items()] + [(t, i, a - int(starts[t]), b - int(starts[t]), 0) for t, i, a, b in exact]
+
+    def _excerpts(self, hit: np.ndarray, of: np.ndarray, item: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first, last + 1) of runs of hits (ascending) that go on in text and item at once, from EXCERPT characters on."""
+        least = EXCERPT - self.q + 1
+        if len(hit) < least or int(np.diff(self.first).max()) < EXCERPT:
+            return []
+        line = of * len(self.ids) + item
+        order = np.lexsort((hit, hit - pos, line))
+        h, d, g = hit[order], (hit - pos)[order], line[order]
+        fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (h[1:] != h[:-1] + 1)])
+        edge = np.flatnonzero(fresh)
+        size = np.diff(np.concatenate([edge, [len(h)]]))
+        long = edge[size >= least]
+        return [(int(t), int(i), int(a), int(a + n - 1 + self.q)) for t, i, a, n in zip(of[order][long], item[order][long], h[long], size[size >= least], strict=True)]
 
     def _aligned(self, regions: list, width: int, chars: np.ndarray, starts: np.ndarray) -> dict:
         """(text, window) -> (first, last + 1, edits), for the regions that keep the budget."""
