@@ -27,11 +27,14 @@ def multilevel_bootstrap(df: DataFrame, by: list[str], levels: list[str], value:
 
     `levels` go from the first to the last; rows alike in all of them are averaged before. `mean` is the mean of the first
     level's means of means, `positive_share` the share of these above 0, `p_positive` the share of replicates above 0.
-    With `one_of_last`, a row above the last level takes one of its rows only, as for replicates of a shuffle.
+    With `one_of_last`, a row above the last level takes one of its rows only, as for replicates of a shuffle. Rows with a null
+    in a level or the value are left out; a null in `by` is a group like others.
     """
-    rows = df.where(F.col(value).isNotNull()).groupBy(*by, *levels).agg(F.avg(value).alias("_v"))
-    group = F.concat_ws("\x1e", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
-    drawn = rows.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    some = df.dropna(subset=[value, *levels]).withColumn("_key", F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(1).alias("_all")))
+    rows = some.groupBy("_key", *levels).agg(F.avg(value).alias("_v"))
+    group = F.concat_ws("\x1e", *(F.col(f"_key.{c}").cast("string") for c in by)) if by else F.lit("")
+    given, by = by, ["_key"]
+    drawn = rows.select(*by).distinct()
     drawn = drawn.select(*by, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"), F.lit(1).cast("long").alias("_hits"), F.lit(1.0).alias("_w"))
     for k, name in enumerate(levels):
         above = levels[:k]
@@ -40,7 +43,7 @@ def multilevel_bootstrap(df: DataFrame, by: list[str], levels: list[str], value:
         sizes = here.groupBy(*by, *above).agg(F.count("*").alias("_size"))
         one = one_of_last and k == len(levels) - 1
         trials = F.col("_hits") if one else F.col("_hits") * F.col("_size")
-        asked = drawn.join(sizes, [*by, *above]) if by or above else drawn.crossJoin(F.broadcast(sizes))  # one row
+        asked = drawn.join(sizes, [*by, *above])
         asked = asked.withColumn("_w", F.col("_w") / (F.lit(1) if one else F.col("_size")))
         asked = asked.select(*by, *above, "_r", "_w", "_size", F.explode(F.sequence(F.lit(0).cast("long"), trials - 1)).alias("_q"))
         parent = F.concat_ws("\x1e", *(F.col(c).cast("string") for c in above)) if above else F.lit("")
@@ -54,5 +57,5 @@ def multilevel_bootstrap(df: DataFrame, by: list[str], levels: list[str], value:
     point = first.groupBy(*by).agg(F.count("*").alias("families"), F.avg("_v").alias("mean"), F.avg((F.col("_v") > 0).cast("double")).alias("positive_share"))
     # what the first level's means are means of, without the draws of the last level
     counted = rows.select(*by, *(levels[:-1] if one_of_last else levels)).distinct().groupBy(*by).agg(F.count("*").alias("contexts"))
-    out = point.join(counted, by).join(ends, by) if by else point.crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(ends))  # one row each
-    return out.select(*by, "families", "contexts", "mean", "low", "high", "positive_share", "p_positive")
+    out = point.join(counted, by).join(ends, by)
+    return out.select(*(F.col(f"_key.{c}").alias(c) for c in given), "families", "contexts", "mean", "low", "high", "positive_share", "p_positive")

@@ -150,26 +150,36 @@ def _signed(spark, sf_dir):
         F.when(F.col("event_id") % 2 == 0, F.col("weight")).otherwise(-F.col("weight")).alias("v"))
 
 
-def _bootstrap_sql(levels: list[str], replicates: int, seed: int, one_of_last: bool = False) -> str:
-    sql = SIGNED + f", rws AS (SELECT kind, {', '.join(levels)}, avg(v) AS v FROM v WHERE v IS NOT NULL GROUP BY ALL), d0 AS (SELECT kind, unnest(range({replicates})) AS r, 1::BIGINT AS hits, 1.0::DOUBLE AS w FROM (SELECT DISTINCT kind FROM rws))"
+def bootstrap_ctes(source: str, by: list[str], levels: list[str], replicates: int, seed: int, one_of_last: bool = False) -> str:
+    """CTEs up to boot: what `resampling.multilevel_bootstrap` gives for the column v of a table."""
+    keys = ", ".join(by)
+    group = f"concat_ws(chr(30), {', '.join(f'{c}::VARCHAR' for c in by)})"
+    sql = f", rws AS (SELECT {keys}, {', '.join(levels)}, avg(v) AS v FROM {source} WHERE v IS NOT NULL GROUP BY ALL), d0 AS (SELECT {keys}, unnest(range({replicates})) AS r, 1::BIGINT AS hits, 1.0::DOUBLE AS w FROM (SELECT DISTINCT {keys} FROM rws))"
+    same = lambda a, b, cols: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
+    of = lambda a, cols: ", ".join(f"{a}.{c}" for c in cols)
     for k, name in enumerate(levels):
         above = levels[:k]
-        key = ", ".join(["kind", *above])
+        cols = [*by, *above]
+        key = ", ".join(cols)
         one = one_of_last and k == len(levels) - 1
         parent = f"concat_ws(chr(30), {', '.join(f'{c}::VARCHAR' for c in above)})" if above else "''"
         sql += f""", n{k} AS (SELECT {key}, {name}, row_number() OVER (PARTITION BY {key} ORDER BY {name}) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS size FROM (SELECT DISTINCT {key}, {name} FROM rws)),
-q{k} AS (SELECT {key}, r, w{'' if one else ' / size'} AS w, size, unnest(range(hits{'' if one else ' * size'})) AS q FROM d{k} JOIN (SELECT DISTINCT {key}, size FROM n{k}) USING ({key})),
-u{k} AS (SELECT {key}, r, w, floor((('0x' || substr(sha256('{seed}' || chr(31) || kind || chr(31) || r || chr(31) || '{k}' || chr(31) || {parent} || chr(31) || q), 1, 16))::UBIGINT::DOUBLE + 0.5) / 18446744073709551616.0::DOUBLE * size)::BIGINT AS i FROM q{k}),
-d{k + 1} AS (SELECT {key}, {name}, r, count(*) AS hits, w FROM u{k} JOIN n{k} USING ({key}, i) GROUP BY ALL)"""
-    whole = ", ".join(["kind", *levels])
-    sql += f", e AS (SELECT kind, r, sum(hits * w * v) AS m FROM d{len(levels)} JOIN rws USING ({whole}) GROUP BY ALL), q AS (SELECT kind, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg((m > 0)::INT) AS p_positive FROM e GROUP BY kind)"
+q{k} AS (SELECT {of('d', cols)}, r, w{'' if one else ' / size'} AS w, size, unnest(range(hits{'' if one else ' * size'})) AS q FROM d{k} d JOIN (SELECT DISTINCT {key}, size FROM n{k}) n ON {same('d', 'n', cols)}),
+u{k} AS (SELECT {key}, r, w, floor((('0x' || substr(sha256('{seed}' || chr(31) || {group} || chr(31) || r || chr(31) || '{k}' || chr(31) || {parent} || chr(31) || q), 1, 16))::UBIGINT::DOUBLE + 0.5) / 18446744073709551616.0::DOUBLE * size)::BIGINT AS i FROM q{k}),
+d{k + 1} AS (SELECT {of('u', cols)}, {name}, r, count(*) AS hits, w FROM u{k} u JOIN n{k} n ON {same('u', 'n', [*cols, 'i'])} GROUP BY ALL)"""
+    whole = [*by, *levels]
+    sql += f", e AS (SELECT {of('d', by)}, r, sum(hits * w * v) AS m FROM d{len(levels)} d JOIN rws x ON {same('d', 'x', whole)} GROUP BY ALL), q AS (SELECT {keys}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg((m > 0)::INT) AS p_positive FROM e GROUP BY {keys})"
     last = "rws"
     for k in range(len(levels), 0, -1):
-        sql += f", a{k} AS (SELECT kind, {', '.join(levels[:k])}, avg(v) AS v FROM {last} GROUP BY ALL)"
+        sql += f", a{k} AS (SELECT {keys}, {', '.join(levels[:k])}, avg(v) AS v FROM {last} GROUP BY ALL)"
         last = f"a{k}"
-    counted = ", ".join(["kind", *(levels[:-1] if one_of_last else levels)])
-    return sql + f""", g AS (SELECT kind, count(*) AS families, avg(v) AS mean, avg((v > 0)::INT) AS positive_share FROM a1 GROUP BY kind), c AS (SELECT kind, count(*) AS contexts FROM (SELECT DISTINCT {counted} FROM rws) GROUP BY kind)
-SELECT kind, families, contexts, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(positive_share, 6) AS positive_share, round(p_positive, 6) AS p_positive FROM g JOIN c USING (kind) JOIN q USING (kind)"""
+    counted = ", ".join([*by, *(levels[:-1] if one_of_last else levels)])
+    return sql + f""", g AS (SELECT {keys}, count(*) AS families, avg(v) AS mean, avg((v > 0)::INT) AS positive_share FROM a1 GROUP BY {keys}), c AS (SELECT {keys}, count(*) AS contexts FROM (SELECT DISTINCT {counted} FROM rws) GROUP BY {keys}),
+boot AS (SELECT {of('g', by)}, families, contexts, mean, low, high, positive_share, p_positive FROM g JOIN c ON {same('g', 'c', by)} JOIN q ON {same('g', 'q', by)})"""
+
+
+def _bootstrap_sql(levels: list[str], replicates: int, seed: int, one_of_last: bool = False) -> str:
+    return SIGNED + bootstrap_ctes("v", ["kind"], levels, replicates, seed, one_of_last) + " SELECT kind, families, contexts, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(positive_share, 6) AS positive_share, round(p_positive, 6) AS p_positive FROM boot"
 
 
 def _bootstrapped(x):
