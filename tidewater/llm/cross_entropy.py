@@ -20,7 +20,8 @@ hashed bits (among a billion distinct keys, two that are equal come up in about
 Texts are dealt into chunks of about CHUNK bytes; a chunk asks for each of its keys once, however
 often it stands there, and one that trains a model sends the counts of its keys, packed. Keys are dealt
 by their first bits into buckets of about BUCKET keys of the model; a task adds up a bucket of the
-model and then streams the chunks' questions past it, so its memory doesn't grow with the corpus.
+model and then streams the chunks' questions past it, so its memory doesn't grow with the corpus. An
+answer names a key by its place among the chunk's questions, which are worked out again where texts are scored.
 
 Defined cases: null and empty texts have no words, only the boundary is predicted; null ids are never
 target; rows that repeat are counted and scored each; without target documents that model is even; an
@@ -133,20 +134,26 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
     return [keys[first], *(np.add.reduceat(c[order].astype(np.int64), first) if len(first) else c for c in counts)]
 
 
+def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _asked(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The questions of a chunk: its distinct keys in their order."""
+    return np.unique(np.concatenate([np.unique(np.concatenate([word, _pair(context, word)])) for context, word, _ in tokens] or [np.zeros(0, U)]))
+
+
 def looked_up(texts: DataFrame, bits: int) -> DataFrame:
-    """(chunk, keys, t, b, words, all_t, all_b): the keys of each chunk that the models of its fold have seen, with their counts.
+    """(chunk, bucket, places, t, b, words, all_t, all_b): which questions of a chunk the models of its fold have seen, and their counts.
 
-    Rows of a chunk below 0 hold a bucket's figures of fold -1 - chunk: its distinct words and their counts.
+    `places` are those among the chunk's questions in the bucket. Rows of a chunk below 0 hold a bucket's figures of fold
+    -1 - chunk: its distinct words and their counts.
     """
-    shift = U(64 - bits)
     kind = "bucket long, kind int, chunk long, keys binary, t binary, b binary"
     names = [c.split()[0] for c in kind.split(", ")]
 
-    def bucket_of(keys: np.ndarray) -> np.ndarray:
-        return (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-
     def pieces(keys, fold, chunk, t=None, b=None):
-        of = bucket_of(keys)
+        of = _bucket_of(keys, bits)
         edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
         spans = [slice(*e) for e in zip(edge, edge[1:], strict=False) if e[1] > e[0]]
         for k in range(0, len(spans), 100):
@@ -170,10 +177,9 @@ def looked_up(texts: DataFrame, bits: int) -> DataFrame:
 
     def of_chunks(batches):
         for chunk, rows in _whole_chunks(batches):
-            asked = [np.unique(np.concatenate([word, _pair(context, word)])) for batch in rows for context, word, _ in _keys(batch.column(0))]
-            yield from pieces(np.unique(np.concatenate(asked)), chunk % 2, chunk)
+            yield from pieces(_asked([x for batch in rows for x in _keys(batch.column(0))]), chunk % 2, chunk)
 
-    answer = ["chunk", "keys", "t", "b", "words", "all_t", "all_b"]
+    answer = ["chunk", "bucket", "places", "t", "b", "words", "all_t", "all_b"]
 
     def answers(batches):
         now, parts, ready = None, [], None
@@ -181,7 +187,7 @@ def looked_up(texts: DataFrame, bits: int) -> DataFrame:
         def added():
             keys, t, b = _summed(*(np.concatenate([p[k] for p in parts]) for k in range(3))) if parts else [np.zeros(0, U)] * 3
             word = (keys & U(1)) == 1
-            own = pa.record_batch([pa.array([-1 - now % 2]), *[pa.array([None], pa.binary())] * 3, pa.array([int(word.sum())]), pa.array([int(t[word].sum())]), pa.array([int(b[word].sum())])], answer)
+            own = pa.record_batch([pa.array([-1 - now % 2]), pa.array([now // 2]), *[pa.array([None], pa.binary())] * 3, pa.array([int(word.sum())]), pa.array([int(t[word].sum())]), pa.array([int(b[word].sum())])], answer)
             return (keys, t, b), own
 
         for batch in batches:
@@ -201,7 +207,7 @@ def looked_up(texts: DataFrame, bits: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(ready[0], keys), max(0, len(ready[0]) - 1))
                 hit = np.flatnonzero(ready[0][at] == keys) if len(ready[0]) else at[:0]
                 if len(hit):
-                    yield pa.record_batch([pa.array([chunk]), *(pa.array([v], pa.binary()) for v in (_steps(keys[hit]), _packed(ready[1][at[hit]]), _packed(ready[2][at[hit]]))), *[pa.array([0])] * 3], answer)
+                    yield pa.record_batch([pa.array([chunk]), pa.array([bucket // 2]), *(pa.array([v], pa.binary()) for v in (_steps(hit), _packed(ready[1][at[hit]]), _packed(ready[2][at[hit]]))), *[pa.array([0])] * 3], answer)
         if parts and ready is None:
             yield added()[1]
 
@@ -209,7 +215,7 @@ def looked_up(texts: DataFrame, bits: int) -> DataFrame:
     held = texts.where("role > 0").select("text", "chunk", "role").mapInArrow(of_model, kind)
     asked = texts.select("text", "chunk").mapInArrow(of_chunks, kind)
     both = held.unionByName(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    return both.mapInArrow(answers, "chunk long, keys binary, t binary, b binary, words long, all_t long, all_b long")
+    return both.mapInArrow(answers, "chunk long, bucket long, places binary, t binary, b binary, words long, all_t long, all_b long")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, bucket: int = BUCKET, strength: float = STRENGTH) -> DataFrame:
@@ -218,7 +224,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     ship(spark)
     texts = chunks(roles(docs, targets, id_col, text_col), size)
     trained = texts.where("role > 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = cut(looked_up(texts, (trained // (10 * bucket)).bit_length()), "cross-entropy-counts")  # a key in 5 bytes, in two folds
+    bits = (trained // (10 * bucket)).bit_length()  # a key in 5 bytes, in two folds
+    found = cut(looked_up(texts, bits), "cross-entropy-counts")
     release(spark)
     sums = found.where("chunk < 0").groupBy("chunk").agg(F.sum("words"), F.sum("all_t"), F.sum("all_b")).collect()  # two rows
     figures = {-1 - r[0]: r[1:] for r in sums}
@@ -228,20 +235,21 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         fold = left.column("fold")[0].as_py() if left.num_rows else 0
         words, t, b = figures.get(fold, (0, 0, 0))
         total, ids = np.array([t or 0, b or 0], np.float64), words + 1
-        parts = [(np.cumsum(_unpacked(k), dtype=U), _unpacked(t), _unpacked(b)) for k, t, b in zip(*_columns(right, "keys", "t", "b"), strict=True)]
-        keys = np.concatenate([p[0] for p in parts] or [np.zeros(0, U)])
-        order = np.argsort(keys)
-        keys = np.concatenate([keys[order], [~U(0)]])  # what no model has seen stands at the end, with counts of 0
-        counts = np.zeros((len(keys), 2))
-        for k in (0, 1):
-            counts[:-1, k] = np.concatenate([p[1 + k] for p in parts] or [keys[:0]])[order]
+        tokens = list(_keys(column))
+        keys = _asked(tokens)
+        of_bucket = _bucket_of(keys, bits)
+        keys = np.concatenate([keys, [~U(0)]])  # contexts are asked for as words, but for the boundary of a chunk without texts
+        counts = np.zeros((len(keys), 2))  # 0 for what no model has seen
+        for b, places, in_t, in_b in zip(*_columns(right, "bucket", "places", "t", "b"), strict=True):
+            at = np.searchsorted(of_bucket, b) + np.cumsum(_unpacked(places), dtype=U).astype(np.int64)
+            counts[at, 0], counts[at, 1] = _unpacked(in_t), _unpacked(in_b)
 
         def of(wanted):
             at = np.searchsorted(keys, wanted)
             return counts[np.where(keys[at] == wanted, at, len(keys) - 1)]
 
         lengths, loss = [], []
-        for context, word, first in _keys(column):
+        for context, word, first in tokens:
             p = (of(_pair(context, word)) + strength * (of(word) + 1.0) / (total + ids)) / (of(context) + strength)
             lengths.append(np.diff(first))
             loss.append(np.add.reduceat(-np.log(p), first[:-1], axis=0) / lengths[-1][:, None])
@@ -251,5 +259,5 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
             ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.select("key", "text", "fold", "chunk").groupBy("chunk").cogroup(found.where("chunk >= 0").select("chunk", "keys", "t", "b").groupBy("chunk")).applyInArrow(
+    return texts.select("key", "text", "fold", "chunk").groupBy("chunk").cogroup(found.where("chunk >= 0").select("chunk", "bucket", "places", "t", "b").groupBy("chunk")).applyInArrow(
         rate, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
