@@ -113,3 +113,18 @@ def coverage_of(spans: DataFrame, windows: DataFrame, by: list[str], span: tuple
     met = met.select(*keys, F.greatest(a, c).alias("start"), F.least(b, d).alias("end"))
     whole = islands(met, keys).groupBy(*keys).agg(F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("covered"))
     return windows.select(*keys).distinct().join(whole, keys, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
+
+def constant_runs(df: DataFrame, by: list[str], at: str, state: str, gap: int) -> DataFrame:
+    """(by, segment, state, first, last, n): rows of a series that follow each other in one state.
+
+    A run ends where the state changes or the next row is more than `gap` later; a gap also begins the next segment, from 0
+    on. Rows of one moment are in the order of their states; a null state is a state like others.
+    """
+    order = Window.partitionBy(*by).orderBy(at, state)
+    before, was = F.lag(at).over(order), F.lag(state).over(order)
+    apart = F.coalesce(F.col(at) - before > gap, F.lit(False))
+    fresh = apart | before.isNull() | ~was.eqNullSafe(F.col(state))
+    marked = df.select(*by, at, state, apart.cast("int").alias("_gap"), fresh.cast("int").alias("_new"))
+    marked = marked.withColumns({"segment": F.sum("_gap").over(order), "_run": F.sum("_new").over(order)})
+    return marked.groupBy(*by, "_run").agg(F.min("segment").alias("segment"), F.first(state).alias(state), F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_run")
