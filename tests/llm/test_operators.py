@@ -242,6 +242,39 @@ def test_ids_come_back_as_the_tokenizer_gives_them(spark, corpus):
         start += r.n_tokens
 
 
+def test_tokens_of_given_ids_are_looked_up_by_index(spark, tmp_path):
+    import public_tokenizers
+    from pyarrow import orc
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(vocabulary)
+    rows = [(i, f"text number {i} here", "s") for i in range(0, 24_000, 2)] + [(7, "twice", "s"), (7, "again", "s"), (None, "no id", "s")]
+    token_orc.write(table(spark, rows), str(tmp_path / "t"), vocabulary, 1)
+    got = token_orc.read(spark, str(tmp_path / "t"), [7, 5000, 5001])
+    assert "In(doc_id" in got._jdf.queryExecution().executedPlan().toString()  # pushed to the row index and the Bloom filter
+    text = {(i, t) for i, t, _ in rows if i in (7, 5000)}
+    assert sorted((r.doc_id, list(r.ids)) for r in got.collect()) == sorted((i, [*plain.encode(t, add_special_tokens=False).ids, 1]) for i, t in text)
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    spans = [(min(v), max(v)) for v in ([x for x in orc.ORCFile(f).read(["doc_id"]).column(0).to_pylist() if x is not None] for f in files) if v]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and len(spans) > 1  # files hold ranges of ids
+    none = token_orc.token_table(table(spark, []), vocabulary)
+    assert none.count() == 0 and token_orc.read(spark, str(tmp_path / "t"), []).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(1, "Some  words, and\nmore. x,y", "s"), (2, None, "s"), (3, "é ü " * 30, "s")]
+    for name, whole in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        path = public_tokenizers.path(name)
+        assert token_orc.encoder(path).whole is whole
+        plain = Tokenizer.from_file(path)
+        got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_orc.token_table(table(spark, rows), path).collect()}
+        assert got == {i: (len(x := [*plain.encode(t or "", add_special_tokens=False).ids, 1]), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t, _ in rows}
+
+
 def test_shortages_go_to_siblings_before_ancestors():
     supply = {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 100}
     assert mixing.allocate(supply, {}, 100, 1) == {("a", "x"): 10, ("a", "y"): 40, ("b", "z"): 50}

@@ -6,7 +6,8 @@ Bloom filter before any token is decoded. Tokens are encoded after the shuffle,
 texts only.
 
 Words that recur are encoded once: a block of texts is cut at white space, and a comma or full stop
-behind an ASCII letter is cut off, which are places where the tokenizer's own splitting cuts too.
+behind an ASCII letter is cut off, which are places where the tokenizer's own splitting cuts too. A
+tokenizer for which that doesn't hold of a sample text encodes whole texts instead.
 
 Defined cases: null and empty texts have the end id alone; null ids come first and rows that repeat
 an id are rows of their own, ordered by text; an empty table gives an empty file and an empty
@@ -34,6 +35,8 @@ REMEMBERED, TOGETHER = 1_500_000, 256
 #: Writer settings: stripe bytes, rows of an index entry, and false positives of the Bloom filters.
 ORC = {"orc.stripe.size": str(32 << 20), "orc.row.index.stride": "5000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
 LEAST = -(1 << 63)
+#: What tells whether a tokenizer cuts where the words are cut here.
+PROBE = "Some words,  with Marks. (odd) ones, 12,3 a.b\tA.\n\n\u00e9t\u00e9. x, |y| don't re-do <b> ... ,. end."
 
 
 class Encoder:
@@ -45,6 +48,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
         self.forget()
+        self.whole = self.mark_id is None
+        if not self.whole:
+            raw = np.frombuffer(PROBE.encode(), np.uint8)
+            self.whole = self.encode(raw, np.array([0, len(raw)]))[0].tolist() != self.tokenizer.encode(PROBE, add_special_tokens=False).ids
+            self.forget()
 
     def forget(self) -> None:
         """Begin with no words."""
@@ -75,6 +83,11 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and where each text's begin."""
+        if self.whole:
+            raw = data.tobytes()
+            got = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)
+            ids = [np.array(e.ids, np.int32) for e in got]
+            return np.concatenate(ids or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
         start, stop, bounds = K.word_spans(data, offsets)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
