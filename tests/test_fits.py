@@ -26,7 +26,7 @@ def test_expanding_ridge_equals_a_direct_fit(spark):
             m = np.array([[1.0, *(x[3 + "ab".index(c)] for c in columns)] for x in past])
             want = np.linalg.solve(m.T @ (m * w[:, None]) + np.diag([0.0] + [0.7] * len(columns)), m.T @ (w * np.array([x[5] for x in past])))
             assert r[f"y_{name}"] == pytest.approx(want.tolist())
-    p = forward.forward_predictions(df, fits, ["s"], "t", ["y"], sets).where("t = 7").first()
+    p = forward.predictions(df, fits, ["s", "t"], ["y"], sets).where("t = 7").first()
     assert p["y_two"] == pytest.approx(got[7]["y_two"][0] + got[7]["y_two"][1] * p["a"] + got[7]["y_two"][2] * p["b"])
     with pytest.raises(ValueError):
         forward.expanding_ridge(df, ["s"], "t", ["c"], ["y"], sets, 1.0, 0)
@@ -39,6 +39,32 @@ def test_a_singular_system_has_no_coefficients(spark):
     assert forward.expanding_ridge(df.limit(0), ["s"], "t", ["c"], ["y"], {"x": ["a"]}, 0.0, 1).collect() == []
 
 
+def test_fits_on_other_families_count_families_and_contexts_alike(spark):
+    rng = random.Random(9)
+    rows = [(f, c, rng.random() * 5, rng.random(), 7.0) for f in "xyz" for c in range(1 + "xyz".index(f)) for _ in range(2 + 3 * c)]
+    rows = [(*r, 1 + 2 * r[2] - r[3] + rng.random()) for r in rows]
+    df = spark.createDataFrame([*rows, ("x", 0, None, 1.0, 7.0, 1.0)], "f string, c int, a double, b double, k double, y double")
+    sets = {"ab": ["a", "b"], "abk": ["a", "b", "k"]}
+    for standardised in (False, True):
+        got = {r["f"]: r for r in forward.family_ridge(df, "f", ["c"], ["y"], sets, 0.3, standardised).collect()}
+        for held in "xyz":
+            some = [r for r in rows if r[0] != held]
+            w = np.array([1 / sum(o[:2] == r[:2] for o in rows) / len({o[1] for o in rows if o[0] == r[0]}) for r in some])
+            for name, columns in sets.items():
+                x = np.array([[r[2 + "abk".index(c)] for c in columns] for r in some])
+                y = np.array([r[5] for r in some])
+                mean, size = np.zeros(len(columns)), np.ones(len(columns))
+                if standardised:
+                    mean = np.average(x, axis=0, weights=w)
+                    size = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
+                    size = np.where(size > 1e-6, size, 1.0)
+                m = np.column_stack([np.ones(len(x)), (x - mean) / size])
+                c = np.linalg.solve(m.T @ (m * w[:, None]) + np.diag([0.0] + [0.3] * len(columns)), m.T @ (w * y))
+                want = [c[0] - (c[1:] / size) @ mean, *(c[1:] / size)]
+                assert got[held][f"y_{name}"] == pytest.approx(want, abs=1e-6) and got[held]["training_families"] == 2
+    assert forward.family_ridge(df.where("f = 'x'"), "f", ["c"], ["y"], sets, 0.3).collect() == []
+
+
 def losses(rows, rate, kind):
     out = []
     for dose, y, w in rows:

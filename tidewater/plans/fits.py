@@ -44,21 +44,27 @@ def _fits_sql(least: int, alpha: float) -> str:
 t AS (SELECT kind, day, count(*) AS contexts, {', '.join(f'sum({n}) AS {n}' for n, _ in products)} FROM c GROUP BY ALL),
 w AS (SELECT * FROM (SELECT kind, day, count(*) OVER past AS prior_times, {', '.join(f'sum({n}) OVER past / sum(contexts) OVER past AS {n}' for n, _ in products)} FROM t
   WINDOW past AS (PARTITION BY kind ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE prior_times >= {least})"""
-    for s, columns in SETS.items():
+    return sql + _solve_sql("w", "kind, day", names, SETS, alpha)
+
+
+def _solve_sql(source: str, keys: str, names: list[str], sets: dict[str, list[str]], alpha: float) -> str:
+    """CTEs up to set_c for each set: coefficients set_target_i of the sums in `source`."""
+    sql = ""
+    for s, columns in sets.items():
         use = [0, *(names.index(c) for c in columns)]
         d = len(use)
         at = lambda i, j: f"m{min(use[i], use[j])}_{max(use[i], use[j])}" + (f" + {alpha}" if i == j and i else "")  # noqa: E731, B023
-        sql += f", {s}0 AS (SELECT kind, day, {', '.join([*(f'{at(i, j)} AS e{i}_{j}' for i in range(d) for j in range(d)), *(f'r{use[i]}_{t} AS r{i}_{t}' for i in range(d) for t in TARGETS)])} FROM w)"
+        sql += f", {s}0 AS (SELECT {keys}, {', '.join([*(f'{at(i, j)} AS e{i}_{j}' for i in range(d) for j in range(d)), *(f'r{use[i]}_{t} AS r{i}_{t}' for i in range(d) for t in TARGETS)])} FROM {source})"
         for k in range(d - 1):
             less = lambda i, j: f"e{i}_{j} - e{i}_{k} * e{k}_{j} / e{k}_{k} AS e{i}_{j}" if i > k else f"e{i}_{j}"  # noqa: E731, B023
             right = lambda i, t: f"r{i}_{t} - e{i}_{k} * r{k}_{t} / e{k}_{k} AS r{i}_{t}" if i > k else f"r{i}_{t}"  # noqa: E731, B023
-            sql += f", {s}{k + 1} AS (SELECT kind, day, {', '.join([*(less(i, j) for i in range(d) for j in range(d)), *(right(i, t) for i in range(d) for t in TARGETS)])} FROM {s}{k})"
+            sql += f", {s}{k + 1} AS (SELECT {keys}, {', '.join([*(less(i, j) for i in range(d) for j in range(d)), *(right(i, t) for i in range(d) for t in TARGETS)])} FROM {s}{k})"
         last = f"{s}{d - 1}"
         for i in reversed(range(d)):
             rest = lambda t: "".join(f" - e{i}_{j} * c{j}_{t}" for j in range(i + 1, d))  # noqa: E731, B023
             sql += f", {s}_b{i} AS (SELECT *, {', '.join(f'(r{i}_{t}{rest(t)}) / e{i}_{i} AS c{i}_{t}' for t in TARGETS)} FROM {last})"
             last = f"{s}_b{i}"
-        sql += f", {s}_c AS (SELECT kind, day, {', '.join(f'c{i}_{t} AS {s}_{t}_{i}' for t in TARGETS for i in range(d))} FROM {last})"
+        sql += f", {s}_c AS (SELECT {keys}, {', '.join(f'c{i}_{t} AS {s}_{t}_{i}' for t in TARGETS for i in range(d))} FROM {last})"
     return sql
 
 
@@ -73,7 +79,7 @@ def ml_forward_predictions(spark, sf_dir):
     """ML-16, ML-19, ML-20, ML-21: ridge on all strictly earlier days, contexts alike; three sets of features for two targets."""
     x = _days(spark, sf_dir)
     fits = forward.expanding_ridge(x, ["kind"], "day", ["net"], TARGETS, SETS, 1.0, 2)
-    got = forward.forward_predictions(x, fits, ["kind"], "day", TARGETS, SETS)
+    got = forward.predictions(x, fits, ["kind", "day"], TARGETS, SETS)
     return got.select("kind", "net", "day", "node", "prior_times", *(_r(f"{t}_{s}", f"{t}_{s}", 5) for t in TARGETS for s in SETS))
 
 
@@ -84,6 +90,29 @@ def ml_forward_coefficients(spark, sf_dir):
     return fits.select("kind", "day", "prior_times", *(_r(F.get("q_hybrid", F.lit(i)), c, 5) for i, c in enumerate(["intercept", *SETS["hybrid"]])))
 
 
+FAMILY_SETS = {"static": ["b"], "temporal": ["a", "b", "stable", "o"]}
+HEURISTICS = {"activity": "a", "partners": "b", "composite": "(a + b + stable) / 3"}
+
+
+def _family_sql(alpha: float) -> str:
+    names = ["1", *dict.fromkeys(c for s in FAMILY_SETS.values() for c in s)]
+    products = [(f"m{i}_{j}", f"{names[i]} * {names[j]}") for i in range(len(names)) for j in range(i, len(names))] + [(f"r{i}_{t}", f"{c} * {t}") for i, c in enumerate(names) for t in TARGETS]
+    sql = DAYS + f""", c AS (SELECT kind, day, net, {', '.join(f'avg(({v})::DOUBLE) AS {n}' for n, v in products)} FROM x GROUP BY ALL), t AS (SELECT kind, {', '.join(f'avg({n}) AS {n}' for n, _ in products)} FROM c GROUP BY kind),
+w AS (SELECT kind, (SELECT count(*) FROM t) - 1 AS training_families, {', '.join(f'(SELECT sum({n}) FROM t) - {n} AS {n}' for n, _ in products)} FROM t)""" + _solve_sql("w", "kind", names, FAMILY_SETS, alpha)
+    made = ", ".join(f"round({s}_q_0{''.join(f' + {s}_q_{i} * {c}' for i, c in enumerate(columns, 1))}, 5) AS {s}" for s, columns in FAMILY_SETS.items())
+    plain = ", ".join(f"round({v}, 6) AS {n}" for n, v in HEURISTICS.items())
+    return sql + f" SELECT kind, net, day, node, training_families::INT AS training_families, {plain}, {made} FROM x JOIN w USING (kind) " + " ".join(f"JOIN {s}_c USING (kind)" for s in FAMILY_SETS)
+
+
+@query(_family_sql(1.0))
+def ml_family_scores(spark, sf_dir):
+    """ML-15 to ML-18, ML-21: plain scores, and ridge scores from all other families by two sets of features, contexts and families alike."""
+    x = _days(spark, sf_dir)
+    fits = forward.family_ridge(x, "kind", ["net", "day"], TARGETS, FAMILY_SETS, 1.0)
+    got = forward.predictions(x, fits, ["kind"], TARGETS, FAMILY_SETS)
+    return got.select("kind", "net", "day", "node", "training_families", *(_r(F.expr(v), n) for n, v in HEURISTICS.items()), *(_r(f"q_{s}", s, 5) for s in FAMILY_SETS))
+
+
 RATES = [round(0.05 * 1.25**k, 6) for k in range(20)]
 DOSES = f"""+ e AS (
   SELECT event_id, kind, source_id % 25 AS family, (start - {ORIGIN}) // {WEEK} AS week, ("end" - start) / {float(HOUR)!r}::DOUBLE AS dose, (event_id % 4)::DOUBLE AS downstream, event_id * 7919 % 1000 / 1000.0::DOUBLE AS u FROM dyads),
