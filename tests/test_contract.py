@@ -124,6 +124,33 @@ def test_streams_are_cut_restricted_and_joined(spark, grouped):
     assert {r["code"] for r in streams.problems(s).where("n > 0").collect()} == {"group_bad_rate", "group_no_length", "orphan_members"}
 
 
+def test_variants_of_a_stream(spark):
+    groups = spark.createDataFrame([(f"g{k}", k * 10, k * 10 + 4) for k in range(5)], "group_event_id string, start long, end long")
+    members = spark.createDataFrame([("g1", "a"), ("g1", "b"), ("g2", "b"), ("g3", "a")], "group_event_id string, node_id string")
+    rows = [(f"e{k}", "a", "b", s, e, 1.0, "i", "sensor_proximity", "duration", 1.0, None, None, False) for k, (s, e) in enumerate([(3, 9), (25, 45)])]
+    ds = dataset.Dataset(spark, "d", {"group_events": groups, "group_memberships": members, "dyadic_events": pairs(spark, rows)})
+    s = streams.combined(streams.compiled(ds, "duration"), streams.compiled(ds, "group_mixing"))
+    r = streams.replayed(s, 40, 60)
+    assert sorted((x["start"], x["end"]) for x in r.groups.collect()) == [(40, 44), (50, 54)] and [(x["start"], x["end"]) for x in r.pairs.collect()] == [(45, 60)]
+    who = spark.createDataFrame([("a", "s"), ("b", "t")], "node_id string, species string")
+    h = streams.hosted(s, who, "s")
+    assert sorted(x["group_event_id"] for x in h.groups.collect()) == ["g1", "g3"] and h.members.count() == 2 and h.pairs.count() == 0
+    with pytest.raises(ValueError):
+        streams.hosted(s, who, "other")
+    f = streams.first_events(s, 2)
+    assert sorted(x["group_event_id"] for x in f.groups.collect()) == ["g0", "g1"] and f.pairs.count() == 2 and f.members.count() == 2
+    assert tuple(streams.extent(s).first()) == (0, 45) and tuple(streams.extent(streams.first_events(s, 0)).first()) == (None, None)
+
+
+def test_a_coarse_clock_makes_nothing_more_recent(spark):
+    from tidewater.operators import intervals
+
+    df = spark.createDataFrame([(0, 10), (90, 130), (120, 130), (50, 50)], "s long, e long")
+    of = lambda grain: [r[0] for r in df.select(intervals.coarse_decayed(F.col("s"), F.col("e"), 5, 100, 20.0, grain)).collect()]
+    assert of(0) == pytest.approx([5 * 0.5 ** (92.5 / 20), 10 * 0.5 ** (5 / 20), 0.0, 0.0]) and of(20) == pytest.approx([5 * 0.5**5, 10 * 0.5, 0.0, 0.0])
+    assert all(a >= b for a, b in zip(of(0), of(7), strict=True))
+
+
 def test_bounds_and_individuals(spark, plain, grouped):
     w = {r["node_id"]: (r["window_start"], r["window_end"]) for r in dataset.windows_from_pairs(plain).collect()}
     assert w == {"A": (0, 10 * SECOND), "B": (0, 20 * SECOND), "C": (10 * SECOND, 20 * SECOND)}

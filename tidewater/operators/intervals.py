@@ -84,6 +84,19 @@ def decayed(start: Column, end: Column, anchor: Column | int, half_life: float)
     return (end - start) * F.pow(F.lit(0.5), (anchor - (start + end) / 2.0) / half_life)
 
 
+def coarse_decayed(start: Column, end: Column, low: Column | int, high: Column | int, half_life: float, grain: int = 0) -> Column:
+    """Length of an interval's part in [low, high) that halves with its middle's age at `high`; 0 where there is none.
+
+    With a grain the age is rounded up to a multiple of it, so that a coarser clock never makes a contact more recent.
+    """
+    low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
+    a, b = F.greatest(start, low), F.least(end, high)
+    age = F.greatest(F.lit(0.0), high - (a + b) / 2.0)
+    if grain:
+        age = F.ceil(age / grain) * grain
+    return F.when(b > a, (b - a) * F.pow(F.lit(0.5), age / half_life)).otherwise(0.0)
+
+
 def range_join(left: DataFrame, right: DataFrame, on: list[str], span: tuple[str, str], other: tuple[str, str], width: int) -> DataFrame:
     """Pairs of rows alike in `on` whose half-open intervals `span` of `left` and `other` of `right` overlap, each pair once.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import history
+from tidewater.operators import history, intervals
 from tidewater.plans.catalogue import DAY, HOUR, ORIGIN, WEEK, WEEK_2, WEEK_3, _r, query
 from tidewater.sources import canonical, dataset, streams
 
@@ -126,6 +126,45 @@ def jn_observation_bounds(spark, sf_dir):
     return x.select("node_id", F.col("group_id").isNotNull().alias("listed"), "first_observed_at", "last_observed_at")
 
 
+VARIANTS = f"""{TABLES}, g AS (SELECT group_event_id AS id, start, "end" FROM grps WHERE "end" > start), p AS (SELECT event_id AS id, start, "end" FROM pairs WHERE quality_flag IS NULL AND "end" > start AND measurement_type = 'duration' AND edge_semantics = 'sensor_proximity'),
+m AS (SELECT group_event_id AS id, node_id FROM mems), host AS (SELECT node_id FROM who WHERE substr(node_id, 2)::BIGINT % 4 = 1),
+v AS (
+  SELECT 'replayed' AS variant, 'group' AS kind, id, greatest(start, {WEEK_2 - 3 * DAY}) + {3 * DAY} AS start, least("end", {WEEK_2}) + {3 * DAY} AS "end" FROM g WHERE start < {WEEK_2} AND "end" > {WEEK_2 - 3 * DAY}
+  UNION ALL SELECT 'replayed', 'pair', id, greatest(start, {WEEK_2 - 3 * DAY}) + {3 * DAY}, least("end", {WEEK_2}) + {3 * DAY} FROM p WHERE start < {WEEK_2} AND "end" > {WEEK_2 - 3 * DAY}
+  UNION ALL SELECT 'hosted', 'group', id, start, "end" FROM g WHERE id IN (SELECT id FROM m WHERE node_id IN (FROM host))
+  UNION ALL SELECT 'first', 'group', * FROM (SELECT * FROM g ORDER BY start, id LIMIT 100) UNION ALL SELECT 'first', 'pair', * FROM (SELECT id, start, "end" FROM p ORDER BY start, 'exposure:' || id LIMIT 100)),
+e AS (SELECT variant, min(start) AS first, max("end") AS last, count(*) FILTER (kind = 'pair') AS pairs, count(*) FILTER (kind = 'group') AS groups FROM v GROUP BY variant),
+n AS (SELECT variant, count(m.node_id) AS members FROM v JOIN m ON v.id = m.id AND v.kind = 'group' WHERE variant <> 'hosted' OR m.node_id IN (FROM host) GROUP BY variant)
+SELECT variant, first, last, pairs, groups, members FROM e JOIN n USING (variant)"""
+
+
+@query(VARIANTS)
+def pf_stream_variants(spark, sf_dir):
+    """PF-18, PF-23, PF-25, INT-12, INT-25: histories replayed on a horizon, groups of a host species, first events, and their extents."""
+    ds = _dataset(spark, sf_dir)
+    s = streams.combined(streams.compiled(ds, "duration"), streams.compiled(ds, "group_mixing"))
+    host = ds["individuals"].withColumn("species", F.when(F.col("node_id").substr(F.lit(2), F.lit(20)).cast("long") % 4 == 1, "host").otherwise("other"))
+    out = None
+    for name, v in (("replayed", streams.replayed(s, WEEK_2, WEEK_2 + 3 * DAY)), ("hosted", streams.hosted(s, host, "host")), ("first", streams.first_events(s, 100))):
+        count = lambda df, n: df.agg(F.count("*").alias(n))
+        x = streams.extent(v).crossJoin(count(v.pairs, "pairs")).crossJoin(count(v.groups, "groups")).crossJoin(count(v.members, "members"))  # one row each
+        x = x.select(F.lit(name).alias("variant"), "first", "last", "pairs", "groups", "members")
+        out = x if out is None else out.union(x)
+    return out
+
+
+COARSE = f"(greatest(0.0::DOUBLE, {WEEK_3} - (greatest(start, {WEEK_2}) + least(\"end\", {WEEK_3})) / 2.0::DOUBLE))"
+
+
+@query(f"""SELECT source_id, round(sum((least("end", {WEEK_3}) - greatest(start, {WEEK_2})) * pow(0.5, {COARSE} / {2 * DAY}.0::DOUBLE) / 1e6), 3) AS fine,
+round(sum((least("end", {WEEK_3}) - greatest(start, {WEEK_2})) * pow(0.5, ceil({COARSE} / {DAY}) * {DAY} / {2 * DAY}.0::DOUBLE) / 1e6), 3) AS coarse FROM dyads WHERE start < {WEEK_3} AND "end" > {WEEK_2} GROUP BY source_id""")
+def st_coarse_scores(spark, sf_dir):
+    """INT-11, ST-12: contact before an anchor that halves every two days, with exact ages and with ages in whole days."""
+    d = canonical.dyads(spark, sf_dir).where((F.col("start") < WEEK_3) & (F.col("end") > WEEK_2))
+    of = lambda grain: intervals.coarse_decayed(F.col("start"), F.col("end"), WEEK_2, WEEK_3, 2.0 * DAY, grain) / 1e6
+    return d.groupBy("source_id").agg(_r(F.sum(of(0)), "fine", 3), _r(F.sum(of(DAY)), "coarse", 3))
+
+
 FEATURE = ["activity_count", "event_rate_per_day", "contact_opportunity_rate", "weighted_exposure_rate", "eligible_partner_fraction", "observed_partner_count", "location_count", "mean_group_size", "recency_score", "recent_activity_fraction", "active_span_fraction"]
 
 

@@ -145,6 +145,32 @@ def shifted(stream: Stream, by: int) -> Stream:
     return replace(stream, pairs=stream.pairs.withColumns(move), groups=stream.groups.withColumns(move))
 
 
+def replayed(stream: Stream, anchor: int, horizon_end: int) -> Stream:
+    """The history just before an anchor, as long as the horizon, moved onto the horizon."""
+    return shifted(sliced(stream, 2 * anchor - horizon_end, anchor), horizon_end - anchor)
+
+
+def hosted(stream: Stream, individuals: DataFrame, species: str) -> Stream:
+    """Groups with a member of a species, and those members only; an error where no individual is of it."""
+    hosts = individuals.where(F.col("species") == species).select("node_id").distinct()
+    if hosts.isEmpty():
+        raise ValueError(f"no individual is of the species {species!r}")
+    members = stream.members.join(hosts, "node_id", "left_semi").select(*MEMBERS)
+    return replace(stream, pairs=stream.pairs.limit(0), groups=stream.groups.join(members.select("group_event_id"), "group_event_id", "left_semi").select(*GROUPS), members=members)
+
+
+def first_events(stream: Stream, most: int) -> Stream:
+    """The first `most` pairs and the first `most` groups by their start, ties by their ids, with the members of these."""
+    groups = stream.groups.orderBy("start", "group_event_id").limit(most)
+    return replace(stream, pairs=stream.pairs.orderBy("start", "exposure_id").limit(most), groups=groups, members=stream.members.join(groups.select("group_event_id"), "group_event_id", "left_semi").select(*MEMBERS))
+
+
+def extent(stream: Stream) -> DataFrame:
+    """One row (first, last): when the first exposure begins and the last one ends, null for an empty stream."""
+    both = stream.pairs.select("start", "end").union(stream.groups.select("start", "end"))
+    return both.agg(F.min("start").alias("first"), F.max("end").alias("last"))
+
+
 def with_mode(stream: Stream, mode: str) -> Stream:
     """The stream with another way of mixing in all groups."""
     return replace(stream, groups=stream.groups.withColumn("mode", F.lit(mode)))
