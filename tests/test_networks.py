@@ -107,3 +107,20 @@ def test_summaries_of_small_cases(spark):
     assert abs(summaries.mean_competitors(m, ["kind"], "g", "s").first()["competitors"] - 2 / 3) < 1e-12
     p = spark.createDataFrame([(0.5, 1, 2.0, 1.0, 0), (0.5, 0, 4.0, 1.0, 0)], "c double, came int, e double, o double, w int")
     assert summaries.prediction_scores(p, [], "c", "came", "e", "o", "w").first()[1:] == (0.25, 2.0)
+
+
+def test_means_settle_as_blocks_are_added(spark):
+    from tidewater.operators import statistics
+
+    rows = [("g", i, b, float(v)) for i, values in {"a": (1, 3, 2), "b": (0, 5, 7), "c": (2, 0, 1)}.items() for b, v in zip((10, 20, 40), values, strict=True)]
+    rows += [("g", "d", 40, 9.0), ("g", "e", 10, None), ("h", "a", 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, i string, b long, v double")
+    got = {(r["g"], r["level"]): r for r in statistics.precision_curve(df, ["g"], "i", "b", "v", 2).collect()}
+    assert set(got) == {("g", 1), ("g", 2), ("g", 3), ("h", 1)}
+    assert [got["g", k]["items"] for k in (1, 2, 3)] == [3, 3, 4] and got["g", 3]["top_overlap"] == 1.0 and got["g", 3]["spearman"] == pytest.approx(1)
+    assert got["g", 1]["reliability"] is None and got["g", 1]["zero_share"] == pytest.approx(1 / 3) and got["g", 1]["spearman"] == pytest.approx(-1) and got["g", 1]["top_overlap"] == 0.5
+    v = np.array([(1, 3, 2), (0, 5, 7), (2, 0, 1)], float)
+    between, within = 3 * v.mean(1).var(ddof=1), v.var(1, ddof=1).mean()
+    icc = (between - within) / (between + 2 * within)
+    assert got["g", 3]["reliability"] == pytest.approx(3 * icc / (1 + 2 * icc) if icc > 0 else 0.0)
+    assert got["h", 1]["spearman"] is None and got["h", 1]["items"] == 1

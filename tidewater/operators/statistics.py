@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import ranks
+
 
 def hierarchical_mean(df: DataFrame, levels: list[str], value: str) -> DataFrame:
     """Means of means: over the last level first, then over each above; one row a first level."""
@@ -109,3 +111,24 @@ def prefix_means(df: DataFrame, by: list[str], item: str, block: str, value: str
     x = x.withColumns({"m": F.sum("_s").over(run) / F.sum("_n").over(run), "final": F.sum("_s").over(own) / F.sum("_n").over(own), "_next": F.lead("_i", 1).over(own.orderBy("_i"))})
     level = F.explode(F.sequence(F.col("_i"), F.coalesce(F.col("_next") - 1, F.col("_last")))).alias("level")
     return x.select(*by, item, level, "m", "final")
+
+
+def precision_curve(df: DataFrame, by: list[str], item: str, block: str, value: str, top: int) -> DataFrame:
+    """(by, level, items, reliability, spearman, top_overlap, zero_share): how item means settle as blocks are added.
+
+    Levels are the group's first blocks, in their order. `reliability` is that of the mean over the level's blocks, null for one
+    block; the others hold the level's means against those over all blocks, of the items seen so far: their rank
+    correlation, the share of the final `top` items among the level's, and how many means are 0.
+    """
+    blocks = df.select(*by, block).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(block)))
+    last = blocks.groupBy(*by).agg(F.max("_i").alias("_last"))
+    nested = df.where(F.col(value).isNotNull()).join(blocks, [*by, block]).join(last, by).withColumn("level", F.explode(F.sequence("_i", "_last")))
+    r = block_reliability(nested, [*by, "level"], item, block, value)
+    r = r.select(*by, "level", spearman_brown(F.col("icc_single"), F.col("blocks")).alias("reliability"))
+    p = prefix_means(df, by, item, block, value)
+    rho = ranks.spearman(p, "m", "final", [*by, "level"]).select(*by, "level", "spearman")
+    place = lambda v: F.row_number().over(Window.partitionBy(*by, "level").orderBy(F.desc(v), item)) <= top
+    p = p.withColumns({"_m": place("m"), "_f": place("final")})
+    x = p.groupBy(*by, "level").agg(
+        F.count("*").alias("items"), F.try_divide(F.count_if(F.col("_m") & F.col("_f")), F.count_if("_f")).alias("top_overlap"), F.avg((F.col("m") == 0).cast("double")).alias("zero_share"))
+    return x.join(rho, [*by, "level"], "left").join(r, [*by, "level"], "left").select(*by, "level", "items", "reliability", "spearman", "top_overlap", "zero_share")

@@ -248,6 +248,20 @@ def agg_prefix_convergence(spark, sf_dir):
     return p.groupBy("kind", "level").agg(F.count("*").alias("n"), _r(F.avg(apart), "apart"), _r(F.max(apart), "most"))
 
 
+@query(PRIOR + """, b AS (SELECT kind, week, row_number() OVER (PARTITION BY kind ORDER BY week) AS i, count(*) OVER (PARTITION BY kind) AS z FROM (SELECT DISTINCT kind, week FROM weekly)), w AS (SELECT weekly.*, i, z FROM weekly JOIN b USING (kind, week)),
+n AS (SELECT kind, node, i, v, unnest(range(i, z + 1)) AS level FROM w), c AS (SELECT kind, level, node, avg(v) AS m, var_samp(v) AS s, count(*) AS c FROM n GROUP BY ALL),
+x AS (SELECT kind, level, level * var_samp(m) AS msb, avg(s) AS msw FROM c WHERE c = level AND level > 1 GROUP BY kind, level HAVING count(*) > 1), icc AS (SELECT kind, level, (msb - msw) / (msb + (level - 1) * msw) AS r FROM x),
+f AS (SELECT kind, node, avg(v) AS final FROM w GROUP BY ALL), j AS (SELECT c.kind, level, c.node, m, final FROM c JOIN f ON c.kind = f.kind AND c.node = f.node),
+r AS (SELECT *, rank() OVER (PARTITION BY kind, level ORDER BY m) + (count(*) OVER (PARTITION BY kind, level, m) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY kind, level ORDER BY final) + (count(*) OVER (PARTITION BY kind, level, final) - 1) / 2.0::DOUBLE AS z,
+  row_number() OVER (PARTITION BY kind, level ORDER BY m DESC, node) <= 10 AS ma, row_number() OVER (PARTITION BY kind, level ORDER BY final DESC, node) <= 10 AS fa FROM j),
+g AS (SELECT kind, level, count(*) AS items, CASE WHEN min(a) < max(a) AND min(z) < max(z) THEN corr(a, z) END AS spearman, count(*) FILTER (ma AND fa) / count(*) FILTER (fa) AS top_overlap, avg((m = 0)::INT) AS zero_share FROM r GROUP BY ALL)
+SELECT g.kind, g.level, items, round(CASE WHEN r <= 0 THEN 0 ELSE g.level * r / (1 + (g.level - 1) * r) END, 6) AS reliability, round(spearman, 6) AS spearman, round(top_overlap, 6) AS top_overlap, round(zero_share, 6) AS zero_share FROM g LEFT JOIN icc ON g.kind = icc.kind AND g.level = icc.level""")
+def agg_precision_curve(spark, sf_dir):
+    """AGG-45, AGG-46: reliability, order, best items and zeros of means over growing numbers of weeks."""
+    x = statistics.precision_curve(_weekly(spark, sf_dir), ["kind"], "node", "week", "v", 10)
+    return x.select("kind", "level", "items", *(_r(c, c) for c in ("reliability", "spearman", "top_overlap", "zero_share")))
+
+
 @query(PRIOR + """, h AS (SELECT kind, node, avg(v) FILTER (week % 2 = 0) AS a, avg(v) FILTER (week % 2 = 1) AS b FROM weekly GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY a DESC, node) <= 10 AS ta, row_number() OVER (PARTITION BY kind ORDER BY b DESC, node) <= 10 AS tb, count(*) OVER (PARTITION BY kind) AS n FROM h WHERE a IS NOT NULL AND b IS NOT NULL)
 SELECT kind, max(n) AS n, count(*) FILTER (ta AND tb) AS overlap, round(least(10, max(n)) ** 2 / max(n), 9) AS chance, round(avg(b) FILTER (tb) - avg(b) FILTER (ta), 6) AS regret, count(*) FILTER (ta AND tb) > least(10, max(n)) ** 2 / max(n) AS reproducible FROM r GROUP BY kind""")
