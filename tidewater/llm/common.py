@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -83,10 +84,13 @@ def release(spark: SparkSession) -> None:
     """Let the driver drop what it holds of finished steps, so that Spark deletes their shuffle files now.
 
     Spark deletes them once the driver's JVM has found the step's objects unused, which else waits for
-    that JVM to run short of memory; a long job would keep all its shuffles on disk until then.
+    that JVM to run short of memory; a long job would keep all its shuffles on disk until then. What
+    Python lets go is unused for the JVM only in the next turn, and the files go a moment after that.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def words(text: Column) -> Column:

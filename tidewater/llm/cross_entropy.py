@@ -223,6 +223,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     spark = docs.sparkSession
     ship(spark)
     texts = chunks(roles(docs, targets, id_col, text_col), size)
+    release(spark)
     trained = texts.where("role > 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = (trained // (10 * bucket)).bit_length()  # a key in 5 bytes, in two folds
     found = cut(looked_up(texts, bits), "cross-entropy-counts")
