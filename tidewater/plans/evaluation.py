@@ -255,7 +255,7 @@ f AS (SELECT kind, node, avg(v) AS final FROM w GROUP BY ALL), j AS (SELECT c.ki
 r AS (SELECT *, rank() OVER (PARTITION BY kind, level ORDER BY m) + (count(*) OVER (PARTITION BY kind, level, m) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY kind, level ORDER BY final) + (count(*) OVER (PARTITION BY kind, level, final) - 1) / 2.0::DOUBLE AS z,
   row_number() OVER (PARTITION BY kind, level ORDER BY m DESC, node) <= 10 AS ma, row_number() OVER (PARTITION BY kind, level ORDER BY final DESC, node) <= 10 AS fa FROM j),
 g AS (SELECT kind, level, count(*) AS items, CASE WHEN min(a) < max(a) AND min(z) < max(z) THEN corr(a, z) END AS spearman, count(*) FILTER (ma AND fa) / count(*) FILTER (fa) AS top_overlap, avg((m = 0)::INT) AS zero_share FROM r GROUP BY ALL)
-SELECT g.kind, g.level, items, round(CASE WHEN r <= 0 THEN 0 ELSE g.level * r / (1 + (g.level - 1) * r) END, 6) AS reliability, round(spearman, 6) AS spearman, round(top_overlap, 6) AS top_overlap, round(zero_share, 6) AS zero_share FROM g LEFT JOIN icc ON g.kind = icc.kind AND g.level = icc.level""")
+SELECT g.kind, g.level, items, round(CASE WHEN r <= 0 THEN 0 ELSE g.level * r / (1 + (g.level - 1) * r) END, 6) AS reliability, round(spearman, 6) + 0.0::DOUBLE AS spearman, round(top_overlap, 6) AS top_overlap, round(zero_share, 6) AS zero_share FROM g LEFT JOIN icc ON g.kind = icc.kind AND g.level = icc.level""")
 def agg_precision_curve(spark, sf_dir):
     """AGG-45, AGG-46: reliability, order, best items and zeros of means over growing numbers of weeks."""
     x = statistics.precision_curve(_weekly(spark, sf_dir), ["kind"], "node", "week", "v", 10)

@@ -51,8 +51,8 @@ def _retention_sql(left: str, right: str, what: str) -> str:
 
 
 def _retention_out(what: str) -> str:
-    return f"""SELECT kind, week, '{what}' AS comparison, n, round(CASE WHEN least(le, re) - expected > 1e-12 THEN (shared - expected) / (least(le, re) - expected) ELSE 0 END, 9) AS adjusted, least(le, re) - expected > 1e-12 AS estimable,
-  round(CASE WHEN u > 0 THEN shared / u ELSE 1 END, 9) AS jaccard, round(CASE WHEN ll > 0 AND rr2 > 0 THEN dot / (sqrt(ll) * sqrt(rr2)) ELSE 0 END, 9) AS cosine, round(persistence, 9) AS rank_persistence, round(top / k, 9) AS top_overlap, le AS left_edges, re AS right_edges, shared FROM {what}_x"""
+    return f"""SELECT kind, week, '{what}' AS comparison, n, round(CASE WHEN least(le, re) - expected > 1e-12 THEN (shared - expected) / (least(le, re) - expected) ELSE 0 END, 9) + 0.0::DOUBLE AS adjusted, least(le, re) - expected > 1e-12 AS estimable,
+  round(CASE WHEN u > 0 THEN shared / u ELSE 1 END, 9) AS jaccard, round(CASE WHEN ll > 0 AND rr2 > 0 THEN dot / (sqrt(ll) * sqrt(rr2)) ELSE 0 END, 9) AS cosine, round(persistence, 9) + 0.0::DOUBLE AS rank_persistence, round(top / k, 9) AS top_overlap, le AS left_edges, re AS right_edges, shared FROM {what}_x"""
 
 
 @query(PARTS + ", " + _retention_sql("SELECT * FROM inner_edges WHERE part = 'first'", "SELECT * FROM inner_edges WHERE part = 'second'", "halves") + ", " + _retention_sql(
@@ -129,7 +129,7 @@ q AS (SELECT s.kind, s.week, s.mask, coalesce(v0, 0) AS v0, coalesce(v1, 0) AS v
 t AS (SELECT c.kind, c.week, (a.v0 - z.v0) - (c.v0 - b.v0) AS g0, (a.v1 - z.v1) - (c.v1 - b.v1) AS g1 FROM q c JOIN q a ON a.kind = c.kind AND a.week = c.week AND bit_count(a.mask) = 1 AND (a.mask & c.mask) <> 0
   JOIN q b ON b.kind = c.kind AND b.week = c.week AND b.mask = c.mask - a.mask JOIN q z ON z.kind = c.kind AND z.week = c.week AND z.mask = 0 WHERE bit_count(c.mask) = 2),
 g AS (SELECT kind, week, count(*) AS inequalities, count(*) FILTER (g0 < 0 AND g1 < 0) AS replicated, coalesce(avg((g0 + g1) / 2) FILTER (g0 < 0 AND g1 < 0), 0) AS margin FROM t GROUP BY ALL)
-SELECT s.kind, s.week, coalesce(inequalities, 0) AS inequalities, coalesce(replicated, 0) AS replicated, round(replicated / inequalities, 9) AS rate, round(margin, 9) AS mean_margin FROM (SELECT DISTINCT kind, week FROM sets) s LEFT JOIN g USING (kind, week)""")
+SELECT s.kind, s.week, coalesce(inequalities, 0) AS inequalities, coalesce(replicated, 0) AS replicated, round(replicated / inequalities, 9) AS rate, round(margin, 9) + 0.0::DOUBLE AS mean_margin FROM (SELECT DISTINCT kind, week FROM sets) s LEFT JOIN g USING (kind, week)""")
 def ml_structure_violations(spark, sf_dir):
     """ML-32: whether adding a node gains more beside another one than alone, in both halves of a context's days."""
     d, ends, pool = _pools(spark, sf_dir)
