@@ -63,7 +63,8 @@ def set_edge_retention(spark, sf_dir):
     low = ORIGIN + F.col("week") * WEEK
     parts = F.explode(F.array(*(F.struct(F.lit(n).alias("part"), (low + a).alias("s"), (low + b).alias("e")) for n, a, b in (("first", 0, WEEK // 2), ("second", WEEK // 2, WEEK), ("future", WEEK, 2 * WEEK))))).alias("x")
     w = canonical.dyads(spark, sf_dir).select("kind", F.floor((F.col("start") - ORIGIN) / WEEK).alias("week")).distinct().select("kind", "week", parts).select("kind", "week", "x.part", "x.s", "x.e")
-    met = intervals.range_join(d.select("kind", "source_id", "target_id", "start", "end"), w, ["kind"], ("start", "end"), ("s", "e"), DAY)
+    d = d.select("kind", "source_id", "target_id", "start", "end", F.greatest("end", F.col("start") + 1).alias("until"))  # contacts without length are edges of weight 0
+    met = intervals.range_join(d, w, ["kind"], ("start", "until"), ("s", "e"), DAY).where("start < e and end > s")
     edges = met.groupBy(*CONTEXT, "part", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.round(F.sum((F.least("end", "e") - F.greatest("start", "s")) / 1e6), 6).alias("w"))
     nodes = edges.where("part <> 'future'").select(*CONTEXT, F.explode(F.array("a", "b")).alias("node")).distinct()
     for c in ("a", "b"):
