@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import ranks
+from tidewater.operators import partners
+from tidewater.operators.turns import Turns
+
 
 def issues(dyads: DataFrame) -> DataFrame:
     """(severity, code, n, fraction) of each quality check, in one pass besides that for repeated ids."""
@@ -57,6 +61,23 @@ def node_strength(pairs: DataFrame, weight: str) -> DataFrame:
     return both_ways(pairs, weight).groupBy("node").agg(F.count("*").alias("degree"), F.sum(weight).alias("strength"))
 
 
+def group_strength(memberships: DataFrame, seconds: float) -> DataFrame:
+    """(node, degree, strength): `node_strength` of `group_pairs`, without its pairs.
+
+    What the n - 1 others of a group share is its whole time, so strength is a sum over groups; degrees are counted in tiles.
+    """
+    turns = Turns(memberships.sparkSession)
+    some = memberships.select("group_id", "node_id").where("group_id is not null and node_id is not null")
+    size = some.groupBy("group_id").agg(F.count("*").alias("n")).where("n >= 2")
+    some = some.join(size, "group_id")
+    strength = some.groupBy(F.col("node_id").alias("node")).agg((F.count("*") * F.lit(float(seconds))).alias("strength"))
+    who = turns.kept(ranks.numbered(some, "node_id", "i"), "nodes")
+    what = turns.kept(ranks.numbered(size, "group_id", "g"), "groups")
+    held = turns.kept(some.join(who, "node_id").join(what, "group_id").select("g", "i", "n"), "members")
+    degree = partners.partner_counts(held, held.select("i").limit(0), [], who.count()).join(who, "i").select(F.col("node_id").alias("node"), F.col("partners").alias("degree"))
+    return strength.join(degree, "node").select("node", "degree", "strength")
+
+
 def endpoints(dyads: DataFrame) -> DataFrame:
     """(node, partner, other columns): each dyad from both of its ends."""
     rest = [c for c in dyads.columns if c not in ("source_id", "target_id")]
