@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import ranks
-from tidewater.operators import intervals
+from tidewater.operators import intervals, partners
+from tidewater.operators.turns import Turns
 
 CONTEXT = ["network", "begin", "anchor"]
-#: Groups up to this size give their partners as pairs, which then cost less than a map of all nodes a member.
-PAIRED = 512
+#: Groups up to this size give their partners as pairs.
+PAIRED = partners.PAIRED
 
 
 def stream_features(events: DataFrame, members: DataFrame, labels: DataFrame, width: int) -> DataFrame:
@@ -18,8 +19,8 @@ def stream_features(events: DataFrame, members: DataFrame, labels: DataFrame, wi
 
     `events` are (network, event, start, end, rate, location_id), pairs and groups alike, and `members` (event, node).
     Events are clipped to the history; their moment is their end, or the anchor. A context's labels are its eligible nodes.
-    Partners are counted once however often they are met: those of small groups as pairs, those of large ones in maps of
-    nodes that are merged. Candidates without events get zeros. Nothing of or after the anchor is read into a feature.
+    Partners are counted once however often they are met: those of small groups as pairs, those of large ones in tiles
+    (`partners`). Candidates without events get zeros. Nothing of or after the anchor is read into a feature.
     """
     contexts = labels.select(*CONTEXT).distinct()
     members = members.where("node is not null").distinct()
@@ -32,21 +33,12 @@ def stream_features(events: DataFrame, members: DataFrame, labels: DataFrame, wi
     sums = rows.groupBy(*CONTEXT, "node").agg(
         F.count("*").alias("activity"), F.sum(F.col("seconds") * (F.col("n") - 1)).alias("opportunity"), F.sum(F.col("seconds") * F.col("rate")).alias("exposure"), F.sum("n").alias("sizes"),
         F.countDistinct("location_id").alias("locations"), F.min("at").alias("first"), F.max("at").alias("last"), F.count_if(F.col("at") >= half).alias("recent"))
-    number = ranks.numbered(members, "node", "i")
-    eligible = labels.select(*CONTEXT, "node", F.lit(True).alias("eligible")).distinct()
-    who = members.join(number, "node")
-    small = rows.where(F.col("n") <= PAIRED).select(*CONTEXT, "event", "node").join(who.select("event", F.col("node").alias("partner"), "i"), "event").where("node <> partner")
-    small = small.select(*CONTEXT, "node", "partner", "i").distinct().join(eligible.withColumnRenamed("node", "partner"), [*CONTEXT, "partner"], "left")
-    piece, bit = F.bitmap_bucket_number("i").alias("piece"), F.bitmap_bit_position("i")
-    maps = lambda some, *key: some.groupBy(*key, piece).agg(F.bitmap_construct_agg(bit).alias("met"), F.bitmap_construct_agg(F.when(F.col("eligible"), bit)).alias("fit"))
-    large = held.where(F.col("n") > PAIRED).select(*CONTEXT, "event").join(who, "event").join(eligible, [*CONTEXT, "node"], "left")
-    own = rows.where(F.col("n") > PAIRED).select(*CONTEXT, "event", "node").join(maps(large, *CONTEXT, "event"), [*CONTEXT, "event"]).select(*CONTEXT, "node", "piece", "met", "fit")
-    met = maps(small, *CONTEXT, "node").unionByName(own).groupBy(*CONTEXT, "node", "piece").agg(F.bitmap_or_agg("met").alias("met"), F.bitmap_or_agg("fit").alias("fit"))
-    # the maps of large groups hold the node itself: it is set in all of them, and taken off at the end
-    itself = rows.where(F.col("n") > PAIRED).select(*CONTEXT, "node", F.lit(1).alias("own")).distinct()
-    met = met.groupBy(*CONTEXT, "node").agg(F.sum(F.bitmap_count("met")).alias("met"), F.sum(F.bitmap_count("fit")).alias("fit")).join(itself, [*CONTEXT, "node"], "left")
-    less = F.coalesce("own", F.lit(0))
-    met = met.select(*CONTEXT, "node", (F.col("met") - less).alias("partners"), (F.col("fit") - less).alias("fit"))
+    turns = Turns(events.sparkSession)
+    number = turns.kept(ranks.numbered(members, "node", "i"), "nodes")
+    met = rows.select(*CONTEXT, "event", "node", "n").join(number, "node").join(ranks.numbered(sizes, "event", "g"), "event")
+    met = turns.kept(met.select(*CONTEXT, "g", "i", "n"), "members")
+    eligible = labels.select(*CONTEXT, "node").distinct().join(number, "node").select(*CONTEXT, "i")
+    met = partners.partner_counts(met, eligible, CONTEXT, number.count(), PAIRED).join(number, "i").select(*CONTEXT, "node", "partners", "fit")
     many = labels.groupBy(*CONTEXT).agg(F.countDistinct("node").alias("population"))
     x = labels.select(*CONTEXT, "node").distinct().join(many, CONTEXT).join(sums, [*CONTEXT, "node"], "left").join(met, [*CONTEXT, "node"], "left")
     span = (F.col("anchor") - F.col("begin")) / 1e6

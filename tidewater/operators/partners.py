@@ -59,18 +59,19 @@ def _counter(width: int, merged: int) -> Callable:
     return counts
 
 
-def partner_counts(members: DataFrame, fit: DataFrame, by: list[str], nodes: int) -> DataFrame:
+def partner_counts(members: DataFrame, fit: DataFrame, by: list[str], nodes: int, paired: int | None = None) -> DataFrame:
     """(by, i, partners, fit): the others that each node met, and those of them in `fit` (by, i).
 
     `members` are (by, g, i, n): group and node as numbers, each row once, and the size of the group, 2 or more. Nodes are
-    numbered from 1 to `nodes` without gaps. Small groups meet as pairs, large ones in tiles.
+    numbered from 1 to `nodes` without gaps. Groups up to `paired` (PAIRED) meet as pairs, larger ones in tiles.
     """
+    paired = PAIRED if paired is None else paired
     pieces = nodes // PIECE + 1
     blocks = max(pieces, -(-TILES // pieces))
     block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     piece = lambda c: F.floor(F.col(c) / PIECE).cast("int").alias("p")
-    large, small = members.where(F.col("n") > PAIRED), members.where(F.col("n") <= PAIRED)
+    large, small = members.where(F.col("n") > paired), members.where(F.col("n") <= paired)
     pairs = small.select(*by, "g", "i").join(small.select(*by, "g", F.col("i").alias("j")), [*by, "g"]).where("i <> j").select(*by, "i", "j").distinct()
     none = F.lit(-1).cast("long")
     left = large.select(*by, "g", F.col("i").alias("j")).union(fit.select(*by, none, "i")).select(*by, piece("j"), each(blocks, "b"), "g", "j")
