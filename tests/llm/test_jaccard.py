@@ -109,3 +109,18 @@ def test_long_group_keeps_all_members_over_a_batch_edge():
     batches = [pa.record_batch([pa.array([7] * len(m)), pa.array(m)], ["sig", "member"]) for m in (smaller, own)]
     reached = {x for b in jaccard_join._runs(iter(batches)) for c in (0, 1) for x in b.column(c).to_pylist()}
     assert reached == {m & ~1 for m in smaller + own}
+
+
+def test_a_common_line_makes_no_members_of_large_groups(spark, monkeypatch):
+    """Groups of a shared line alone are left out: each set still meets its links in small groups."""
+    rng = random.Random(8)
+    line = [f"common{k}" for k in range(6)]
+    texts = {}
+    for k in range(0, 400, 2):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts[k] = " ".join(own[:30] + line + own[30:])
+        texts[k + 1] = " ".join(own[:30] + line + own[30:-1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "_around_pivots", lambda *a: pytest.fail("a common line went on to pivots"))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {k: k - k % 2 for k in texts}

@@ -8,8 +8,8 @@ more of those than the slack covers ("sparse") also publishes, in an index that
 enter, its one-deletion neighbourhoods: a segment that may differ by one shingle counts twice. The
 slack of each band is what makes the expected number of signatures least.
 
-Candidates from small groups of equal signatures are all pairs; large groups give the pairs of a
-pivot only. Each candidate is checked against a sketch and then verified on the whole sets. Where
+Candidates from small groups of equal signatures are all pairs. Large groups keep only sets that the
+small ones can't speak for (see `_clogged`), and if they are still large give the pairs of a pivot only. Each candidate is checked against a sketch and then verified on the whole sets. Where
 the members of a pivot still stand in several components, the links among them are settled by how
 they differ from their consensus (see `_settled`), without forming their pairs. Members far from
 their pivot go on to a pivot among themselves, one of the component that most of them belong to; what
@@ -93,12 +93,12 @@ def _class_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return ((K.mix(K.segment_sums(K.mix(sets + U(77)), bounds) ^ (n << U(40))) >> U(2)) << U(1)).astype(np.int64)
 
 
-def _signatures(sets: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(signature, class with role) rows: role 1 marks a set that stands in the next smaller band."""
-    low, segments, slack = bands(num, den)
+def _segmented(sets: np.ndarray, bounds: np.ndarray, num: int, den: int) -> Iterator[tuple]:
+    """For either role the sets that have it, their bands and numbers of segments, and each shingle's set, place and segment."""
+    low, segments, _ = bands(num, den)
     n = np.diff(bounds)
     own = np.searchsorted(low, n, "right") - 1
-    picked, parts = K.mix(sets + U(3)) >> U(32), K.mix(sets + U(5))
+    picked = K.mix(sets + U(3)) >> U(32)
     for role in (0, 1):
         band = own - role
         some = np.flatnonzero((own >= 0) & ((role == 0) | (band >= 0) & (n * num <= (low[own] - 1) * den)))
@@ -110,9 +110,23 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int,
         owner = np.repeat(np.arange(len(some)), size)
         at = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(size)])[:-1] - bounds[some], size)
         key = first[owner] + ((picked[at] * m[owner].astype(U)) >> U(32)).astype(np.int64)
+        yield role, some, band, m, first, owner, at, key, np.bincount(key, minlength=first[-1])
+
+
+def _room(sets: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """For either role how many segments of a set may say nothing, beside the empty ones; below 0 for sparse sets."""
+    slack, out = bands(num, den)[2], [np.zeros(len(bounds) - 1, np.int64) for _ in (0, 1)]
+    for role, some, band, _, first, _, _, _, count in _segmented(sets, bounds, num, den):
+        out[role][some] = slack[band[some]] - np.add.reduceat(count == 0, first[:-1])
+    return out
+
+
+def _signatures(sets: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signature, class with role) rows: role 1 marks a set that stands in the next smaller band."""
+    slack, parts = bands(num, den)[2], K.mix(sets + U(5))
+    for role, some, band, m, first, owner, at, key, count in _segmented(sets, bounds, num, den):
         total = np.zeros(first[-1], U)
         np.add.at(total, key, parts[at])
-        count = np.bincount(key, minlength=first[-1])
         place = np.repeat(band[some], m).astype(U) << U(40) | (np.arange(first[-1]) - np.repeat(first[:-1], m)).astype(U)
         full = count > 0
         name = (cls[some] | role)
@@ -137,15 +151,16 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple]:
             yield batch.column(0).slice(a, b - a), sets, bounds, _class_of(sets, bounds)
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, cls): rows with equal sets share a class; null where there is no set."""
+def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, cls, room, room_below): rows with equal sets share a class; null where there is no set."""
 
     def rows(batches):
-        for ids, _, bounds, cls in _sets(batches, shingle):
+        for ids, sets, bounds, cls in _sets(batches, shingle):
             n = np.diff(bounds)
-            yield pa.record_batch([ids.cast(pa.int64()), pa.array(n), pa.array(cls, mask=n == 0)], ["doc_id", "n_shingles", "cls"])
+            room = [pa.array(r) for r in _room(sets, bounds, num, den)]
+            yield pa.record_batch([ids.cast(pa.int64()), pa.array(n), pa.array(cls, mask=n == 0), *room], ["doc_id", "n_shingles", "cls", "room", "room_below"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, "doc_id long, n_shingles long, cls long, room long, room_below long")
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, bits: int = 64) -> DataFrame:
@@ -168,14 +183,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: i
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, "sig long, member long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], apart: bool = False) -> Iterator[pa.RecordBatch]:
     """(a, b, star) from rows sorted by signature: all pairs of small groups, or pivot and member of large ones.
 
+    With `apart` large groups give signature and member, with its role, in place of pivot and member.
+
     A group may be longer than any memory: of one that goes beyond SMALL rows only the pivot is kept.
     Two sets that both stand in the next smaller band make no pair: they meet in their own.
     """
 
     def table(a, b, star):
+        if star and apart:
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), True))], ["a", "b", "star"])
+            return
         keep = (a >> 1) != (b >> 1) if star else ((a & b & 1) == 0) & ((a >> 1) != (b >> 1))
         a, b = a[keep] & ~1, b[keep] & ~1
         if not star:
@@ -220,6 +240,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if few.all():
             continue
         # the pivot is the first that stands in its own band; a group without one makes no pairs
+        if apart:
+            yield from table(s[~few], m[~few], True)
+            pivot = (s[-1], s[-1]) if goes_on else None
+            continue
         own = np.minimum.reduceat(np.where(m & 1 == 0, np.arange(len(m)), len(m)), edge)
         head = np.repeat(own, size)
         big = np.flatnonzero(~few & (head < len(m)))
@@ -230,6 +254,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from table(np.full(size[-1], pivot[1]), m[edge[-1]:], True)
 
 
+def _clogged(steps: Steps, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """The memberships (sig, member) of large groups that can hold a pair which no small group gives.
+
+    Two linked sets have more equal segments than the slack of their band. A segment whose group is large may be
+    left out like an empty one: a set with room for all of those still meets each set that it is linked with in a small
+    group. So only sets without that room, in that role, go on; a common line alone doesn't make one. One segment more
+    is asked for, as two of a set's own signatures may be equal by chance and count once.
+    """
+    most = F.when(F.col("member").bitwiseAND(1) == 0, F.col("room")).otherwise(F.col("room_below"))
+    room = sets.select("cls", "room", "room_below").dropDuplicates(["cls"])
+    held = large.groupBy("member").agg(F.count("*").alias("n")).withColumn("cls", F.shiftleft(F.shiftright("member", 1), 1))
+    full = steps.cut(held.join(room, "cls").where(F.col("n") >= most).select("member"), "jaccard-clogged")
+    return large.join(full, "member", "left_semi").select("sig", "member")
+
+
 def _sketch(sets: np.ndarray) -> bytes:
     """Sums modulo 256 of the shingles' hashes by slot; the slots are a power of two, about twice the size.
 
@@ -478,15 +517,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     steps = Steps(spark)
-    rows = cut(classes(docs, id_col, text_col, shingle), "jaccard-classes")
-    found = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    rows = cut(classes(docs, id_col, text_col, shingle, num, den), "jaccard-classes")
+    sets = rows.where("cls is not null")
+    found = sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     # signatures get as many bits as the rows call for: one in 2 ** SPARE rows meets a stranger
     most = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     signed = signatures(docs, id_col, text_col, shingle, num, den, min(64, max(32, int(most).bit_length() + SPARE)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = signed.repartition(parts, "sig").sortWithinPartitions("sig", "member").mapInArrow(_runs, "a long, b long, star boolean")
-    grouped = steps.cut(grouped.distinct(), "jaccard-groups")
+    runs = lambda rows, apart: rows.repartition(parts, "sig").sortWithinPartitions("sig", "member").mapInArrow(lambda b: _runs(b, apart), "a long, b long, star boolean").distinct()
+    grouped = steps.cut(runs(signed, True), "jaccard-groups")
     release(spark)
+    grouped = grouped.where("not star").union(steps.cut(runs(_clogged(steps, grouped.where("star").select(F.col("a").alias("sig"), F.col("b").alias("member")), sets), False), "jaccard-groups"))
     read = lambda of, name, kind: _read_classes(steps, docs, steps.cut(_with_reps(of, found), "jaccard-wanted"), name, kind, id_col, text_col, shingle)
     tested = steps.cut(grouped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     sketched = read(tested.select(F.explode(F.array("a", "b")).alias("cls")), "sketch", _sketch)
