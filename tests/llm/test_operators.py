@@ -227,6 +227,15 @@ def test_losses_count_every_word_and_bigram_in_many_chunks_and_buckets(spark):
     assert losses(cross_entropy.cross_entropy_difference(docs, target, size=40_000, bucket=1000)) == want
 
 
+def test_a_chunk_sends_its_keys_once_and_small_marks_have_the_plan_of_large_ones(spark):
+    docs, target = table(spark, [(i, f"a b{i} c d", "s") for i in range(40)]), spark.createDataFrame([(2 * i,) for i in range(20)], "doc_id long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    roles = cross_entropy.roles(docs, target)
+    assert "SortMergeJoin" in plan(roles) and "Broadcast" not in plan(roles)
+    sent = plan(cross_entropy.looked_up(cross_entropy.chunks(roles), 1))
+    assert sent.count("Scan parquet") == 1 and "Union" not in sent
+
+
 def test_ids_come_back_as_the_tokenizer_gives_them(spark, corpus):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -17,10 +17,10 @@ nobody has seen; p sums to 1 over them.
 
 The counts are exact and no task and no broadcast holds a model. Words and bigrams have keys of 63
 hashed bits (among a billion distinct keys, two that are equal come up in about one corpus of 20).
-Texts are dealt into chunks of about CHUNK bytes; a chunk asks for each of its keys once, however
-often it stands there, and one that trains a model sends the counts of its keys, packed. Keys are dealt
-by their first bits into buckets of about BUCKET keys of the model; a task adds up a bucket of the
-model and then streams the chunks' questions past it, so its memory doesn't grow with the corpus. An
+Texts are dealt into chunks of about CHUNK bytes; a chunk sends each of its keys once, however often
+it stands there, as a question to the models of its fold and with what it adds to those of the other,
+packed. Keys are dealt by their first bits into buckets, one for about 10 * BUCKET bytes of all texts; a
+task holds the packed keys of a bucket, adds up its models and answers, so its memory doesn't grow with the corpus. An
 answer names a key by its place among the chunk's questions, which are worked out again where texts are scored.
 
 Defined cases: null and empty texts have no words, only the boundary is predicted; null ids are never
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ from tidewater.llm import kernels as K
 from tidewater.llm.common import cut, release, ship
 
 U = np.uint64
-#: Bytes of text that are scored together, keys of the model that are held together, and the weight of the unigrams.
+#: Bytes of text that are scored together, keys that are held together, and the weight of the unigrams.
 CHUNK, BUCKET, STRENGTH = 8 << 20, 1 << 21, 50.0
 #: Keys of words are odd, those of bigrams even.
 BOUNDARY = U(1)
@@ -75,7 +76,8 @@ def roles(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     rate = {True: min(1.0, other / max(1, of_target)), False: min(1.0, of_target / max(1, other))}
     drawn = lambda hit: F.pmod(F.xxhash64("key", "text", F.lit(seed)), F.lit(1 << 40)) < F.lit(int(rate[hit] * (1 << 40)))
     role = F.when(F.col("hit").isNotNull() & drawn(True), 1).when(F.col("hit").isNull() & drawn(False), 2).otherwise(0)
-    return rows.join(ids, "key", "left").select("key", "text", role.alias("role"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int").alias("fold"))
+    # the plan of large corpora at any size, so that what is shuffled grows with the input
+    return rows.join(ids.hint("merge"), "key", "left").select("key", "text", role.alias("role"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int").alias("fold"))
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -84,7 +86,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     def rows(batches):
         first, held = TaskContext.get().partitionId() << 32, [0, 0]
         for batch in batches:
-            n = np.array([len(v) if v else 0 for v in batch.column(1).to_pylist()], np.int64)
+            n = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             fold = batch.column(3).to_numpy()
             chunk = np.zeros(len(n), np.int64)
             for f in (0, 1):
@@ -138,84 +140,80 @@ def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def _asked(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The questions of a chunk: its distinct keys in their order."""
-    return np.unique(np.concatenate([np.unique(np.concatenate([word, _pair(context, word)])) for context, word, _ in tokens] or [np.zeros(0, U)]))
+def _tokens(rows: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What `_keys` gives of a chunk's rows, whose first column is the text."""
+    return [x for batch in rows for x in _keys(batch.column(0))]
+
+
+def _all_keys(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The words of a chunk, and then its bigrams; its questions are the distinct ones in their order."""
+    return np.concatenate([*(word for _, word, _ in tokens), *(_pair(context, word) for context, word, _ in tokens), np.zeros(0, U)])
 
 
 def looked_up(texts: DataFrame, bits: int) -> DataFrame:
     """(chunk, bucket, places, t, b, words, all_t, all_b): which questions of a chunk the models of its fold have seen, and their counts.
 
     `places` are those among the chunk's questions in the bucket. Rows of a chunk below 0 hold a bucket's figures of fold
-    -1 - chunk: its distinct words and their counts.
+    -1 - chunk: its distinct words and their counts. A chunk sends a key once: as its question, and with it the counts that
+    it adds to the models of the other fold, so a task reads a bucket whole before it answers.
     """
-    kind = "bucket long, kind int, chunk long, keys binary, t binary, b binary"
+    kind = "bucket long, chunk long, keys binary, t binary, b binary"
     names = [c.split()[0] for c in kind.split(", ")]
 
-    def pieces(keys, fold, chunk, t=None, b=None):
-        of = _bucket_of(keys, bits)
-        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
-        spans = [slice(*e) for e in zip(edge, edge[1:], strict=False) if e[1] > e[0]]
-        for k in range(0, len(spans), 100):
-            some = spans[k: k + 100]
-            fill = lambda v: pa.array([None] * len(some) if v is None else [_packed(v[s]) for s in some], pa.binary())  # noqa: E731, B023
-            yield pa.record_batch(
-                [pa.array([int(of[s.start]) * 2 + fold for s in some], pa.int64()), pa.array([int(t is None)] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()),
-                 pa.array([_steps(keys[s]) for s in some], pa.binary()), fill(t), fill(b)], names)
-
-    def of_model(batches):
-        for chunk, rows in _whole_chunks(batches):
-            made = []
-            for batch in rows:
-                role, at = batch.column(2).to_numpy(), 0
-                for context, word, first in _keys(batch.column(0)):
-                    n = np.diff(first)
-                    target = np.tile(np.repeat(role[at: at + len(n)] == 1, n), 2)
-                    at += len(n)
-                    made.append(_summed(np.concatenate([word, _pair(context, word)]), target, ~target))
-            yield from pieces(*(lambda k, t, b: (k, 1 - chunk % 2, -1, t, b))(*_summed(*(np.concatenate([m[k] for m in made]) for k in range(3)))))  # noqa: B023
-
     def of_chunks(batches):
         for chunk, rows in _whole_chunks(batches):
-            yield from pieces(_asked([x for batch in rows for x in _keys(batch.column(0))]), chunk % 2, chunk)
+            tokens = _tokens(rows)
+            n = np.concatenate([np.diff(first) for _, _, first in tokens] or [np.zeros(0, np.int64)])
+            role = np.repeat(np.concatenate([batch.column(2).to_numpy() for batch in rows]), n)
+            keys, t, b = _summed(_all_keys(tokens), np.tile(role == 1, 2), np.tile(role == 2, 2))
+            of = _bucket_of(keys, bits)
+            edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+            spans = [slice(*e) for e in zip(edge, edge[1:], strict=False) if e[1] > e[0]]
+            for k in range(0, len(spans), 100):
+                some = spans[k: k + 100]
+                packed = [[_steps(keys[s]) for s in some], *([_packed(v[s]) if v[s].any() else None for s in some] for v in (t, b))]
+                yield pa.record_batch([pa.array([int(of[s.start]) for s in some], pa.int64()), pa.array([chunk] * len(some), pa.int64()), *(pa.array(v, pa.binary()) for v in packed)], names)
 
     answer = ["chunk", "bucket", "places", "t", "b", "words", "all_t", "all_b"]
 
-    def answers(batches):
-        now, parts, ready = None, [], None
-
-        def added():
+    def of_bucket(bucket, rows):
+        models = []
+        for fold in (0, 1):
+            parts = []
+            for chunk, keys, t, b in rows:
+                if chunk % 2 == fold or (t is None and b is None):
+                    continue
+                keys = np.cumsum(_unpacked(keys), dtype=U)
+                t, b = (np.zeros(len(keys), U) if v is None else _unpacked(v) for v in (t, b))
+                seen = (t + b) > 0
+                parts.append((keys[seen], t[seen], b[seen]))
             keys, t, b = _summed(*(np.concatenate([p[k] for p in parts]) for k in range(3))) if parts else [np.zeros(0, U)] * 3
+            models.append((keys, t, b))
             word = (keys & U(1)) == 1
-            own = pa.record_batch([pa.array([-1 - now % 2]), pa.array([now // 2]), *[pa.array([None], pa.binary())] * 3, pa.array([int(word.sum())]), pa.array([int(t[word].sum())]), pa.array([int(b[word].sum())])], answer)
-            return (keys, t, b), own
+            yield pa.record_batch([pa.array([-1 - fold]), pa.array([bucket]), *[pa.array([None], pa.binary())] * 3, pa.array([int(word.sum())]), pa.array([int(t[word].sum())]), pa.array([int(b[word].sum())])], answer)
+        for chunk, keys, _, _ in rows:
+            known, t, b = models[chunk % 2]
+            keys = np.cumsum(_unpacked(keys), dtype=U)
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            hit = np.flatnonzero(known[at] == keys) if len(known) else at[:0]
+            if len(hit):
+                yield pa.record_batch([pa.array([chunk]), pa.array([bucket]), *(pa.array([v], pa.binary()) for v in (_steps(hit), _packed(t[at[hit]]), _packed(b[at[hit]]))), *[pa.array([0])] * 3], answer)
 
+    def answers(batches):
+        now, rows = None, []
         for batch in batches:
-            for bucket, kind, chunk, keys, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    if parts and ready is None:
-                        yield added()[1]
-                    now, parts, ready = bucket, [], None
-                keys = np.cumsum(_unpacked(keys), dtype=U)
-                if kind == 0:
-                    parts.append((keys, _unpacked(t), _unpacked(b)))
-                    continue
-                if ready is None:
-                    ready, figures = added()
-                    parts = []
-                    yield figures
-                at = np.minimum(np.searchsorted(ready[0], keys), max(0, len(ready[0]) - 1))
-                hit = np.flatnonzero(ready[0][at] == keys) if len(ready[0]) else at[:0]
-                if len(hit):
-                    yield pa.record_batch([pa.array([chunk]), pa.array([bucket // 2]), *(pa.array([v], pa.binary()) for v in (_steps(hit), _packed(ready[1][at[hit]]), _packed(ready[2][at[hit]]))), *[pa.array([0])] * 3], answer)
-        if parts and ready is None:
-            yield added()[1]
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and rows:
+                    yield from of_bucket(now, rows)
+                    rows = []
+                now = bucket
+                rows.append(row)
+        if rows:
+            yield from of_bucket(now, rows)
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = texts.where("role > 0").select("text", "chunk", "role").mapInArrow(of_model, kind)
-    asked = texts.select("text", "chunk").mapInArrow(of_chunks, kind)
-    both = held.unionByName(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    return both.mapInArrow(answers, "chunk long, bucket long, places binary, t binary, b binary, words long, all_t long, all_b long")
+    sent = texts.select("text", "chunk", "role").mapInArrow(of_chunks, kind)
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answers, "chunk long, bucket long, places binary, t binary, b binary, words long, all_t long, all_b long")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, bucket: int = BUCKET, strength: float = STRENGTH) -> DataFrame:
@@ -224,8 +222,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     ship(spark)
     texts = chunks(roles(docs, targets, id_col, text_col), size)
     release(spark)
-    trained = texts.where("role > 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = (trained // (10 * bucket)).bit_length()  # a key in 5 bytes, in two folds
+    every = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = (every // (10 * bucket)).bit_length()  # a key in 5 bytes, in two folds
     found = cut(looked_up(texts, bits), "cross-entropy-counts")
     release(spark)
     sums = found.where("chunk < 0").groupBy("chunk").agg(F.sum("words"), F.sum("all_t"), F.sum("all_b")).collect()  # two rows
@@ -237,21 +235,27 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         words, t, b = figures.get(fold, (0, 0, 0))
         total, ids = np.array([t or 0, b or 0], np.float64), words + 1
         tokens = list(_keys(column))
-        keys = _asked(tokens)
+        wanted = _all_keys(tokens)
+        order = np.argsort(wanted)
+        first = np.ones(len(wanted), bool)
+        first[1:] = wanted[order][1:] != wanted[order][:-1]
+        place = np.empty(len(wanted), np.int64)
+        place[order] = np.cumsum(first) - 1
+        keys = wanted[order][first]
         of_bucket = _bucket_of(keys, bits)
-        keys = np.concatenate([keys, [~U(0)]])  # contexts are asked for as words, but for the boundary of a chunk without texts
         counts = np.zeros((len(keys), 2))  # 0 for what no model has seen
         for b, places, in_t, in_b in zip(*_columns(right, "bucket", "places", "t", "b"), strict=True):
             at = np.searchsorted(of_bucket, b) + np.cumsum(_unpacked(places), dtype=U).astype(np.int64)
             counts[at, 0], counts[at, 1] = _unpacked(in_t), _unpacked(in_b)
-
-        def of(wanted):
-            at = np.searchsorted(keys, wanted)
-            return counts[np.where(keys[at] == wanted, at, len(keys) - 1)]
-
-        lengths, loss = [], []
-        for context, word, first in tokens:
-            p = (of(_pair(context, word)) + strength * (of(word) + 1.0) / (total + ids)) / (of(context) + strength)
+        lengths, loss, at, half = [], [], 0, len(wanted) // 2
+        boundary = counts[np.searchsorted(keys, BOUNDARY)] if half else None
+        for _, word, first in tokens:
+            of_word, of_pair = counts[place[at: at + len(word)]], counts[place[half + at: half + at + len(word)]]
+            of_context = np.empty_like(of_word)
+            of_context[1:] = of_word[:-1]  # the context of a word is the word before it
+            of_context[first[:-1]] = boundary
+            p = (of_pair + strength * (of_word + 1.0) / (total + ids)) / (of_context + strength)
+            at += len(word)
             lengths.append(np.diff(first))
             loss.append(np.add.reduceat(-np.log(p), first[:-1], axis=0) / lengths[-1][:, None])
         lengths, loss = np.concatenate(lengths), np.concatenate(loss)
