@@ -124,3 +124,25 @@ def test_means_settle_as_blocks_are_added(spark):
     icc = (between - within) / (between + 2 * within)
     assert got["g", 3]["reliability"] == pytest.approx(3 * icc / (1 + 2 * icc) if icc > 0 else 0.0)
     assert got["h", 1]["spearman"] is None and got["h", 1]["items"] == 1
+
+
+def test_products_in_many_blocks_and_chunks_equal_plain_sums_and_move_no_edges(spark, monkeypatch):
+    from tidewater.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    monkeypatch.setattr(blocks, "CHUNK", 3)
+    pairs = [(a, b, float(1 + (a * b) % 7)) for a in range(40) for b in range(40) if a != b and (a + b) % 3]
+    edges = spark.createDataFrame(pairs, "node long, partner long, w double")
+    place = blocks.placed(edges.select("node").distinct(), []).cache()
+    assert place.select("block").distinct().count() > 3
+    held = blocks.chunks(networks._edges_of(edges, place, [], F.col("w")))
+    state = place.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda v: v["node"].cast("double")).alias("x"))
+    made = blocks.product(held, state)
+    got = {r["node"]: r["y"] for r in blocks.spread(made.select("block", F.col("y").alias("x")), place, [], "y").collect()}
+    want = dict.fromkeys(range(40), 0.0)
+    for a, b, w in pairs:
+        want[b] += w * a
+    assert got == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan  # the edges stay where they are
+    held.unpersist()
