@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import ranks
-from tidewater.operators import partners
+from tidewater.operators import partners, tiles
 from tidewater.operators.turns import Turns
 
 
@@ -38,6 +38,19 @@ BLOCK = 512
 def group_pairs(memberships: DataFrame, seconds: float, diluted: bool = True) -> DataFrame:
     """(a, b, n_events, contact_seconds): pairs of nodes by the time spent in one group, over n - 1 if diluted.
 
+    Pairs are added up in tiles of nodes where copies of memberships are fewer than pairs, and are joined elsewhere.
+    """
+    turns = Turns(memberships.sparkSession)
+    some = turns.kept(memberships.select("group_id", "node_id"), "memberships")
+    size = turns.kept(tiles.sizes(some), "sizes")
+    if tiles.pays(size, some.select("node_id")):
+        return tiles.pairs(tiles.blocks(turns, some, size), seconds, diluted)
+    return joined_pairs(some, seconds, diluted)
+
+
+def joined_pairs(memberships: DataFrame, seconds: float, diluted: bool = True) -> DataFrame:
+    """`group_pairs` by a join of memberships.
+
     Groups of one node are left out before pairs are made. Members are dealt into blocks of BLOCK; each
     pair of blocks is a join key of its own, so a large group is spread over many tasks.
     """

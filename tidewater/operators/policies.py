@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import ranks
+from tidewater.operators import exposure, tiles
 from tidewater.operators.turns import Turns
 
 
@@ -126,6 +127,40 @@ def greedy_coverage(weights: DataFrame, budget: int, seed: int) -> DataFrame:
     return greedy_sets(weights.withColumn("_all", F.lit(1)), ["_all"], budget, seed).drop("_all")
 
 
+def group_coverage(memberships: DataFrame, seconds: float, budget: int, seed: int) -> DataFrame:
+    """`greedy_coverage` of the pairs of groups (group_id, node_id), by `seconds` shared among the others of a group.
+
+    Where there are fewer copies of memberships than pairs, gains are added up in tiles of nodes, so that no pair is
+    written or shuffled. Before anything is chosen a node's gain is the time of its groups.
+    """
+    spark = memberships.sparkSession
+    turns = Turns(spark)
+    some = turns.kept(memberships.select("group_id", "node_id"), "memberships")
+    size = turns.kept(tiles.sizes(some), "sizes")
+    if not tiles.pays(size, some.select("node_id")):
+        return greedy_coverage(exposure.both_ways(exposure.joined_pairs(some, seconds), "contact_seconds").toDF("node", "partner", "w"), budget, seed)
+    held = tiles.blocks(turns, some, size)
+    others = held.flat.groupBy("g").agg((F.count("*") - 1).alias("others"))
+    gain = held.flat.join(others, "g").groupBy("i").agg(F.sum(F.lit(seconds) / (F.col("n") - 1) * F.col("others")).alias("gain"))
+    cover = held.who.select("i", F.lit(0.0).alias("c"))
+    chosen = []
+    for turn in range(1, budget + 1):
+        left = gain.join(held.who, "i").where(~F.col("i").isin([i for i, _ in chosen]))
+        best = left.select("i", "node_id", F.struct(-F.round("gain", 6), hash_order(F.col("node_id"), seed, "history_coverage_ties"), "node_id").alias("key")).agg(F.min_by(F.struct("i", "node_id"), "key").alias("b")).first()["b"]
+        if best is None:
+            break
+        chosen.append((best["i"], best["node_id"]))
+        if turn < budget:
+            groups = held.flat.where(F.col("i") == best["i"]).select("g")
+            met = held.flat.join(groups, "g", "left_semi").groupBy("i").agg(F.sum(F.lit(seconds) / (F.col("n") - 1)).alias("x"))
+            now = F.when(F.col("i") == best["i"], F.lit(float("inf"))).otherwise(F.greatest("c", F.coalesce("x", F.lit(0.0))))  # a chosen node needs no cover
+            cover = turns.kept(cover.join(met, "i", "left").select("i", now.alias("c")), "cover")
+            gain = turns.kept(tiles.gains(held, cover, seconds), "gain")
+    turns.drop("memberships", "sizes", "numbers", "groups", "flat", "packed", "cover", "gain")
+    kind = dict(memberships.dtypes)["node_id"]
+    return spark.createDataFrame([(node, k) for k, (_, node) in enumerate(chosen, 1)], f"node {kind}, position int")
+
+
 def chronological_test(df: DataFrame, by: list[str], at: str, fraction: float, train: int = 2) -> DataFrame:
     """(by, at, test): the last ceil(fraction * n) moments are for tests, where `train` or more are left."""
     moments = df.select(*by, at).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import ranks
 from tidewater.operators import contrasts, intervals, policies, statistics
-from tidewater.plans.catalogue import FEATURES, ORIGIN, WEEK, WEEK_2, WEEK_3, _features, _pairs, _r, query
+from tidewater.plans.catalogue import FEATURES, ORIGIN, WEEK, WEEK_2, WEEK_3, _features, _r, query
 from tidewater.plans.catalogue import PAIRS as PAIRS_SQL
 from tidewater.sources import canonical, contract
 from tidewater.sources.canonical import DAY, HOUR
@@ -222,9 +222,7 @@ b{k} AS (SELECT node FROM g{k} ORDER BY -round(gain, 6), sha256('5' || chr(31) |
 @query(_coverage_sql(3))
 def rk_greedy_coverage(spark, sf_dir):
     """RK-15, AGG-03: nodes that in turn cover most of the others' contact."""
-    p = _pairs(spark, sf_dir)
-    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("partner")), F.struct(F.col("b").alias("node"), F.col("a").alias("partner")))).alias("x")
-    return policies.greedy_coverage(p.select(both, F.col("contact_seconds").alias("w")).select("x.node", "x.partner", "w"), 3, 5)
+    return policies.group_coverage(canonical.memberships(spark, sf_dir), 3600.0, 3, 5)
 
 
 @query(PRIOR + """, cells AS (SELECT kind, node, week, v FROM weekly), b AS (SELECT kind, count(DISTINCT week) AS blocks FROM cells GROUP BY kind),
