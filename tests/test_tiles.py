@@ -1,8 +1,9 @@
 """Contact of pairs in tiles of nodes, against plain loops."""
 
+import numpy as np
 import pytest
 
-from tidewater.operators import exposure, policies, tiles
+from tidewater.operators import exposure, policies, temporal, tiles
 
 GROUPS = {f"g{k}": {(k * 37 + j * j * (k % 5 + 1)) % 90 for j in range(1 + k % 30)} for k in range(40)}
 LOOP = {}
@@ -55,3 +56,26 @@ def test_coverage_by_tiles_is_that_of_pairs(members, monkeypatch):
         for (m, v), (_, w) in LOOP.items():
             if m == r["node"]:
                 cover[v] = max(cover.get(v, 0), w)
+
+
+def test_tiles_of_reach_read_a_batch_in_pieces():
+    """The same counts whatever the pieces, which are read from files; groups act at once, and pairs meet twice."""
+    rng = np.random.default_rng(5)
+    rows = [(b, False, rng.integers(0, 60, (40, 2))) for b in (1, 2, 3) for _ in range(3)] + [(2, True, np.stack([np.repeat([5, 9], 12), rng.integers(0, 60, 24)], axis=1))]
+    rows = [(b, g, x[x[:, 0] != x[:, 1]] if not g else x) for b, g, x in rows]
+    want = {v: {v} for _, g, x in rows for v in (x[:, 1] if g else x.ravel()).tolist()}
+    for batch in (1, 2, 3):
+        new = {v: set(x) for v, x in want.items()}
+        for b, g, x in rows:
+            for met in ([x[x[:, 0] == k, 1].tolist() for k in (5, 9)] if g else x.tolist()) if b == batch else []:
+                for v in met:
+                    new[v] |= set().union(*(want[u] for u in met))
+        want = new
+    for piece in (7, 50, 1 << 20):
+        to, back = {}, {}
+        for tile in range(2):
+            runs = {("receive", 0): [(1, 1), (2, 2), (3, 3)], ("broadcast", 0): [(1, 3), (2, 2), (3, 1)]}
+            nodes, found, n = temporal._tile_counter(1 << 20, 1, 5, piece)(iter(rows), runs, tile, 2)
+            to.update(zip(nodes.tolist(), found[0].tolist(), strict=True))
+            back.update(zip(nodes.tolist(), found[1].tolist(), strict=True))
+        assert n == len(want) and to == {v: sum(v in x for x in want.values()) for v in want} and back == {v: len(x) for v, x in want.items()}
